@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op03_hilbert, op05_budget_fit, op06_host_rules
+from . import op01_language, op03_hilbert, op05_budget_fit, op06_host_rules, op07_order_minhash, op10_hidden_markov
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    held = op01_language.held_out()
+    model = op01_language.learn(docs.where(~held), "text", "lang", "doc_id")
+    out = op01_language.label_languages(docs.withColumn("_held", held), model, ["doc_id", "_held"])
+    return out.select("doc_id", F.col("_held").alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = op03_hilbert.hilbert_shards(_docs(spark, sf_dir))
     return out.select(
@@ -26,17 +34,31 @@ def op5_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_budget_fit.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op6_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_host_rules.host_rules(_docs(spark, sf_dir), ["doc_id"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.col("source").alias("host"), "host_fail_rate",
     )
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op07_order_minhash.near_duplicates(_docs(spark, sf_dir)).select("doc_id", "class_id", "class_size", "kept")
+
+
+def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    held = op10_hidden_markov.held_out()
+    out = op10_hidden_markov.hmm_scores(docs.withColumn("held_out", held), ~held, ["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
     "op3_hilbert_shards": op3_hilbert_shards,
     "op5_budget_mix": op5_budget_mix,
-    "op6_host_rules": op6_host_rules,
+    "op6_host_quality": op6_host_quality,
+    "op7_order_minhash": op7_order_minhash,
+    "op10_hmm_scores": op10_hmm_scores,
 }
 
 ORACLES: dict[str, str] = {}
