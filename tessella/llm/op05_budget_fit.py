@@ -162,3 +162,27 @@ def mix(
         F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
         copies.alias("copies"), (copies * F.col("_size")).alias("taken"),
     )
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs``, with their columns, as often as the mix takes them (0 to max_repeats times).
+
+    Copies are summed by id, source and text and dealt out to the rows that have these, so that repeated rows get as
+    many copies together as the mix gave them.
+    """
+    names = docs.columns
+    key = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    took = mix(docs.withColumn("_key", key), id_col, source_col, text_col, keep=["_key"], **how)
+    took = took.groupBy(F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), F.col("_key").alias("_md5")).agg(
+        F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")
+    )
+    slim = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)])
+    own, src, text = (F.col(f"_c{names.index(c)}") for c in (id_col, source_col, text_col))
+    slim = slim.withColumn("_k", F.md5(F.coalesce(text, F.lit("")).cast("binary"))).withColumn("_own", own).withColumn("_of", src)
+    joined = slim.join(took, slim["_own"].eqNullSafe(took["_id"]) & slim["_of"].eqNullSafe(took["_src"]) & (slim["_k"] == took["_md5"]))
+    # rows that share id, source and text are told apart only where there are several
+    single = joined.where("_rows = 1").withColumn("_n", F.col("_copies"))
+    several = joined.where("_rows > 1").withColumn("_nth", F.row_number().over(Window.partitionBy("_own", "_of", "_k").orderBy("_own")))
+    several = several.withColumn("_n", F.expr("_copies div _rows + if(_nth <= _copies % _rows, 1, 0)")).drop("_nth")
+    times = single.unionByName(several).where("_n > 0").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    return times.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])

@@ -146,13 +146,23 @@ def host_rates(measured: DataFrame, host: str, rules: dict[str, Column], z: floa
     return out
 
 
+def _with_verdicts(measured: DataFrame, host: str, rates: DataFrame, reject_rate: float, watch_rate: float) -> DataFrame:
+    """``measured`` with _reject, host_fail_rate and _kept. The table of hosts is joined as its size allows."""
+    rates = rates.select(
+        F.col("host").alias("_host"),
+        F.col("rate_base").alias("host_fail_rate"),
+        (F.col("low_base") > reject_rate).alias("_reject"),
+        *[(F.col(f"rate_{k}") >= watch_rate).alias(f"_watch_{k}") for k in SOFT],
+    )
+    joined = measured.join(rates, measured[host].eqNullSafe(rates["_host"]), "left")
+    gone = F.col("_reject")
+    for k, failed in soft_failures().items():
+        gone = gone | (F.col(f"_watch_{k}") & failed)
+    return joined.withColumn("_kept", ~base_failure() & ~gone)
+
+
 def host_rules(
-    docs: DataFrame,
-    carry: list[str],
-    host_col: str = "source",
-    text_col: str = "text",
-    reject_rate: float = 0.5,
-    watch_rate: float = 0.01,
+    docs: DataFrame, carry: list[str], host_col: str = "source", text_col: str = "text", reject_rate: float = 0.5, watch_rate: float = 0.01,
 ) -> DataFrame:
     """Measures, base_failed, host verdict and kept for each document; the carried columns come back under their names.
 
@@ -162,23 +172,27 @@ def host_rules(
     own = [c for c in carry if c != host_col] + [host_col]
     measured = cut(text_measures(docs, own, text_col))
     host = f"_c{len(own) - 1}"
-    rules = {"base": base_failure()} | soft_failures()
-    rates = host_rates(measured, host, rules).select(
-        F.col("host").alias("_host"),
-        F.col("rate_base").alias("host_fail_rate"),
-        (F.col("low_base") > reject_rate).alias("_reject"),
-        *[(F.col(f"rate_{k}") >= watch_rate).alias(f"_watch_{k}") for k in SOFT],
-    )
-    joined = measured.join(rates, measured[host].eqNullSafe(rates["_host"]), "left")
-    soft = soft_failures()
-    gone = F.col("_reject")
-    for k in SOFT:
-        gone = gone | (F.col(f"_watch_{k}") & soft[k])
-    return joined.select(
+    rates = host_rates(measured, host, {"base": base_failure()} | soft_failures())
+    return _with_verdicts(measured, host, rates, reject_rate, watch_rate).select(
         *[F.col(f"_c{i}").alias(c) for i, c in enumerate(own)],
         *MEASURES,
         base_failure().alias("base_failed"),
         F.col("_reject").alias("host_rejected"),
         "host_fail_rate",
-        (~base_failure() & ~gone).alias("kept"),
+        F.col("_kept").alias("kept"),
     )
+
+
+def keep_by_host_rules(
+    docs: DataFrame, host_col: str = "source", text_col: str = "text", reject_rate: float = 0.5, watch_rate: float = 0.01,
+) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their columns.
+
+    Texts are measured twice, once for the hosts' rates and once beside the rows themselves, so that no text is
+    shuffled or written.
+    """
+    rates = host_rates(text_measures(docs, [host_col], text_col), "_c0", {"base": base_failure()} | soft_failures())
+    measured = text_measures(docs, docs.columns, text_col)
+    host = f"_c{docs.columns.index(host_col)}"
+    kept = _with_verdicts(measured, host, rates, reject_rate, watch_rate).where("_kept")
+    return kept.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])

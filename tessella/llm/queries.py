@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op01_language, op03_hilbert, op05_budget_fit, op06_host_rules, op07_order_minhash, op10_hidden_markov
+from . import (
+    op01_language,
+    op02_cgk,
+    op03_hilbert,
+    op04_log_templates,
+    op05_budget_fit,
+    op06_host_rules,
+    op07_order_minhash,
+    op08_license_scan,
+    op09_co_training,
+    op10_hidden_markov,
+)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +33,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_held").alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op2_cgk_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op02_cgk.contaminated(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = op03_hilbert.hilbert_shards(_docs(spark, sf_dir))
     return out.select(
@@ -30,6 +45,10 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op04_log_templates.dedup_lines(_docs(spark, sf_dir))
+
+
 def op5_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_budget_fit.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -45,6 +64,20 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op07_order_minhash.near_duplicates(_docs(spark, sf_dir)).select("doc_id", "class_id", "class_size", "kept")
 
 
+def op8_license_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op08_license_scan.scan(_docs(spark, sf_dir), ["doc_id"])
+
+
+def op9_co_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    models = op09_co_training.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ["quality", "toxic"])
+    out = op09_co_training.scores(docs, models, ["doc_id"])
+    return out.select(
+        "doc_id", F.col("quality_score").alias("score"), "quality_text_view", "quality_meta_view", "toxic_score",
+        ((F.col("quality_score") >= 0.5) & (F.col("toxic_score") < 0.5)).alias("keep"),
+    )
+
+
 def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     held = op10_hidden_markov.held_out()
@@ -54,10 +87,14 @@ def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
+    "op2_cgk_decontam": op2_cgk_decontam,
     "op3_hilbert_shards": op3_hilbert_shards,
+    "op4_template_lines": op4_template_lines,
     "op5_budget_mix": op5_budget_mix,
     "op6_host_quality": op6_host_quality,
     "op7_order_minhash": op7_order_minhash,
+    "op8_license_spans": op8_license_spans,
+    "op9_co_trained": op9_co_trained,
     "op10_hmm_scores": op10_hmm_scores,
 }
 
