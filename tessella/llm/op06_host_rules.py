@@ -29,11 +29,14 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 MAX_SYMBOL_PERCENT = 10
 MAX_DUP_LINE_PERCENT = 30
+#: One line said twice in a short text is no fault yet.
+MIN_DUP_LINES = 2
+MAX_ECHO_PERCENT = 30
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-SOFT = ("symbols", "dup_lines")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_echo_words")
+SOFT = ("symbols", "dup_lines", "echo")
 
 
 def _repeated(keys: np.ndarray) -> np.ndarray:
@@ -72,8 +75,12 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     again = _later(keys)
     out["n_lines"] = np.bincount(line_row.astype(np.int64), minlength=len(count))
     out["n_dup_lines"] = np.bincount(line_row[again].astype(np.int64), minlength=len(count))
-    keys, at = windows(hashes(data, words.starts, words.ends), words.rows, WINDOW)
-    twice = at[_repeated(keys ^ mix(words.row_of()[at].astype(np.uint64) + np.uint64(1)))]
+    own, row = hashes(data, words.starts, words.ends), words.row_of()
+    echo = np.zeros(len(own), bool)
+    echo[1:] = (own[1:] == own[:-1]) & (row[1:] == row[:-1])
+    out["n_echo_words"] = row_sums(echo, words.rows)
+    keys, at = windows(own, words.rows, WINDOW)
+    twice = at[_repeated(keys ^ mix(row[at].astype(np.uint64) + np.uint64(1)))]
     edge = np.zeros(len(words) + 1, np.int64)
     np.add.at(edge, twice, 1)
     np.add.at(edge, twice + WINDOW, -1)
@@ -105,7 +112,8 @@ def base_failure() -> Column:
 def soft_failures() -> dict[str, Column]:
     return {
         "symbols": 100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("n_words"),
-        "dup_lines": 100 * F.col("n_dup_lines") > MAX_DUP_LINE_PERCENT * F.col("n_lines"),
+        "dup_lines": (100 * F.col("n_dup_lines") > MAX_DUP_LINE_PERCENT * F.col("n_lines")) & (F.col("n_dup_lines") >= MIN_DUP_LINES),
+        "echo": 100 * F.col("n_echo_words") > MAX_ECHO_PERCENT * F.col("n_words"),
     }
 
 

@@ -56,7 +56,7 @@ def op5_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_host_rules.host_rules(_docs(spark, sf_dir), ["doc_id"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        F.col("source").alias("host"), "host_fail_rate",
+        F.col("source").alias("host"), F.round("host_fail_rate", 6).alias("host_fail_rate"),
     )
 
 
@@ -98,4 +98,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_hmm_scores": op10_hmm_scores,
 }
 
-ORACLES: dict[str, str] = {}
+def _op6_sql() -> str:
+    """Measures by lists of words, rates and priors by host, verdicts joined back."""
+    o = op06_host_rules
+    rules = {
+        "base": f"n_words < {o.MIN_WORDS} OR 100 * n_repeat_words > {o.MAX_REPEAT_PERCENT} * n_words",
+        "symbols": f"100 * n_symbols > {o.MAX_SYMBOL_PERCENT} * n_words",
+        "dup_lines": f"100 * n_dup_lines > {o.MAX_DUP_LINE_PERCENT} * n_lines AND n_dup_lines >= {o.MIN_DUP_LINES}",
+        "echo": f"100 * n_echo_words > {o.MAX_ECHO_PERCENT} * n_words",
+    }
+    moments, priors, rates, joined = [], [], [], []
+    for k in rules:
+        m, noise = f"mean_{k}", f"mean_{k} * (1 - mean_{k})"
+        moments += [f"avg(fail_{k} / n_docs) AS mean_{k}", f"var_pop(fail_{k} / n_docs) AS var_{k}"]
+        weight = f"greatest(2.0, {noise} / greatest(var_{k} - {noise} / greatest(1.0, size), {noise} / 1e6) - 1)"
+        priors += [f"CASE WHEN {m} > 0 AND {m} < 1 THEN {m} * {weight} ELSE 0.5 + {m} END AS a_{k}", f"CASE WHEN {m} > 0 AND {m} < 1 THEN (1 - {m}) * {weight} ELSE 1.5 - {m} END AS b_{k}"]
+        rates += [f"(fail_{k} + a_{k}) / (n_docs + a_{k} + b_{k}) AS rate_{k}"]
+        joined += [f"(rate_{k} >= 0.01 AND bad_{k})"] if k != "base" else []
+    low = "rate_base - 1.96 * sqrt(rate_base * (1 - rate_base) / (n_docs + a_base + b_base + 1))"
+    return rf"""WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+      lines AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ln FROM w),
+      runs AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i+7], ' ')) AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
+      rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM runs WHERE c > 1) GROUP BY 1),
+      m AS (SELECT doc_id, source, len(w)::bigint AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint AS n_symbols, len(ln) AS n_lines,
+        (len(ln) - len(list_distinct(ln)))::bigint AS n_dup_lines, coalesce(rep.n, 0)::bigint AS n_repeat_words, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_echo_words FROM lines LEFT JOIN rep USING (doc_id)),
+      b AS (SELECT *, {", ".join(f"({r}) AS bad_{k}" for k, r in rules.items())} FROM m),
+      hosts AS (SELECT source, count(*)::double AS n_docs, {", ".join(f"count(*) FILTER (WHERE bad_{k})::double AS fail_{k}" for k in rules)} FROM b GROUP BY 1),
+      moments AS (SELECT count(*) / sum(1 / n_docs) AS size, {", ".join(moments)} FROM hosts),
+      rates AS (SELECT *, {", ".join(rates)} FROM hosts, (SELECT {", ".join(priors)} FROM moments))
+      SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bad_base AS base_failed, NOT bad_base AND NOT ({low} > 0.5 OR {" OR ".join(joined)}) AS kept, b.source AS host, round(rate_base, 6) AS host_fail_rate
+      FROM b JOIN rates ON b.source IS NOT DISTINCT FROM rates.source"""
+
+
+ORACLES: dict[str, str] = {"op6_host_quality": _op6_sql()}

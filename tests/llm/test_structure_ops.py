@@ -53,6 +53,20 @@ def test_measures_against_brute_force(spark):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_query_against_sql(spark):
+    import duckdb
+
+    from tessella.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    got = queries.QUERIES["op6_host_quality"](spark, sf)
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = c.sql(queries.ORACLES["op6_host_quality"])
+    assert got.columns == want.columns
+    assert Counter(map(tuple, got.collect())) == Counter(want.fetchall())
+
+
 def test_bad_host_goes_and_small_hosts_are_shrunk(spark):
     good = " ".join(f"word{i}" for i in range(30))
     rows = [(i, good, "en", f"h{i % 10}", 1) for i in range(1000)]
