@@ -69,6 +69,24 @@ def compare(micro_scores: DataFrame, strategies: DataFrame) -> DataFrame:
     )
 
 
+def top_two(micro_scores: DataFrame, strategies: DataFrame) -> DataFrame:
+    """The two best strategies by micro F1 (the first in order of several), side by side."""
+    df = micro_scores.join(F.broadcast(strategies), "strategy")
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("micro_f1"), "ord"))
+    own = df.withColumn("rn", rank).where("rn <= 2")
+    at = lambda i, c: F.max(F.when(F.col("rn") == i, F.col(c)))
+    return own.agg(at(1, "strategy").alias("first"), at(2, "strategy").alias("second"), (at(1, "micro_f1") - at(2, "micro_f1")).alias("difference"))
+
+
+def chunk_usage(runs: DataFrame, by: tuple[str, ...] = ("strategy",)) -> DataFrame:
+    """Windows that a run used: total, mean, and documents with several."""
+    multi = F.count_if(F.col("num_chunks") > 1)
+    return runs.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum("num_chunks").cast("long").alias("total_chunks"), F.avg("num_chunks").alias("avg_chunks"), multi.alias("n_multi"),
+        (multi * 100.0 / F.count(F.lit(1))).alias("multi_pct"),
+    )
+
+
 def arg_max(df: DataFrame, value: str, order: str) -> DataFrame:
     """The row with the largest value, the first in order of several."""
     whole = F.struct(*[F.col(c) for c in df.columns])
@@ -173,10 +191,11 @@ def disjoint_scores(scores: DataFrame) -> DataFrame:
     sums = scores.groupBy("strategy").agg(
         F.count(F.lit(1)).alias("n_total"), F.count_if(~known).alias("n_disjoint"), F.count_if(known).alias("n_overlap"),
         *[F.coalesce(F.sum(F.when(on, F.col(c))), F.lit(0)).alias(f"{c}_{p}") for p, on in parts.items() for c in ("tp", "fp", "fn")],
+        *[F.avg(F.when(on, F.col("perfect_match"))).alias(f"exact_{p}") for p, on in parts.items()],
     )
     out = sums.withColumns({f"f1_{p}": f1(F.col(f"tp_{p}"), F.col(f"fp_{p}"), F.col(f"fn_{p}")) for p in parts})
     return out.select(
-        "strategy", "n_total", "n_disjoint", "n_overlap", "f1_full", "f1_disjoint", "f1_overlap",
+        "strategy", "n_total", "n_disjoint", "n_overlap", "f1_full", "f1_disjoint", "f1_overlap", "exact_full", "exact_disjoint", "exact_overlap",
         (F.col("f1_overlap") - F.col("f1_disjoint")).alias("gap_overlap_minus_disjoint"), (F.col("f1_full") - F.col("f1_disjoint")).alias("gap_full_minus_disjoint"),
     )
 

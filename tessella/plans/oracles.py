@@ -73,7 +73,7 @@ _CTE = {
     "pos": "SELECT *, row_number() OVER (ORDER BY ('0x'||substr(md5(sample_id::varchar),1,2))::int, sample_id)-1 AS pos FROM (SELECT DISTINCT sample_id FROM sc)",
     "nn": "SELECT count(*) AS n FROM pos",
     "draw": f"SELECT iter, ('0x'||substr(md5('42:'||iter::varchar||':'||j::varchar),1,8))::bigint % n AS pos FROM (SELECT n, unnest(range({ITERATIONS})) AS iter FROM nn), LATERAL (SELECT unnest(range(n)) AS j)",
-    "boot": """SELECT iter, strategy, k, 2.0*sum(tp)/(2*sum(tp)+sum(fp)+sum(fn)) AS f1 FROM draw JOIN pos USING (pos) JOIN sc USING (sample_id) GROUP BY ALL""",
+    "boot": """SELECT iter, strategy, k, 2.0*sum(tp)/(2*sum(tp)+sum(fp)+sum(fn)) AS f1, (sum(tp)/sum(tp+fp))::double AS precision, (sum(tp)/sum(tp+fn))::double AS recall, avg((fp+fn=0)::int)::double AS exact_match FROM draw JOIN pos USING (pos) JOIN sc USING (sample_id) GROUP BY ALL""",
     "resp0": "SELECT sample_id, sample_id%6 AS kind, coalesce(list_sort(list(code) FILTER (WHERE p)), []) AS c FROM ev WHERE strategy='ZS' GROUP BY ALL",
 }
 _NEEDS = {
@@ -300,12 +300,23 @@ ORACLES: dict[str, str] = {
     "multi_hot_metrics": _with("ev", """SELECT strategy, round(sum(tp)::double/sum(tp+fp),6) AS micro_p, round(sum(tp)::double/sum(tp+fn),6) AS micro_r, round(2.0*sum(tp)/sum(2*tp+fp+fn),6)::double AS micro_f1, round(avg((fp+fn=0)::int),6) AS exact_match FROM (SELECT strategy, sample_id,
       count(*) FILTER (WHERE a AND p AND v) AS tp, count(*) FILTER (WHERE p AND NOT a AND v) AS fp, count(*) FILTER (WHERE a AND NOT p AND v) AS fn FROM (SELECT *, code IN (SELECT code FROM voc) AS v FROM ev) GROUP BY 1,2) GROUP BY 1""",
       voc="SELECT DISTINCT code FROM ev WHERE strategy='ZS' AND a ORDER BY code LIMIT 30"),
-    "disjoint_scores": _with("sc pat", """SELECT strategy, n_total, n_disjoint, n_overlap, round(f,6) AS f1_full, round(d,6) AS f1_disjoint, round(o,6) AS f1_overlap, round(o-d,6) AS gap_overlap_minus_disjoint, round(f-d,6) AS gap_full_minus_disjoint FROM (SELECT strategy, count(*)::bigint AS n_total,
+    "disjoint_scores": _with("sc pat", """SELECT strategy, n_total, n_disjoint, n_overlap, round(f,6) AS f1_full, round(d,6) AS f1_disjoint, round(o,6) AS f1_overlap, round(ef,6) AS exact_full, round(ed,6) AS exact_disjoint, round(eo,6) AS exact_overlap, round(o-d,6) AS gap_overlap_minus_disjoint, round(f-d,6) AS gap_full_minus_disjoint FROM (SELECT strategy, count(*)::bigint AS n_total,
       count(*) FILTER (WHERE NOT known)::bigint AS n_disjoint, count(*) FILTER (WHERE known)::bigint AS n_overlap, (2.0*sum(tp)/sum(2*tp+fp+fn))::double AS f, coalesce(2.0*sum(tp) FILTER (WHERE NOT known)/nullif(sum(2*tp+fp+fn) FILTER (WHERE NOT known),0),0)::double AS d,
-      coalesce(2.0*sum(tp) FILTER (WHERE known)/nullif(sum(2*tp+fp+fn) FILTER (WHERE known),0),0)::double AS o FROM sc JOIN pat USING (sample_id) GROUP BY 1)"""),
-    "bootstrap_ci": _with("boot", "SELECT strategy, round(lo,6) AS ci_lo, round(hi,6) AS ci_hi FROM (SELECT strategy, " + _QUANT.format("f1::double") + " FROM boot GROUP BY 1)"),
+      coalesce(2.0*sum(tp) FILTER (WHERE known)/nullif(sum(2*tp+fp+fn) FILTER (WHERE known),0),0)::double AS o,
+      avg((fp+fn=0)::int) AS ef, avg((fp+fn=0)::int) FILTER (WHERE NOT known) AS ed, avg((fp+fn=0)::int) FILTER (WHERE known) AS eo FROM sc JOIN pat USING (sample_id) GROUP BY 1)"""),
+    "bootstrap_ci": _with("boot", " UNION ALL ".join(f"SELECT strategy, '{m}' AS metric, round(lo,6) AS ci_lo, round(hi,6) AS ci_hi FROM (SELECT strategy, " + _QUANT.format(f"{m}::double") + " FROM boot GROUP BY 1)" for m in ("f1", "precision", "recall", "exact_match"))),
     "paired_bootstrap": _with("boot", "SELECT strategy_a, strategy_b, round(lo,6) AS ci_lo, round(hi,6) AS ci_hi FROM (SELECT a.strategy AS strategy_a, b.strategy AS strategy_b, " + _QUANT.format("(a.f1-b.f1)::double") + " FROM boot a JOIN boot b ON a.iter=b.iter AND a.k<b.k WHERE a.k>=2 GROUP BY 1,2)"),
     "permutation_test": _permutation(),
+    "holm_adjust": """SELECT pair, p_raw, round(least(1.0, max(adj) OVER w),6)::double AS p_holm, least(1.0, max(adj) OVER w)<0.05 AS significant FROM (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p_raw, pair) + 1)*p_raw AS adj
+      FROM (VALUES ('a',0.01::double),('b',0.04),('c',0.03),('d',0.005),('e',0.5),('f',0.04),('g',1.0)) v(pair, p_raw)) WINDOW w AS (ORDER BY p_raw, pair ROWS UNBOUNDED PRECEDING)""",
+    "top_two": _with("mic", "SELECT max(strategy) FILTER (WHERE r=1) AS first, max(strategy) FILTER (WHERE r=2) AS second, round(max(micro_f1) FILTER (WHERE r=1)-max(micro_f1) FILTER (WHERE r=2),6) AS difference FROM (SELECT *, row_number() OVER (ORDER BY micro_f1 DESC, k) AS r FROM mic)"),
+    "latex_table": _with("mic", "SELECT strategy, ((rank() OVER (ORDER BY round(micro_f1,3) DESC)=1)::int+(rank() OVER (ORDER BY round(micro_p,3) DESC)=1)::int+(rank() OVER (ORDER BY round(micro_r,3) DESC)=1)::int)::bigint AS n_best FROM mic"),
+    "checkpoint_selection": _with("mic", "SELECT 'checkpoint-'||(k*100+100)::varchar AS name, (k*100+100)::bigint AS step, round(micro_f1,6) AS micro_f1, row_number() OVER (ORDER BY mic.micro_f1 DESC, k)=1 AS is_best FROM mic WHERE k*100+100>=200"),
+    "chunk_union": "SELECT l_orderkey, string_agg(DISTINCT 'F'||lpad((l_partkey%40)::varchar,2,'0'), '; ' ORDER BY 'F'||lpad((l_partkey%40)::varchar,2,'0')) AS codes, count(DISTINCT l_linenumber%2)::bigint AS num_chunks FROM lineitem GROUP BY 1",
+    "chunk_usage": _with("chunks", """SELECT lang, count(*)::bigint AS n_docs, sum(n)::bigint AS total_chunks, round(avg(n),6) AS avg_chunks, count(*) FILTER (WHERE n>1)::bigint AS n_multi, round(count(*) FILTER (WHERE n>1)*100.0/count(*),6)::double AS multi_pct
+      FROM (SELECT doc_id, count(*) AS n FROM chunks GROUP BY 1) JOIN documents USING (doc_id) GROUP BY 1"""),
+    "label_vocabulary": _with("freq", "SELECT f_code, row_number() OVER (ORDER BY f_code)-1 AS label_id FROM freq"),
+    "literal_list": _with("termdf", "SELECT (i//2)::bigint AS line, string_agg(chr(39)||term||chr(39), ', ' ORDER BY term) AS text FROM (SELECT term, row_number() OVER (ORDER BY term)-1 AS i FROM (SELECT term FROM termdf ORDER BY n_docs DESC, term LIMIT 5)) GROUP BY 1"),
     "cluster_bootstrap": _cluster(),
     "gap_bootstrap": _gap(),
     "chunk_sensitivity": _sensitivity(),
@@ -317,3 +328,5 @@ ORACLES: dict[str, str] = {
     "chat_messages": "SELECT conv_id, count(*)::bigint AS n_turns, string_agg(role||':'||length(text)::varchar, ',' ORDER BY turn, role, text) AS shape FROM conversations GROUP BY 1",
     "training_chats": _with("cohort", "SELECT hadm_id, 3::bigint AS n_messages, md5('Discharge Summary:'||chr(10)||text) AS user_md5, '[\"'||replace(f_codes_str,', ','\", \"')||'\"]' AS answer FROM cohort"),
 }
+ORACLES["pairwise_comparison"] = f"""SELECT *, CASE WHEN p_holm<0.001 THEN '***' WHEN p_holm<0.01 THEN '**' WHEN p_holm<0.05 THEN '*' ELSE 'ns' END AS stars
+  FROM ({ORACLES["paired_bootstrap"]}) b JOIN ({ORACLES["permutation_test"]}) p USING (strategy_a, strategy_b)"""

@@ -12,6 +12,7 @@ from ..functions import metrics as M
 from ..functions import text as X
 from ..operators import chunk, cohort, keywords, rank, resample, score
 from ..session import table
+from ..sources import readers, writers
 from . import projections as P
 
 #: Windows of the short given texts, and iterations of resampling here.
@@ -270,6 +271,46 @@ def best_strategy(spark, sf):
     return _r6("micro_f1")(score.arg_max(scores.select("strategy", "ord", "micro_f1"), "micro_f1", "ord"))
 
 
+def top_two(spark, sf):
+    return _r6("difference")(score.top_two(score.micro(_scores(spark, sf), ("strategy",)), P.strategies(spark)))
+
+
+def latex_table(spark, sf):
+    scores = score.micro(_scores(spark, sf), ("strategy",)).select("strategy", *[F.round(c, 3).alias(c) for c in ("micro_f1", "micro_p", "micro_r")])
+    return writers.latex_rows(scores, "strategy", ["micro_f1", "micro_p", "micro_r"]).select("strategy", F.regexp_count("latex", F.lit("textbf")).cast("long").alias("n_best"))
+
+
+def checkpoint_selection(spark, sf):
+    """Strategies taken for checkpoints: micro F1 of each from the step on, and the best, the first of several."""
+    names = P.strategies(spark).select(F.concat(F.lit("checkpoint-"), (F.col("ord") * 100 + 100).cast("string")).alias("name"), "strategy")
+    steps = readers.checkpoints(names.select("name"), 200).join(names, "name")
+    scores = score.micro(_scores(spark, sf), ("strategy",)).join(F.broadcast(steps), "strategy").select("name", "step", "micro_f1")
+    best = score.arg_max(scores, "micro_f1", "step").select(F.col("name").alias("best"))
+    return _r6("micro_f1")(scores.join(F.broadcast(best), F.lit(True)).select("name", "step", "micro_f1", (F.col("name") == F.col("best")).alias("is_best")))
+
+
+def chunk_union(spark, sf):
+    """Predictions of a document's windows joined: windows are the lines of an order by parity."""
+    li = table(spark, sf, "lineitem")
+    code = F.concat(F.lit("F"), F.lpad((F.col("l_partkey") % 40).cast("string"), 2, "0"))
+    chunks = li.groupBy("l_orderkey", (F.col("l_linenumber") % 2).alias("c")).agg(F.collect_set(code).alias("codes"))
+    return score.union_over_chunks(chunks, "l_orderkey").select("l_orderkey", F.array_join("predicted_codes", "; ").alias("codes"), F.col("num_chunks"))
+
+
+def chunk_usage(spark, sf):
+    own = _docs(spark, sf).select("lang", F.size(X.window_spans(_tokens(), SIZE, OVERLAP)).alias("num_chunks"))
+    return _r6("avg_chunks", "multi_pct")(score.chunk_usage(own, ("lang",)))
+
+
+def label_vocabulary(spark, sf):
+    return score.label_vocabulary(P.labelled(spark, sf), P.codes_of())
+
+
+def literal_list(spark, sf):
+    freq = keywords.top_terms(term_doc_frequency(spark, sf), 5)
+    return writers.literal_lines(freq, "term", 2)
+
+
 def category_metrics(spark, sf):
     return _r6("precision", "recall", "f1")(score.by_category(P.results(spark, sf)))
 
@@ -332,7 +373,7 @@ def multi_hot_metrics(spark, sf):
 
 def disjoint_scores(spark, sf):
     own = _scores(spark, sf).join(P.result_patients(spark, sf), "sample_id")
-    return _r6("f1_full", "f1_disjoint", "f1_overlap", "gap_overlap_minus_disjoint", "gap_full_minus_disjoint")(score.disjoint_scores(own))
+    return _r6("f1_full", "f1_disjoint", "f1_overlap", "exact_full", "exact_disjoint", "exact_overlap", "gap_overlap_minus_disjoint", "gap_full_minus_disjoint")(score.disjoint_scores(own))
 
 
 def _wide(spark, sf):
@@ -353,9 +394,15 @@ def _f1(k) -> Column:
 
 def bootstrap_ci(spark, sf):
     df, n = _wide(spark, sf)
-    sums = resample.bootstrap_sums(df, n, _VALUES, ITERATIONS, 42)
-    long = sums.select(F.explode(F.array(*[F.struct(F.lit(s).alias("strategy"), _f1(k).alias("f1")) for k, s, _ in P.STRATEGIES])).alias("x")).select("x.*")
-    return _r6("ci_lo", "ci_hi")(resample.interval(long, F.col("f1"), ("strategy",)))
+    exact = [f"em_{k}" for k, _, _ in P.STRATEGIES]
+    df = df.withColumns({f"em_{k}": ((F.col(f"fp_{k}") + F.col(f"fn_{k}")) == 0).cast("long") for k, _, _ in P.STRATEGIES})
+    sums = resample.bootstrap_sums(df, n, _VALUES + exact, ITERATIONS, 42)
+    rows = []
+    for k, s, _ in P.STRATEGIES:
+        found = {"f1": _f1(k), "precision": M.precision(F.col(f"tp_{k}"), F.col(f"fp_{k}")), "recall": M.recall(F.col(f"tp_{k}"), F.col(f"fn_{k}")), "exact_match": F.col(f"em_{k}") / F.lit(float(max(1, n)))}
+        rows += [F.struct(F.lit(s).alias("strategy"), F.lit(m).alias("metric"), v.alias("v")) for m, v in found.items()]
+    long = sums.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+    return _r6("ci_lo", "ci_hi")(resample.interval(long, F.col("v"), ("strategy", "metric")))
 
 
 def _pairs():
@@ -381,6 +428,16 @@ def permutation_test(spark, sf):
     return _r6("diff", "p_raw", "p_holm")(resample.holm(tests, tie=("strategy_a", "strategy_b")))
 
 
+def pairwise_comparison(spark, sf):
+    """Each pair of fine-tuned strategies with difference, interval and corrected p."""
+    return paired_bootstrap(spark, sf).join(permutation_test(spark, sf), ["strategy_a", "strategy_b"]).withColumn("stars", M.stars(F.col("p_holm")))
+
+
+def holm_adjust(spark, sf):
+    ps = [("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", 0.005), ("e", 0.5), ("f", 0.04), ("g", 1.0)]
+    return _r6("p_holm")(resample.holm(spark.createDataFrame(ps, "pair string, p_raw double"), tie=("pair",)))
+
+
 def cluster_bootstrap(spark, sf):
     own = _scores(spark, sf).where("strategy = 'CoT'").join(P.result_patients(spark, sf).select("sample_id", "subject_id"), "sample_id")
     per = own.groupBy("subject_id").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
@@ -473,5 +530,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         frequency_tiers, best_worst_codes, frequency_regression, f1_histogram, error_categories, error_samples, fp_counts, fn_counts, confusion_pairs,
         fp_cooccurrence_matrix, multi_hot_metrics, disjoint_scores, bootstrap_ci, paired_bootstrap, permutation_test, cluster_bootstrap, gap_bootstrap,
         chunk_sensitivity, parse_responses, parse_label_lists, instruction_rows, chat_messages, training_chats,
+        pairwise_comparison, holm_adjust, top_two, latex_table, checkpoint_selection, chunk_union, chunk_usage, label_vocabulary, literal_list,
     )
 }

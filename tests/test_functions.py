@@ -133,6 +133,12 @@ def test_enrichment_against_counter(spark):
     assert set(floor) == {"fever", "day"} and floor["fever"] == pytest.approx((2 / 5) / (1 / 8))
     freq = {r["term"]: r["n_docs"] for r in keywords.term_document_frequency(df, "text", ["day", "pai", "fever"]).collect()}
     assert freq == {"day": 3, "pai": 0, "fever": 2}
+    terms = ["day", "pai", "fever", "no pain", "pain pain fever", "other  day", "fine", "-x", "day."] + [f"t{i}" for i in range(40)]
+    many = {r["term"]: r["n_docs"] for r in keywords.term_document_frequency(df, "text", terms).collect()}
+    few = {}
+    for i in range(0, len(terms), 20):
+        few |= {r["term"]: r["n_docs"] for r in keywords.term_document_frequency(df, "text", terms[i : i + 20]).collect()}
+    assert many == few and many["no pain"] == 1 and many["pain pain fever"] == 1
 
 
 CODES = st.lists(st.sampled_from(["F1", "F2", "F3", "F4"]), max_size=5)
