@@ -55,17 +55,23 @@ def without_conflicts(df: DataFrame) -> DataFrame:
 def stratified_split(df: DataFrame, key: str, stratum: str, seed: int = 42, train: int = 70, val: int = 15) -> DataFrame:
     """``split`` by seeded hash order within each stratum: the first ``train`` % and the next ``val`` %, rounded down.
 
-    If any stratum has fewer than two rows, the split isn't stratified. Strata are windows of their own; a table with a
-    stratum that no task can sort takes hash_split.
+    If any stratum has fewer than two rows, the split isn't stratified. Ranks are exact, but no stratum is sorted in one
+    piece: it is numbered in 256 buckets by the first byte of the hash, which are laid end to end by their counts.
     """
     small = df.groupBy(stratum).count().agg(F.min("count")).first()[0]
     part = F.col(stratum) if small is not None and small >= 2 else F.lit(0)
-    rank = F.row_number().over(Window.partitionBy(part).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key))
-    n = F.count(F.lit(1)).over(Window.partitionBy(part))
-    cut = lambda share: F.floor(n * share / 100)
-    return df.withColumn("_rn", rank).withColumn("_train", cut(train)).withColumn("_val", cut(train + val)).withColumn(
-        "split", F.when(F.col("_rn") <= F.col("_train"), "train").when(F.col("_rn") <= F.col("_val"), "val").otherwise("test")
-    ).drop("_rn", "_train", "_val")
+    own = df.withColumn("_part", part).withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).withColumn("_b", F.substring("_h", 1, 2))
+    counts = own.groupBy("_part", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy("_part")
+    counts = counts.select(
+        F.col("_part").alias("_p"), F.col("_b").alias("_c"), F.sum("_n").over(whole).alias("_all"),
+        (F.sum("_n").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"),
+    )
+    placed = own.join(counts, own["_part"].eqNullSafe(counts["_p"]) & own["_b"].eqNullSafe(counts["_c"]))
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_part", "_b").orderBy("_h", key))
+    upto = lambda share: F.floor(F.col("_all") * share / 100)
+    split = F.when(rank <= upto(train), "train").when(rank <= upto(train + val), "val").otherwise("test")
+    return placed.withColumn("split", split).drop("_part", "_h", "_b", "_p", "_c", "_all", "_before")
 
 
 def hash_split(df: DataFrame, key: str, seed: int = 42, train: int = 70, val: int = 15) -> DataFrame:
