@@ -177,24 +177,26 @@ def line_templates(docs: DataFrame, text_col: str, min_docs: int, similarity: fl
     # how many distinct lines a leaf has decides its salt; equal lines share one
     sizes = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LEAF_LINES)
     sizes = cut(sizes.withColumn("parts", F.ceil(F.col("n") / LEAF_LINES)).select("leaf", "parts"))
-    if sizes.limit(1).count():
-        joined = lines.join(sizes, "leaf", "left")
-        salt = F.pmod(F.xxhash64("line"), F.coalesce("parts", F.lit(1)))
-        lines = joined.withColumn("part", F.when(F.col("parts").isNull(), F.col("leaf")).otherwise(F.xxhash64("leaf", salt)))
-        first = cut(cluster(lines.select("part", "line", "docs", "tokens", "leaf"), "part", similarity, 1 if min_docs <= 1 else 2))
-        large = lines.where(F.col("parts").isNotNull()).select("leaf", F.col("part").alias("key")).distinct()
-        parts = first.select("template", "key", "docs", "tokens").dropDuplicates(["template"]).join(large, "key")
-        merged = cluster(parts.select("leaf", F.col("template").alias("line"), F.col("docs").cast("int").alias("docs"), "tokens"), "leaf", similarity, min_docs)
-        merged = merged.select(F.col("line").alias("template"), F.col("template").alias("whole"))
-        return first.select("line", "template").join(merged, "template", "left").select("line", F.coalesce("whole", "template").alias("template"))
-    return cluster(lines.withColumnRenamed("leaf", "part"), "part", similarity, min_docs).select("line", "template")
+    if not sizes.limit(1).count():
+        return cluster(lines.withColumnRenamed("leaf", "part"), "part", similarity, min_docs).select("line", "template")
+    joined = lines.join(sizes, "leaf", "left")
+    small = cluster(joined.where("parts is null").withColumnRenamed("leaf", "part"), "part", similarity, min_docs).select("line", "template")
+    salted = joined.where("parts is not null").withColumn("part", F.xxhash64("leaf", F.pmod(F.xxhash64("line"), F.col("parts"))))
+    # every line of a large leaf keeps its template here, however rare: what is rare in a part can recur in the leaf
+    first = cut(cluster(salted, "part", similarity, 0))
+    leaves = salted.select("leaf", F.col("part").alias("key")).distinct()
+    parts = first.groupBy("template", "key").agg(F.max("docs").alias("docs"), F.any_value("tokens").alias("tokens")).join(leaves, "key")
+    merged = cluster(parts.select("leaf", F.col("template").alias("line"), F.col("docs").cast("int").alias("docs"), "tokens"), "leaf", similarity, min_docs)
+    merged = merged.select(F.col("line").alias("first"), F.col("template").alias("whole"))
+    large = first.join(merged, first["template"] == merged["first"]).select("line", F.col("whole").alias("template"))
+    return small.unionByName(large)
 
 
 def dropped_lines(docs: DataFrame, id_col: str, text_col: str = "text", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """_id, _key (MD5 of the text) and _drop: numbers of the line-feed parts of the text that belong to recurring templates."""
     slim = docs.select(F.col(id_col).alias("_id"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("_key"), F.col(text_col).alias("_text"))
     slim = slim.withColumn("_row", F.monotonically_increasing_id())
-    templates = cut(line_templates(docs, text_col, min_docs, similarity))
+    templates = line_templates(docs, text_col, min_docs, similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in row_slices(batches, "_text"):
@@ -209,7 +211,8 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str = "text", min_docs
     lines = slim.mapInArrow(run, f"_id {kind}, _key binary, _row long, number int, line long")
     lines = cut(lines.join(templates, "line").drop("line"))
     recurring = lines.select("template", "_row").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
-    mine = lines.join(recurring.select("template"), "template")
+    recurring = cut(recurring.select("template"))  # else the join keeps its partitioning, and a template that is everywhere can't be split
+    mine = lines.join(recurring, "template")
     return mine.groupBy("_id", "_key").agg(F.sort_array(F.collect_set("number")).alias("_drop"))
 
 
