@@ -7,14 +7,21 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Input splits behind one file of a narrow table.
+SPLITS_A_FILE = 8
+
+
+def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it from there from now on.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a temporary folder takes its place.
+    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests on one machine, a
+    temporary folder takes its place. ``narrow``: the table has a few numbers for each row of a scan; a file then takes
+    several input splits (as long as every core has two), so that a large input doesn't leave a heap of tiny files.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessella-checkpoint-"))
+    if narrow:
+        df = df.coalesce(max(2 * context.defaultParallelism, -(-df.rdd.getNumPartitions() // SPLITS_A_FILE)))
     return df.checkpoint(eager=True)

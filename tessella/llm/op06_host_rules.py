@@ -32,6 +32,9 @@ MAX_DUP_LINE_PERCENT = 30
 #: One line said twice in a short text is no fault yet.
 MIN_DUP_LINES = 2
 MAX_ECHO_PERCENT = 30
+#: A row of a host has a name and a few numbers: some 20 MB at most.
+BROADCAST_HOSTS = 100_000
+SALTS = 32
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -132,8 +135,8 @@ def beta_prior(mean: float | None, var: float | None, size: float | None) -> tup
     return m * weight, (1 - m) * weight
 
 
-def host_rates(measured: DataFrame, host: str, rules: dict[str, Column], z: float = 1.96) -> DataFrame:
-    """For each host: n_docs and, for each rule, failures, the shrunk rate and the low end of its posterior."""
+def host_rates(measured: DataFrame, host: str, rules: dict[str, Column], z: float = 1.96) -> tuple[DataFrame, int]:
+    """For each host: n_docs and, for each rule, failures, the shrunk rate and the low end of its posterior; their number."""
     hosts = cut(
         measured.groupBy(F.col(host).alias("host")).agg(
             F.count(F.lit(1)).alias("n_docs"), *[F.sum(r.cast("long")).alias(f"fail_{k}") for k, r in rules.items()]
@@ -151,18 +154,28 @@ def host_rates(measured: DataFrame, host: str, rules: dict[str, Column], z: floa
         shrunk = (F.col(f"fail_{k}") + F.lit(a)) / total
         out = out.withColumn(f"rate_{k}", shrunk)
         out = out.withColumn(f"low_{k}", F.greatest(F.lit(0.0), F.col(f"rate_{k}") - z * F.sqrt(F.col(f"rate_{k}") * (1 - F.col(f"rate_{k}")) / (total + 1))))
-    return out
+    return out, hosts.count()
+
 
+def _with_verdicts(measured: DataFrame, host: str, hosts: tuple[DataFrame, int], reject_rate: float, watch_rate: float) -> DataFrame:
+    """``measured`` with _reject, host_fail_rate and _kept.
 
-def _with_verdicts(measured: DataFrame, host: str, rates: DataFrame, reject_rate: float, watch_rate: float) -> DataFrame:
-    """``measured`` with _reject, host_fail_rate and _kept. The table of hosts is joined as its size allows."""
+    Up to ``BROADCAST_HOSTS`` hosts are broadcast, so that rows stay where they are; more are joined by host and salt,
+    so that no host's rows meet in one task.
+    """
+    rates, n_hosts = hosts
     rates = rates.select(
         F.col("host").alias("_host"),
         F.col("rate_base").alias("host_fail_rate"),
         (F.col("low_base") > reject_rate).alias("_reject"),
         *[(F.col(f"rate_{k}") >= watch_rate).alias(f"_watch_{k}") for k in SOFT],
     )
-    joined = measured.join(rates, measured[host].eqNullSafe(rates["_host"]), "left")
+    if n_hosts <= BROADCAST_HOSTS:
+        joined = measured.join(F.broadcast(rates), measured[host].eqNullSafe(rates["_host"]), "left")
+    else:
+        rates = rates.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        measured = measured.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
+        joined = measured.join(rates, measured[host].eqNullSafe(rates["_host"]) & (measured["_salt"] == rates["_part"]), "left")
     gone = F.col("_reject")
     for k, failed in soft_failures().items():
         gone = gone | (F.col(f"_watch_{k}") & failed)
@@ -178,7 +191,7 @@ def host_rules(
     measures are written to the shared folder, then summed by host and joined back.
     """
     own = [c for c in carry if c != host_col] + [host_col]
-    measured = cut(text_measures(docs, own, text_col))
+    measured = cut(text_measures(docs, own, text_col), narrow=True)
     host = f"_c{len(own) - 1}"
     rates = host_rates(measured, host, {"base": base_failure()} | soft_failures())
     return _with_verdicts(measured, host, rates, reject_rate, watch_rate).select(

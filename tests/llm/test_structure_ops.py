@@ -67,7 +67,9 @@ def test_query_against_sql(spark):
     assert Counter(map(tuple, got.collect())) == Counter(want.fetchall())
 
 
-def test_bad_host_goes_and_small_hosts_are_shrunk(spark):
+@pytest.mark.parametrize("broadcast", [100_000, 3])
+def test_bad_host_goes_and_small_hosts_are_shrunk(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(op06_host_rules, "BROADCAST_HOSTS", broadcast)
     good = " ".join(f"word{i}" for i in range(30))
     rows = [(i, good, "en", f"h{i % 10}", 1) for i in range(1000)]
     rows += [(2000 + i, good if i % 10 == 0 else "short", "en", "bad", 1) for i in range(200)]
