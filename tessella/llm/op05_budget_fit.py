@@ -118,7 +118,7 @@ def mix(
         *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)],
     )
     slim = slim.withColumn("_h", F.xxhash64(F.lit(seed), F.col("_id").cast("string"), "_size"))
-    slim = cut(slim.withColumn("_b", F.pmod(F.col("_h"), F.lit(BUCKETS)).cast("int")))
+    slim = cut(slim.withColumn("_b", F.pmod(F.col("_h"), F.lit(BUCKETS)).cast("int")), narrow=True)
     per_bucket = cut(slim.groupBy("_source", "_size", "_b").agg(F.count(F.lit(1)).alias("_n")))
     lengths = per_bucket.groupBy("_source", "_size").agg(F.sum("_n").alias("_n"))
 
