@@ -130,4 +130,38 @@ def _op6_sql() -> str:
       FROM b JOIN rates ON b.source IS NOT DISTINCT FROM rates.source"""
 
 
-ORACLES: dict[str, str] = {"op6_host_quality": _op6_sql()}
+def _op3_sql(dims: tuple[str, ...] = ("source", "lang"), bits: int = 5, shards: int = 8) -> str:
+    """Bins by cut points, the curve by the steps of its definition, runs by row number; CRC-32 from its polynomial.
+
+    Cut points of the size are exact here and approximate in Spark: the same up to some thousand rows, later a rank apart.
+    """
+    bins = 1 << bits
+    shares = ", ".join(str(i / bins) for i in range(1, bins))
+    step, k = ["cells AS (SELECT *, " + ", ".join(f"b{i} AS x{i}" for i in range(3)) + " FROM binned)"], "cells"
+    for b in range(bits - 1, 0, -1):
+        low = (1 << b) - 1
+        for i in range(3):
+            on, swap = f"((x{i} >> {b}) & 1) = 1", f"CASE WHEN ((x{i} >> {b}) & 1) = 1 THEN 0 ELSE xor(x0, x{i}) & {low} END"
+            cols = [f"xor(x0, CASE WHEN {on} THEN {low} ELSE xor(x0, x{i}) & {low} END) AS x0"]
+            cols += [f"xor(x{j}, {swap}) AS x{j}" if j == i else f"x{j}" for j in (1, 2)]
+            name = f"s{b}_{i}"
+            step.append(f"{name} AS (SELECT * EXCLUDE (x0, x1, x2), {', '.join(cols)} FROM {k})")
+            k = name
+    word = " + ".join(f"(((x{i} >> {b}) & 1) << {3 * b + 2 - i})" for b in range(bits) for i in range(3))
+    g = "g0"
+    step.append(f"g0 AS (SELECT *, ({word})::bigint AS w FROM {k})")
+    for s in (1, 2, 4, 8):
+        step.append(f"g{s} AS (SELECT * EXCLUDE (w), xor(w, w >> {s}) AS w FROM {g})")
+        g = f"g{s}"
+    ranks = [f"d{i} AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS r FROM (SELECT DISTINCT {d} AS v FROM documents WHERE {d} IS NOT NULL))" for i, d in enumerate(dims)]
+    return rf"""WITH poly(c0) AS (SELECT unnest(range(256))), t8 AS (SELECT c0, list_reduce(list_concat([c0], range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM poly),
+      tab AS (SELECT list(c ORDER BY c0) AS t FROM t8), h AS (SELECT doc_id, {", ".join(dims)}, text, hex(encode(text)) AS hx FROM documents),
+      d AS (SELECT *, coalesce(length(hx) // 2, 0) + 1 AS size, CASE WHEN text IS NOT NULL THEN xor(list_reduce(list_concat([4294967295], list_transform(range(0, length(hx) // 2), lambda i: ('0x' || substr(hx, 2 * i + 1, 2))::bigint)),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) END AS text_crc32 FROM h, tab),
+      q AS (SELECT list_distinct(quantile_disc(size, [{shares}])) AS cuts FROM d), {", ".join(ranks)},
+      binned AS (SELECT d.doc_id, d.size, d.text_crc32, coalesce(d0.r, 0)::bigint AS b0, coalesce(d1.r, 0)::bigint AS b1, len(list_filter(cuts, lambda c: c <= size))::bigint AS b2 FROM d CROSS JOIN q LEFT JOIN d0 ON d.{dims[0]} = d0.v LEFT JOIN d1 ON d.{dims[1]} = d1.v),
+      {", ".join(step)}, placed AS (SELECT *, row_number() OVER (ORDER BY w, text_crc32 NULLS FIRST, doc_id NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM {g})
+      SELECT doc_id, size::bigint AS size, text_crc32::bigint AS text_crc32, 'rows' AS law, (i * {shards} // n)::int AS shard, (i - ((i * {shards} // n) * n + {shards - 1}) // {shards})::bigint AS slot, NULL::int AS grown_shard, w::bigint AS curve_index FROM placed"""
+
+
+ORACLES: dict[str, str] = {"op3_hilbert_shards": _op3_sql(), "op6_host_quality": _op6_sql()}

@@ -53,16 +53,17 @@ def test_measures_against_brute_force(spark):
         assert not (r["base_failed"] and r["kept"])
 
 
-def test_query_against_sql(spark):
+@pytest.mark.parametrize("name", ["op3_hilbert_shards", "op6_host_quality"])
+def test_query_against_sql(spark, name):
     import duckdb
 
     from tessella.llm import queries
 
     sf = "/root/testdata/sf0.001"
-    got = queries.QUERIES["op6_host_quality"](spark, sf)
+    got = queries.QUERIES[name](spark, sf)
     c = duckdb.connect()
     c.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
-    want = c.sql(queries.ORACLES["op6_host_quality"])
+    want = c.sql(queries.ORACLES[name])
     assert got.columns == want.columns
     assert Counter(map(tuple, got.collect())) == Counter(want.fetchall())
 
