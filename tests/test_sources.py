@@ -40,8 +40,8 @@ def test_reports(spark, tmp_path):
 
 
 def test_names_terms_checkpoints(spark, tmp_path, monkeypatch):
-    assert readers.match_name("6d", ["x_6d", "6d_CoT", "6d"]) == "6d" and readers.match_name("6d", ["x_6d", "6d_CoT"]) == "6d_CoT"
-    assert readers.match_name("6d", ["x_6d"]) == "x_6d" and readers.match_name("q", ["a"]) is None
+    assert readers.match_name("run", ["x_run", "run_2", "run"]) == "run" and readers.match_name("run", ["x_run", "run_2"]) == "run_2"
+    assert readers.match_name("run", ["x_run"]) == "x_run" and readers.match_name("q", ["a"]) is None
     (tmp_path / "t.csv").write_text("term,category\n lithium ,Mood\n,x\n")
     (tmp_path / "t.txt").write_text("one\n\n two\n")
     assert [r["term"] for r in readers.terms(spark, str(tmp_path / "t.csv")).collect()] == ["lithium"]
