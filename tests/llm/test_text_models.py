@@ -225,6 +225,25 @@ def test_large_group_of_near_copies(spark):
     assert all(r["class_id"] == r["doc_id"] for r in got if r["doc_id"] >= 1000)
 
 
+def test_classes_after_more_links(spark):
+    """Classes of links that come in rounds are those of all links at once."""
+    rng = np.random.default_rng(21)
+    for _ in range(3):
+        rounds = [[(bytes([a]), bytes([b])) for a, b in rng.integers(0, 40, (12, 2)) if a != b] for _ in range(3)]
+        frames = [spark.createDataFrame(r, "a binary, b binary") for r in rounds]
+        labels = op07_order_minhash.components(frames[0])
+        for f in frames[1:]:
+            labels = op07_order_minhash.joined_classes(labels, f)
+        every = op07_order_minhash.components(frames[0].unionByName(frames[1]).unionByName(frames[2]))
+        both = [{bytes(r["node"]): bytes(r["label"]) for r in x.collect()} for x in (labels, every)]
+        assert both[0] == both[1]
+        parent = list(range(40))
+        for a, b in [x for r in rounds for x in r]:
+            a, b = parent[a[0]], parent[b[0]]
+            parent = [min(a, b) if p in (a, b) else p for p in parent]
+        assert {k[0]: v[0] for k, v in both[0].items()} == {k: parent[k] for k in range(40) if bytes([k]) in both[0]}
+
+
 def brute_forward(symbols, model):
     a = model.start * model.emit[symbols[0]]
     for s in symbols[1:]:
