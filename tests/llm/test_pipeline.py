@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -67,6 +68,18 @@ def as_rows_of(df):
     return _seen[id(df)]
 
 
+def test_extra_columns_with_clashing_names(spark, docs):
+    names = ["_text", "_id", "_key", "_c0", "_rows", "_n", "_row", "size", "kept", "copies", "shard", "item", "label"]
+    more = docs.limit(60)
+    for n in names:
+        more = more.withColumn(n, F.lit(n))
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, more, "/root/testdata/sf0.001")
+        assert out.columns == more.columns, name
+        assert all(r[n] == n for r in out.collect() for n in names), name
+    assert pipeline.sharding(spark, more, "/root/testdata/sf0.001").count() == 60
+
+
 def test_empty_table(spark, docs):
     none = docs.limit(0)
     for _, stage in pipeline.STAGES:
