@@ -28,6 +28,8 @@ WEIGHTS = (5, 2, 1)
 BUCKETS = 256
 #: Most bits of the dynamic program's table; a larger rest is first brought down with the longest documents left.
 TABLE_BITS = 1 << 20
+#: A row of a source has a name and two numbers: some 10 MB at most.
+BROADCAST_SOURCES = 100_000
 
 
 def fill_targets(sizes: Sequence[int], weights: Sequence[float], budget: float, max_repeats: float = 2) -> list[float]:
@@ -138,7 +140,8 @@ def mix(
         taken = fit(part["_size"].tolist(), part["_n"].tolist(), round(target) - passes * size)
         return part.assign(_passes=passes, _quota=taken)[["_source", "_size", "_source_size", "_target", "_passes", "_quota"]]
 
-    with_plan = lengths.join(F.broadcast(plan), lengths["_source"].eqNullSafe(plan["_source"])).drop(plan["_source"])
+    small = F.broadcast(plan) if len(rows) <= BROADCAST_SOURCES else plan
+    with_plan = lengths.join(small, lengths["_source"].eqNullSafe(plan["_source"])).drop(plan["_source"])
     kind = slim.schema["_source"].dataType.simpleString()
     quota = with_plan.groupBy("_source").applyInPandas(
         quotas, f"_source {kind}, _size long, _source_size long, _target double, _passes long, _quota long"
