@@ -46,9 +46,14 @@ def sentences(c: Column, lines: bool = False) -> Column:
     return F.split(c, "(?<=[.!?])\\s+|\\n+" if lines else "(?<=[.!?])\\s+", -1)
 
 
+def letter_runs(c: Column) -> Column:
+    """Runs of a-z and '."""
+    return F.regexp_extract_all(c, F.lit("([a-z']+)"), F.lit(1))
+
+
 def indicator_words(sentence: Column, least: int = 3) -> Column:
     """Runs of a-z and ', of at least ``least`` characters, without stop words."""
-    words = F.regexp_extract_all(sentence, F.lit("([a-z']+)"), F.lit(1))
+    words = letter_runs(sentence)
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
     return F.filter(words, lambda w: (F.length(w) >= least) & ~F.array_contains(stop, w))
 

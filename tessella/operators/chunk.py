@@ -10,7 +10,8 @@ from ..functions.text import whitespace_tokens, window_spans
 
 def chunk_index(docs: DataFrame, n_tokens: Column, size: int, overlap: int, carry: tuple[str, ...]) -> DataFrame:
     """One row for each window: carried columns, chunk_idx, total_chunks, start_token, end_token."""
-    return docs.select(*carry, F.explode(window_spans(n_tokens, size, overlap)).alias("w")).select(*carry, "w.*")
+    counted = docs.select(*carry, n_tokens.alias("_n"))  # once for each row, not for each window
+    return counted.select(*carry, F.explode(window_spans(F.col("_n"), size, overlap)).alias("w")).select(*carry, "w.*")
 
 
 def chunk_texts(docs: DataFrame, text: str, size: int, overlap: int, carry: tuple[str, ...], tokens: Column | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import HEADER_STEMS, STOP_WORDS, any_term, extract, headers, indicator_words, quoted, sentences
+from ..functions.text import HEADER_STEMS, STOP_WORDS, any_term, extract, headers, letter_runs, quoted, sentences
 
 #: Words that are enriched beside clinical content but say nothing about it, by kind; fixed values.
 NOISE = {
@@ -80,8 +80,9 @@ def top_share(freq: DataFrame, share: float = 0.4) -> DataFrame:
 def sentence_words(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:
     """(word, in_diagnostic) for each indicator word of each sentence; a sentence with any term is diagnostic."""
     sentence = docs.select(F.explode(sentences(F.lower(text), lines=True)).alias("s"))
-    marked = sentence.select(indicator_words(F.col("s")).alias("w"), F.col("s").rlike(any_term(terms)).alias("is_diag"))
-    return marked.select(F.explode("w").alias("word"), "is_diag")
+    marked = sentence.select(letter_runs(F.col("s")).alias("w"), F.col("s").rlike(any_term(terms)).alias("is_diag"))
+    # a set of stop words beside the rows is faster than a search of an array within them
+    return marked.select(F.explode("w").alias("word"), "is_diag").where((F.length("word") >= 3) & ~F.col("word").isin(*STOP_WORDS))
 
 
 def enrichment(docs: DataFrame, text: str, terms: list[str], least: int = 500, floor_one: bool = False, exclude: list[str] = ()) -> DataFrame:
