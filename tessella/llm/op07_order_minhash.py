@@ -7,6 +7,8 @@
 3. A bucket's texts are candidates of its hubs, not of each other: pairs grow with the members, and no bucket is
    collected. First the hubs are the bucket's most central text and a random one. Then, for ``ROUNDS`` rounds or until
    one finds no link, buckets whose texts aren't all in one class draw ``HUBS`` hubs anew, for texts of smaller classes.
+   Hubs only make classes large early. What they leave is then compared in full: in buckets whose texts still aren't in
+   one class, every pair of texts of different classes, in cells of two blocks of ``BLOCK`` members.
 4. Candidates are verified: multiset Jaccard similarity of the k-mers of 0.8 or more, then banded alignment of the
    words with edits of at most 20 % of the longer text. Words are lower-cased runs of letters and digits.
 5. Verified links join nodes to classes (label propagation with pointer jumping, on distributed tables).
@@ -19,6 +21,7 @@ the class (null if all are null); of repeated rows exactly one is kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ._align import edit_distance
 from ._store import cut
-from ._words import NOT_WORD, hashes, mix, row_slices, spans, text_bytes, windows
+from ._words import NOT_WORD, SLICE_BYTES, hashes, mix, row_slices, spans, text_bytes, windows
 
 K = 5
 BANDS = 16
@@ -38,6 +41,10 @@ SIMILARITY = 0.8
 HUBS = 4
 #: Further rounds at most.
 ROUNDS = 1
+#: About so many members of a bucket make a block; a cell has two at most.
+BLOCK = 256
+#: K-mers that are compared at once in a cell.
+COLUMNS = 4096
 
 _ODD = np.random.Generator(np.random.PCG64(77)).integers(0, 2**63, (BANDS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TOP = np.uint64(2**64 - 1)
@@ -189,6 +196,97 @@ def more_pairs(member: DataFrame, labels: DataFrame, tested: DataFrame, turn: in
     return pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
 
 
+def left_cells(member: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, x, z, side, k, of): the members of buckets whose texts aren't all in one class, in each cell (x, z) of
+    their block ``side``, so that any two members of a bucket meet in a cell; of: a text's class."""
+    own = member.join(labels.hint("merge"), member["k"] == labels["node"], "left").select("bucket", "k", "n", F.coalesce("label", "k").alias("of"))
+    mixed = own.groupBy("bucket").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi")
+    own = own.join(cut(mixed.select("bucket")).hint("merge"), "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+    own = own.withColumn("side", F.pmod(F.xxhash64("k"), "blocks"))
+    own = own.select("bucket", "k", "of", "side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    return own.select("bucket", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("z"), "side", "k", "of")
+
+
+def shared_counts(kmers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many labelled k-mers each two texts of a cell share."""
+    n = len(sizes)
+    row = np.repeat(np.arange(n), sizes)
+    _, column, count = np.unique(kmers, return_inverse=True, return_counts=True)
+    several = count > 1
+    row, column = row[several[column]], (np.cumsum(several) - 1)[column[several[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((n, n), np.float32)
+    for first in range(0, int(several.sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, [first, first + COLUMNS])
+        some = np.zeros((n, int(column[hi - 1]) - first + 1), np.float32)
+        some[row[lo:hi], column[lo:hi] - first] = 1
+        out += some @ some.T
+    return out.astype(np.float64)
+
+
+def left_links(cells: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join the classes of all alike texts of a cell; texts: _key and _text."""
+    cells = cells.join(texts.hint("merge"), cells["k"] == texts["_key"]).select("bucket", "x", "z", "side", "k", "of", "_text")
+    cells = cells.repartition("bucket", "x", "z").sortWithinPartitions("bucket", "x", "z")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[bytes, bytes] = {}  # classes that links of this task have joined
+
+        def root(c: bytes) -> bytes:
+            while c in above:
+                c = above[c]
+            return c
+
+        def linked(b: pa.RecordBatch, begin: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+            words, at = word_hashes(b.column("_text"))
+            kmers, rows = labelled_kmers(words, at)
+            side, corner = b.column("side").to_numpy(), b.column("x").to_numpy() != b.column("z").to_numpy()
+            code, of, key = b.column("of").dictionary_encode().indices.to_numpy(), b.column("of"), b.column("k")
+            for lo, hi in zip(begin[:-1], begin[1:], strict=True):
+                if (code[lo:hi] == code[lo]).all():
+                    continue
+                sizes = np.diff(rows[lo : hi + 1])
+                both = shared_counts(kmers[rows[lo] : rows[hi]], sizes)
+                near = both >= (similarity - 1e-9) * (sizes[:, None] + sizes - both)
+                near &= code[lo:hi, None] != code[lo:hi]
+                if corner[lo]:
+                    near &= side[lo:hi, None] != side[lo:hi]
+                for i, j in (np.argwhere(np.triu(near, 1)) + lo).tolist():
+                    one, other = root(of[i].as_py()), root(of[j].as_py())
+                    if one != other and alike(words[at[i] : at[i + 1]], words[at[j] : at[j + 1]], kmers[rows[i] : rows[i + 1]], kmers[rows[j] : rows[j + 1]], similarity):
+                        above[max(one, other)] = min(one, other)
+                        yield key[i].as_py(), key[j].as_py()
+
+        def pieces() -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+            """Whole cells, several at once as long as their texts have at most SLICE_BYTES, and where each begins."""
+            held: list[pa.RecordBatch] = []
+            for b in chain((b for b in batches if b.num_rows), [None]):
+                if b is not None:
+                    held.append(b)
+                elif not held:
+                    return
+                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                cell = np.stack([whole.column(c).to_numpy() for c in ("bucket", "x", "z")])
+                begin = np.flatnonzero(np.append(True, (cell[:, 1:] != cell[:, :-1]).any(axis=0)))
+                if b is None:
+                    begin, held = np.append(begin, whole.num_rows), []
+                else:
+                    held = [whole.slice(begin[-1])]
+                ends = np.concatenate([[0], np.cumsum(pc.binary_length(whole.column("_text")).to_numpy().astype(np.int64))])
+                first = 0
+                while first < len(begin) - 1:
+                    to = max(first + 1, int(np.searchsorted(ends[begin], ends[begin[first]] + SLICE_BYTES, "right")) - 1)
+                    yield whole.slice(begin[first], begin[to] - begin[first]), begin[first : to + 1] - begin[first]
+                    first = to
+
+        for piece, begin in pieces():
+            links = list(linked(piece, begin))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+    return cells.mapInArrow(run, "a binary, b binary").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and label (the least node of its component) for all nodes of links (a, b).
 
@@ -248,6 +346,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         tested = tested.unionByName(fresh)
         labels = joined_classes(labels, links)
+    links = cut(left_links(left_cells(member, labels), texts, similarity))
+    if not links.isEmpty():
+        labels = joined_classes(labels, links)
     joined = cut(nodes.select("_key", "_least", "_n").join(labels, nodes["_key"] == labels["node"], "left").drop("node"))
     # only classes of several texts are summed up; a text without links is its own class, and keys spread it
     classes = joined.where("label is not null").groupBy(F.col("label").alias("_class")).agg(F.min("_least").alias("_lead"), F.sum("_n").alias("_rows"))

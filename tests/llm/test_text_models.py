@@ -328,3 +328,12 @@ def test_empty_corpus(spark):
     docs = odd_docs(spark)
     out = op10_hidden_markov.hmm_scores(docs, F.lit(False), ["doc_id"]).collect()
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 and r["base_score"] == 0 for r in out) and len(out) == 10
+
+
+def test_chain_of_near_copies_is_one_class(spark):
+    """Texts with one other word each: those with it at neighbouring places are near, the others only share buckets."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(100 * p + c, " ".join([*base[:p], f"x{p}y{c}", *base[p + 1 :]])) for p in range(5, 25) for c in range(3)]
+    got = op07_order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), rounds=0).collect()
+    assert {r["class_id"] for r in got} == {500}
+    assert [r["doc_id"] for r in got if r["kept"]] == [500]
