@@ -9,8 +9,7 @@ the other view's training rows. At last each view is calibrated on labelled rows
 and a logistic combination of both calibrated views, fitted on the same rows, scores every document.
 
 Models are fitted on the driver to at most about ``labelled_rows`` labelled and ``pool_rows`` unlabelled documents,
-taken by id hash (the documented bounds of the classifier's sample, with at most ``FEATURES`` words of each, by least
-hash). Features of all documents are computed in one pass over whole texts; nothing is shuffled but the sample's join
+taken by id hash (the documented bounds of the classifier's sample), with all their words. Features of all documents are computed in one pass over whole texts; nothing is shuffled but the sample's join
 with the labels.
 
 Defined results: null texts are empty texts; null metadata is a value of its own; documents without labels are scored
@@ -28,10 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._words import NEWLINE, SPACE, hashes, mix, row_slices, row_sums, spans, text_bytes
+from ._words import NEWLINE, SPACE, hashes, row_slices, row_sums, spans, text_bytes
 
 BUCKETS = 1 << 16
-FEATURES = 512
 SHAPES = 9
 DERIVED = 7
 #: Log-odds beyond which a word speaks for itself.
@@ -253,10 +251,7 @@ def learn(
             got = text_features(b.column("_text"))
             rows = []
             for lo, hi, shape in zip(got.rows[:-1], got.rows[1:], got.shapes, strict=True):
-                mine = got.buckets[lo:hi]
-                if len(mine) > FEATURES:
-                    mine = np.sort(mine[np.argsort(mix(mine.astype(np.uint64)))[:FEATURES]])
-                rows.append((mine.astype(np.int32).tobytes(), shape.tobytes()))
+                rows.append((got.buckets[lo:hi].astype(np.int32).tobytes(), shape.tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(i) for i in range(b.num_columns) if b.schema.names[i] != "_text"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())],
                 names=[*(x for x in b.schema.names if x != "_text"), "w", "s"],

@@ -259,3 +259,14 @@ def test_co_training_odd_rows(spark):
     got = op09_co_training.scores(docs, models, ["doc_id"]).collect()
     assert len(got) == len(odd_rows()) and all(0 <= r["quality_score"] <= 1 for r in got)
     assert op09_co_training.scores(docs.limit(0), models, ["doc_id"]).count() == 0
+
+
+def test_co_training_learns_from_all_words_of_long_texts(spark):
+    """Telling words count however many other words a labelled text has."""
+    filler = " ".join(f"filler{i}" for i in range(1000))
+    told = {y: " ".join(f"{y}{i}" for i in range(40)) for y in ("good", "bad")}
+    docs = spark.createDataFrame([(i, f"{filler} {told['good' if i % 2 else 'bad']}", "en", "web") for i in range(60)], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    odds = op09_co_training.learn(docs, labels, ["quality"])["quality"].text.odds
+    good, bad = (op09_co_training.text_features(pa.array([told[y]])).buckets for y in ("good", "bad"))
+    assert (odds[good] > 1).sum() >= 37 and (odds[bad] < -1).sum() >= 37  # but for a few that share a bucket with fillers
