@@ -11,7 +11,7 @@ def edit_distance(a: np.ndarray, b: np.ndarray, limit: int, quick: int = 40) ->
     """Edits (insert, delete, replace) between two sequences, or None if more than ``limit``.
 
     Only diagonals within ``limit`` of the main one are looked at. The first ``quick`` edits are counted along
-    furthest-reaching points of the diagonals, more of them row by row over the whole band.
+    furthest-reaching points of the diagonals, more of them row by row, in a band that is doubled until it holds them.
     """
     n, m = len(a), len(b)
     if abs(n - m) > limit:
@@ -49,6 +49,11 @@ def edit_distance(a: np.ndarray, b: np.ndarray, limit: int, quick: int = 40) ->
             reach = new
         if reach.get(m - n, -1) >= n:
             return d
+    band = max(2 * quick, abs(n - m), 1)
+    while band < limit:
+        if (found := _rows(a, b, band)) is not None:
+            return found
+        band *= 2
     return _rows(a, b, limit)
 
 

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._store import in_batches
 from ._words import row_slices
 
 BUCKETS = 1 << 15
@@ -209,7 +210,7 @@ def learn(docs: DataFrame, text_col: str, lang_col: str, id_col: str, docs_per_l
             keys = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n[keys])], names=["lang", "key", "n"])
 
-    counts = sample.mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
+    counts = in_batches(sample, count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
     every = np.zeros((BUCKETS + len(SCRIPTS), len(langs)))
     every[counts["key"], counts["lang"].map({x: i for i, x in enumerate(langs)})] = counts["n"]
     grams, scripts = every[:BUCKETS] + 0.1, every[BUCKETS:]
@@ -266,7 +267,7 @@ def label_languages(docs: DataFrame, model: Model, carry: list[str], text_col: s
 
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
     schema = ", ".join([f"_c{i} {kinds[f'_c{i}']}" for i in range(len(carry))] + ["lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>"])
-    out = slim.mapInArrow(run, schema)
+    out = in_batches(slim, run, schema)
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], "lang_pred", "score", "spans")
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import cut
+from ._store import cut, in_batches
 from ._words import NEWLINE, SPACE, hashes, mix, row_slices, row_sums, spans, text_bytes, windows
 
 WINDOW = 8
@@ -105,7 +105,7 @@ def text_measures(docs: DataFrame, carry: list[str], text_col: str = "text") ->
 
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
     schema = ", ".join([f"_c{i} {kinds[f'_c{i}']}" for i in range(len(carry))] + [f"{m} long" for m in MEASURES])
-    return slim.mapInArrow(run, schema)
+    return in_batches(slim, run, schema)
 
 
 def base_failure() -> Column:

@@ -15,7 +15,9 @@
 
 Defined results: null texts are classes of their own; equal texts, also empty ones, share a class; texts of fewer than
 ``K`` words are near only if their words are the same; texts without words only if equal; class_id is the least id in
-the class (null if all are null); of repeated rows exactly one is kept.
+the class (null if all are null); of repeated rows exactly one is kept. Very long texts are read whole: a pair's
+alignment takes memory by its edits, a cell's blocks are cut by k-mers as well as by texts. An empty table gives an
+empty result. Other columns, whatever their names, are ignored (``keep_one_of_each`` carries them along).
 """
 
 from __future__ import annotations
@@ -26,11 +28,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._align import edit_distance
-from ._store import cut
+from ._store import cut, in_batches
 from ._words import NOT_WORD, SLICE_BYTES, hashes, mix, row_slices, spans, text_bytes, windows
 
 K = 5
@@ -41,8 +43,10 @@ SIMILARITY = 0.8
 HUBS = 4
 #: Further rounds at most.
 ROUNDS = 1
-#: About so many members of a bucket make a block; a cell has two at most.
+#: About so many members of a bucket make a block; a cell has two blocks at most.
 BLOCK = 256
+#: Of long texts, so many k-mers make a block.
+BLOCK_KMERS = 1 << 20
 #: K-mers that are compared at once in a cell.
 COLUMNS = 4096
 
@@ -111,7 +115,7 @@ def order_sketches(kmers: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_id, _key (MD5 of the text) and _bands of each row."""
+    """_id, _key (MD5 of the text), _bands and _size (k-mers) of each row."""
     slim = docs.select(F.col(id_col).alias("_id"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("_key"), F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,9 +124,9 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             keys = order_sketches(kmers, rows)
             ends = np.concatenate([[0], np.cumsum(np.diff(rows) > 0)]) * BANDS
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["_id", "_key", "_bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists, pa.array(np.diff(rows), pa.int64())], names=["_id", "_key", "_bands", "_size"])
 
-    return slim.mapInArrow(run, f"_id {slim.schema['_id'].dataType.simpleString()}, _key binary, _bands array<long>")
+    return in_batches(slim, run, f"_id {slim.schema['_id'].dataType.simpleString()}, _key binary, _bands array<long>, _size long")
 
 
 def kmer_similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -155,43 +159,57 @@ def verified(pairs: DataFrame, similarity: float) -> DataFrame:
             keep = pa.array(same, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    # the exchange of the few links makes their files few
+    return in_batches(pairs.select("a", "b", "text_a", "text_b"), run, "a binary, b binary").distinct()
 
 
 def shared_buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, k, n) of the texts in buckets of several texts; n: how many they are."""
-    member = nodes.select(F.explode("_bands").alias("bucket"), F.col("_key").alias("k"))
-    several = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi")
+    """(bucket, k, size, n, blocks) of the texts in buckets of several texts.
+
+    size: a text's k-mers; n: how many texts the bucket has; blocks: in how many parts of about ``BLOCK`` texts and at
+    most about ``BLOCK_KMERS`` k-mers they are compared.
+    """
+    member = nodes.select(F.explode("_bands").alias("bucket"), F.col("_key").alias("k"), F.col("_size").alias("size"))
+    several = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("all")).where("n > 1")
+    several = several.select("bucket", "n", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("all") / BLOCK_KMERS)).alias("blocks"))
     # written, so that the join deals both sides anew and can split a bucket that many texts share
-    return cut(member.join(cut(several.select("bucket", "n")), "bucket"))
+    return cut(member.join(cut(several, dealt=True), "bucket"))
+
+
+def similar_sizes(a: Column, b: Column, similarity: float) -> Column:
+    """Whether texts of so many k-mers can be as similar: what isn't so needn't be read."""
+    return F.least(a, b) >= F.lit(similarity - 1e-9) * F.greatest(a, b)
 
 
-def first_pairs(member: DataFrame) -> DataFrame:
+def first_pairs(member: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Distinct candidates (a, b): each bucket's texts with its most central one and with one by random priority.
 
     A text is central if it shares its buckets with many: the one that a group's copies were made from agrees with most
     of them. Both hubs are mostly the same in all buckets of a group, so that few pairs find most of its links.
     """
     central = member.groupBy("k").agg(F.sum("n").alias("c"))
-    own = member.select("bucket", "k").join(central.hint("merge"), "k").withColumn("p", F.xxhash64("k"))
-    hubs = own.groupBy("bucket").agg(F.max(F.struct("c", "p", "k"))["k"].alias("lo"), F.min(F.struct("p", "k"))["k"].alias("hi"))
-    found = member.join(cut(hubs), "bucket").select("k", F.explode(F.array("lo", "hi")).alias("h")).where("k <> h")
-    return found.select(F.least("k", "h").alias("a"), F.greatest("k", "h").alias("b")).distinct()
+    own = member.select("bucket", "k", "size").join(central.hint("merge"), "k").withColumn("p", F.xxhash64("k"))
+    hubs = own.groupBy("bucket").agg(F.max(F.struct("c", "p", "k", "size")).alias("lo"), F.min(F.struct("p", "k", "size")).alias("hi"))
+    hubs = cut(hubs.select("bucket", F.array(*[F.struct(f"{x}.k", f"{x}.size") for x in ("lo", "hi")]).alias("hubs")), dealt=True)
+    found = member.join(hubs, "bucket").select("k", "size", F.explode("hubs").alias("h")).where(F.col("k") != F.col("h.k"))
+    found = found.where(similar_sizes(F.col("size"), F.col("h.size"), similarity))
+    return found.select(F.least("k", "h.k").alias("a"), F.greatest("k", "h.k").alias("b")).distinct()
 
 
-def more_pairs(member: DataFrame, labels: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
+def more_pairs(member: DataFrame, labels: DataFrame, tested: DataFrame, turn: int, similarity: float = SIMILARITY) -> DataFrame:
     """Candidates for buckets whose texts aren't all in one class: texts with hubs drawn anew, of larger classes only.
 
     So a large class, whose texts are together already, costs nothing, and each text outside it has a few pairs.
     """
-    sizes = cut(labels.groupBy(F.col("label").alias("l")).agg(F.count(F.lit(1)).alias("z")))
+    sizes = cut(labels.groupBy(F.col("label").alias("l")).agg(F.count(F.lit(1)).alias("z")), dealt=True)
     sized = labels.join(sizes.hint("merge"), labels["label"] == sizes["l"]).select("node", F.struct("z", F.col("label").alias("c")).alias("of"))
     alone = F.struct(F.lit(1).cast("long").alias("z"), F.col("k").alias("c"))
-    own = member.join(sized.hint("merge"), member["k"] == sized["node"], "left").select("bucket", "k", F.coalesce("of", alone).alias("of"))
-    drawn = [F.min(F.struct(F.xxhash64("k", "bucket", F.lit(turn * HUBS + i)).alias("p"), "k", "of")).alias(f"h{i}") for i in range(HUBS)]
+    own = member.join(sized.hint("merge"), member["k"] == sized["node"], "left").select("bucket", "k", "size", F.coalesce("of", alone).alias("of"))
+    drawn = [F.min(F.struct(F.xxhash64("k", "bucket", F.lit(turn * HUBS + i)).alias("p"), "k", "of", "size")).alias(f"h{i}") for i in range(HUBS)]
     hubs = own.groupBy("bucket").agg(F.min("of").alias("lo"), F.max("of").alias("hi"), *drawn).where("lo <> hi")
-    hubs = cut(hubs.select("bucket", F.array_distinct(F.array(*[F.struct(f"h{i}.k", f"h{i}.of") for i in range(HUBS)])).alias("hubs")))
-    found = own.join(hubs.hint("merge"), "bucket").select("k", "of", F.explode("hubs").alias("h")).where(F.col("of") < F.col("h.of"))
+    hubs = cut(hubs.select("bucket", F.array_distinct(F.array(*[F.struct(f"h{i}.k", f"h{i}.of", f"h{i}.size") for i in range(HUBS)])).alias("hubs")), dealt=True)
+    found = own.join(hubs.hint("merge"), "bucket").select("k", "of", "size", F.explode("hubs").alias("h")).where(F.col("of") < F.col("h.of"))
+    found = found.where(similar_sizes(F.col("size"), F.col("h.size"), similarity))
     pairs = found.select(F.least("k", "h.k").alias("a"), F.greatest("k", "h.k").alias("b")).distinct()
     return pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
 
@@ -199,9 +217,9 @@ def more_pairs(member: DataFrame, labels: DataFrame, tested: DataFrame, turn: in
 def left_cells(member: DataFrame, labels: DataFrame) -> DataFrame:
     """(bucket, x, z, side, k, of): the members of buckets whose texts aren't all in one class, in each cell (x, z) of
     their block ``side``, so that any two members of a bucket meet in a cell; of: a text's class."""
-    own = member.join(labels.hint("merge"), member["k"] == labels["node"], "left").select("bucket", "k", "n", F.coalesce("label", "k").alias("of"))
+    own = member.join(labels.hint("merge"), member["k"] == labels["node"], "left").select("bucket", "k", "blocks", F.coalesce("label", "k").alias("of"))
     mixed = own.groupBy("bucket").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi")
-    own = own.join(cut(mixed.select("bucket")).hint("merge"), "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+    own = own.join(cut(mixed.select("bucket"), dealt=True).hint("merge"), "bucket")
     own = own.withColumn("side", F.pmod(F.xxhash64("k"), "blocks"))
     own = own.select("bucket", "k", "of", "side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     return own.select("bucket", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("z"), "side", "k", "of")
@@ -284,7 +302,7 @@ def left_links(cells: DataFrame, texts: DataFrame, similarity: float) -> DataFra
             links = list(linked(piece, begin))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
-    return cells.mapInArrow(run, "a binary, b binary").distinct()
+    return in_batches(cells, run, "a binary, b binary").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -293,15 +311,15 @@ def components(links: DataFrame) -> DataFrame:
     Joins are merge joins however small a table is: a loop of broadcasts would fill the driver.
     """
     links = links.select("a", "b")
-    edges = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")))
+    edges = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), dealt=True)
+    labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), dealt=True)
     while True:
         near = edges.join(labels.hint("merge"), edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near.hint("merge"), labels["node"] == near["a"]).select("node", F.least("label", "near").alias("next"), "label")
         # the jump reads the written labels, not the new ones: both sides are dealt for it, so that a large component,
         # in which all have one next, can be split
         jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        moved = cut(step.join(jump.hint("merge"), step["next"] == jump["via"]).select("node", F.least("next", "far").alias("next"), "label"))
+        moved = cut(step.join(jump.hint("merge"), step["next"] == jump["via"]).select("node", F.least("next", "far").alias("next"), "label"), dealt=True)
         more = moved.where(F.col("next") != F.col("label")).limit(1).count()
         labels = moved.select("node", F.col("next").alias("label"))
         if not more:
@@ -319,7 +337,7 @@ def joined_classes(labels: DataFrame, links: DataFrame) -> DataFrame:
     moved = moved.select(F.col("node").alias("old"), F.col("label").alias("new"))
     known = labels.join(moved.hint("merge"), labels["label"] == moved["old"], "left").select("node", F.coalesce("new", "label").alias("label"))
     alone = moved.join(labels.hint("merge"), moved["old"] == labels["node"], "left_anti").select(F.col("old").alias("node"), F.col("new").alias("label"))
-    return cut(known.unionByName(alone))
+    return cut(known.unionByName(alone), dealt=True)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
@@ -328,9 +346,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_row").alias("row"))
     # a null text is a node of its own
     rows = rows.withColumn("_key", F.coalesce("_key", F.concat(F.lit("row "), F.col("_row").cast("string")).cast("binary")))
-    nodes = cut(rows.groupBy("_key").agg(F.min(place).alias("_least"), F.count(F.lit(1)).alias("_n"), F.any_value("_bands").alias("_bands")))
+    nodes = cut(rows.groupBy("_key").agg(F.min(place).alias("_least"), F.count(F.lit(1)).alias("_n"), F.any_value("_bands").alias("_bands"), F.any_value("_size").alias("_size")), dealt=True)
     member = shared_buckets(nodes)
-    pairs = cut(first_pairs(member))
+    pairs = cut(first_pairs(member, similarity), dealt=True)
     wanted = pairs.select(F.col("a").alias("_key")).union(pairs.select(F.col("b").alias("_key"))).distinct()
     wanted = wanted.join(nodes.select("_key", F.col("_least.id").alias("_want")), "_key")
     texts = docs.select(F.col(id_col).alias("_id"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("_k"), F.col(text_col).alias("_text"))
@@ -338,34 +356,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = cut(texts)
     right = texts.select(F.col("_key").alias("b"), F.col("_text").alias("text_b"))
     left = texts.select(F.col("_key").alias("a"), F.col("_text").alias("text_a"))
-    labels, tested = components(cut(verified(pairs.join(right, "b").join(left, "a"), similarity))), pairs
+    labels, tested = components(cut(verified(pairs.join(right, "b").join(left, "a"), similarity), dealt=True)), pairs
     for turn in range(rounds):
-        fresh = cut(more_pairs(member, labels, tested, turn))
-        links = cut(verified(fresh.join(right, "b").join(left, "a"), similarity))
+        fresh = cut(more_pairs(member, labels, tested, turn, similarity), dealt=True)
+        links = cut(verified(fresh.join(right, "b").join(left, "a"), similarity), dealt=True)
         if links.isEmpty():
             break
         tested = tested.unionByName(fresh)
         labels = joined_classes(labels, links)
-    links = cut(left_links(left_cells(member, labels), texts, similarity))
+    links = cut(left_links(left_cells(member, labels), texts, similarity), dealt=True)
     if not links.isEmpty():
         labels = joined_classes(labels, links)
-    joined = cut(nodes.select("_key", "_least", "_n").join(labels, nodes["_key"] == labels["node"], "left").drop("node"))
+    joined = cut(nodes.select("_key", "_least", "_n").join(labels, nodes["_key"] == labels["node"], "left").drop("node"), dealt=True)
     # only classes of several texts are summed up; a text without links is its own class, and keys spread it
     classes = joined.where("label is not null").groupBy(F.col("label").alias("_class")).agg(F.min("_least").alias("_lead"), F.sum("_n").alias("_rows"))
-    classes = cut(classes)
+    classes = cut(classes, dealt=True)
     of = joined.withColumn("_own", F.coalesce("label", "_key")).join(classes, F.col("_own") == F.col("_class"), "left")
     of = of.select("_key", F.coalesce("_lead", "_least").alias("_first"), F.coalesce("_rows", "_n").alias("class_size"))
-    out = rows.drop("_bands").join(of, "_key")
+    out = rows.drop("_bands", "_size").join(of, "_key")
     return out.select(
         F.col("_id").alias(id_col), F.hex("_key").alias("text_key"), F.col("_first.id").alias("class_id"), "class_size",
         (F.col("_row") == F.col("_first.row")).alias("kept"),
     )
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
     """The rows of ``docs``, with their columns, of which each class has one: the least id. Null texts all stay."""
     names = docs.columns
-    found = near_duplicates(docs, id_col, text_col, similarity).where("kept").select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"))
+    found = near_duplicates(docs, id_col, text_col, similarity, rounds).where("kept").select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"))
     slim = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)])
     own, text = F.col(f"_c{names.index(id_col)}"), F.col(f"_c{names.index(text_col)}")
     some = slim.where(text.isNotNull()).withColumn("_md5", F.upper(F.md5(text.cast("binary")))).withColumn("_own", own)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._align import local_alignment
+from ._store import in_batches
 from ._words import NOT_WORD, HashIndex, hashes, row_slices, spans, text_bytes, windows
 
 GRAM = 3
@@ -170,5 +171,5 @@ def scan(docs: DataFrame, carry: list[str], text_col: str = "text", templates: d
 
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
     schema = ", ".join([f"_c{i} {kinds[f'_c{i}']}" for i in range(len(carry))] + ["license string, matched_words long, coverage double, start long, end long"])
-    out = slim.mapInArrow(run, schema)
+    out = in_batches(slim, run, schema)
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], "license", "matched_words", "coverage", "start", "end")
