@@ -1,19 +1,24 @@
 """Line dedup with a log-template tree.
 
 Lines (between line feeds, with at least one word) go down a tree of fixed depth: the number of tokens, then the
-``DEPTH`` leading tokens; tokens with a digit count as the variable field ``<*>``. In a leaf, a line joins the first
-template with enough equal tokens at the same places, and places that differ become variable fields; else it founds a
-template. Templates that occur in at least ``min_docs`` documents are recurring, and their lines are dropped from all
-documents.
-
-How it is spread: every task first merges its equal lines, so that a line that is everywhere is one row for each task;
-rows are dealt by leaf and streamed in order, so a task holds the templates of one leaf, never its lines. Large leaves
-are dealt by leaf and salt, and their salted parts' templates are merged in a second, small step. Exact document counts
-then come from joins on line hashes.
+``DEPTH`` leading tokens; tokens with a digit count as the variable field ``<*>``. In a leaf, templates are grown by
+merging: two halves of the leaf's distinct lines (by the bits of the line's hash, down to single lines) each have their
+templates; one of the second half joins the one of the first half that it agrees with best (the first of several), if
+they agree in ``similarity`` of the places, where a variable field counts half; places that differ become variable
+fields. A template that agrees with none stays on its own. So what comes out depends on the leaf's lines alone, not on
+how they are dealt. Templates that occur in at least ``min_docs`` documents are recurring, and so are those of
+``LONG_TOKENS`` tokens or more that occur in two different texts; their lines are dropped from all documents.
+
+How it is spread: every task first merges its equal lines, so that a line that is everywhere is one row for each slice
+of texts. Rows are dealt by leaf; of a leaf with many rows by leaf and the first bits of the line's hash, and these
+parts' templates (never lines) are merged level by level, ``FAN`` bits at a time, by the very same steps. Leaves whose
+lines can't recur aren't grown. Exact document counts then come from joins on line hashes.
 
 Defined results: null and empty texts have no lines and stay as they are; lines without words always stay; a document
 all of whose lines are dropped becomes an empty text; repeated rows and equal texts are documents of their own, so
-that what repeats in them recurs; lines shorter than DEPTH tokens are keyed by all their tokens.
+that what repeats in them recurs (but long templates need two texts that differ); lines shorter than DEPTH tokens are
+keyed by all their tokens. Very long texts are read whole, one at a time; a very long line is one row. An empty table
+gives an empty result. Columns other than id and text aren't looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,15 +30,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import cut
+from ._store import cut, in_batches
 from ._words import NEWLINE, SPACE, hashes, mix, row_slices, spans, text_bytes
 
 DEPTH = 3
 SIMILARITY = 0.75
 MIN_DOCS = 3
-#: A leaf with more distinct lines is dealt to several tasks.
-LEAF_LINES = 2_000
+#: Templates of so many tokens recur from two different texts on.
+LONG_TOKENS = 50
+#: A leaf with more rows is dealt to several tasks; this changes no result.
+LEAF_ROWS = 20_000
+#: Bits of the line's hash that one merge step takes back.
+FAN = 4
+#: Token places that are compared at once.
+CELLS = 4_000_000
 WILD = np.uint64(0x2A2A2A2A2A2A2A2A)
+WILD_TOKEN = np.int32(WILD.astype(np.uint32).view(np.int32))
 
 _DIGIT = np.zeros(256, bool)
 _DIGIT[list(b"0123456789")] = True
@@ -94,101 +106,148 @@ def distinct_lines(docs: DataFrame, text_col: str) -> DataFrame:
                 names=["leaf", "line", "docs", "tokens"],
             )
 
-    return docs.select(F.col(text_col).alias("_text")).mapInArrow(run, "leaf long, line long, docs int, tokens array<int>")
-
-
-class Leaf:
-    """The templates of one leaf, found line by line."""
-
-    WILD = np.int32(WILD.astype(np.uint32).view(np.int32))
+    return in_batches(docs.select(F.col(text_col).alias("_text")), run, "leaf long, line long, docs int, tokens array<int>")
 
-    def __init__(self, size: int, similarity: float):
-        self.need, self.size = similarity * size, size
-        self.templates = np.zeros((0, size), np.int32)
-        self.docs: list[int] = []
-        self.lines: list[tuple[int, int]] = []
 
-    def add(self, tokens: np.ndarray) -> int:
-        """The template that the line joins."""
-        n = len(self.docs)
-        if n:
-            known = self.templates[:n]
-            equal = (known == tokens) & (known != self.WILD)
-            same = equal.sum(axis=1) + 0.5 * ((known == self.WILD).sum(axis=1))
-            best = int(same.argmax())
-            if same[best] >= self.need:
-                self.templates[best][~equal[best]] = self.WILD
-                return best
-        if n == len(self.templates):
-            self.templates = np.concatenate([self.templates, np.zeros((max(4, n), self.size), np.int32)])
-        self.templates[n] = tokens
-        self.docs.append(0)
-        return n
+def _agreement(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """other x one: places with equal tokens, and half of those where either has a variable field."""
+    out = np.empty((len(other), len(one)))
+    wild = one == WILD_TOKEN
+    step = max(1, CELLS // max(1, one.size))
+    for lo in range(0, len(other), step):
+        mine = other[lo : lo + step, None, :]
+        free = wild[None] | (mine == WILD_TOKEN)
+        out[lo : lo + step] = ((one[None] == mine) & ~free).sum(axis=2) + 0.5 * free.sum(axis=2)
+    return out
 
 
-def _leaves(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[tuple[int, int, np.ndarray]]]]:
-    """Sorted rows, one (key, line, docs, tokens) after the other."""
-    for b in batches:
-        offsets = b.column("tokens").offsets.to_numpy()
-        flat = b.column("tokens").values.to_numpy()
-        for i, (k, line, n) in enumerate(zip(b.column(key).to_pylist(), b.column("line").to_pylist(), b.column("docs").to_pylist(), strict=True)):
-            yield k, line, n, flat[offsets[i] : offsets[i + 1]]
+def grown(ids: np.ndarray, tokens: np.ndarray, bits: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(the item that each item's template goes by, templates at these places), of items of one leaf.
 
-
-def cluster(rows: DataFrame, key: str, similarity: float, least: int) -> DataFrame:
-    """line, template, docs and the template's tokens for the lines of templates with ``least`` documents or more.
-
-    ``rows`` (key, line, docs, tokens) are dealt by ``key`` and sorted by key and line; equal lines are one.
+    ``ids``: line hashes, rising; ``tokens``: item x place. Items whose ids agree in the first ``bits`` bits are
+    templates that have been grown together; with all 64 bits every item is a line.
     """
-    ordered = rows.repartition(F.col(key)).sortWithinPartitions(key, "line")
+    key = ids.view(np.uint64) ^ np.uint64(1 << 63)
+    templates, into = tokens.copy(), np.arange(len(ids))
+    need = similarity * tokens.shape[1]
+
+    def node(lo: int, hi: int) -> np.ndarray:
+        differ = int(key[lo] ^ key[hi - 1])
+        if differ.bit_length() <= 64 - bits:
+            return np.arange(lo, hi)
+        bit = np.uint64(differ.bit_length() - 1)
+        mid = int(np.searchsorted(key[lo:hi], key[hi - 1] >> bit << bit)) + lo
+        one, other = node(lo, mid), node(mid, hi)
+        alike = _agreement(templates[one], templates[other])
+        best = alike.argmax(axis=1)
+        joins = alike[np.arange(len(other)), best] >= need
+        for x, y in zip(one[best[joins]].tolist(), other[joins].tolist(), strict=True):
+            templates[x][templates[x] != templates[y]] = WILD_TOKEN
+            into[y] = x
+        return np.concatenate([one, other[~joins]])
+
+    if len(ids):
+        node(0, len(ids))
+    for i in range(len(into)):  # what an item joined comes before it
+        into[i] = into[into[i]]
+    return into, templates
+
+
+def grow(rows: DataFrame, bits: str, similarity: float, least: int | None) -> DataFrame:
+    """leaf, line, template (the line it goes by), its docs and tokens, for ``rows`` (leaf, part, line, docs, tokens, bits).
+
+    Rows are dealt by leaf and part and sorted, so that a task holds the distinct lines of one part at a time; equal
+    lines are one. ``bits`` is the column with the bits in which lines of one template list agree. ``least``: templates of
+    fewer documents are left out, and leaves of fewer aren't grown (for long ones, two documents are enough).
+    """
+    ordered = rows.select("leaf", "part", "line", "docs", F.col(bits).cast("int").alias("bits"), "tokens")
+    ordered = ordered.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "line")
+    names = ["leaf", "line", "template", "docs", "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(k: int, leaf: Leaf) -> pa.RecordBatch:
-            mine = [(line, t) for line, t in leaf.lines if leaf.docs[t] >= least]
-            ids = [int(mix(np.array([k, t], np.int64).view(np.uint64))[0] + np.uint64(t)) & (2**63 - 1) for t in range(len(leaf.docs))] if mine else []
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([x for x, _ in mine], pa.int64()), pa.array([ids[t] for _, t in mine], pa.int64()), pa.array([leaf.docs[t] for _, t in mine], pa.int64()),
-                    pa.array([leaf.templates[t] for _, t in mine], pa.list_(pa.int32())), pa.array([k] * len(mine), pa.int64()),
-                ],
-                names=["line", "template", "docs", "tokens", "key"],
-            )
-
-        at, leaf, last, total = None, None, None, 0
-        for k, line, n, tokens in _leaves(batches, key):
-            if k != at:
-                if leaf is not None and leaf.lines and total >= least:
-                    yield done(at, leaf)
-                at, leaf, last, total = k, Leaf(len(tokens), similarity), None, 0
-            total += n
-            if line != last or not leaf.lines:
-                leaf.lines.append((line, leaf.add(tokens)))
-                last = line
-            leaf.docs[leaf.lines[-1][1]] += n
-        if leaf is not None and leaf.lines and total >= least:
-            yield done(at, leaf)
-
-    return ordered.mapInArrow(run, "line long, template long, docs long, tokens array<int>, key long")
+        def pieces(b: pa.RecordBatch, begin: np.ndarray) -> Iterator[pa.RecordBatch]:
+            leaf, line, docs = (b.column(c).to_numpy() for c in ("leaf", "line", "docs"))
+            at, flat = b.column("tokens").offsets.to_numpy(), b.column("tokens").values.to_numpy()
+            total = np.add.reduceat(docs.astype(np.int64), begin)
+            size = (at[1:] - at[:-1])[begin]
+            want = np.zeros(len(begin), np.int64) if least is None else np.where(size >= LONG_TOKENS, min(2, least), least)
+            found: list[tuple] = []
+            for g in np.flatnonzero(total >= want).tolist():
+                lo = int(begin[g])
+                hi = int(begin[g + 1]) if g + 1 < len(begin) else len(leaf)
+                first = lo + np.flatnonzero(np.append(True, line[lo + 1 : hi] != line[lo : hi - 1]))
+                own = line[first]
+                n = np.add.reduceat(docs[lo:hi].astype(np.int64), first - lo)
+                tokens = flat[at[first][:, None] + np.arange(size[g])]
+                into, templates = grown(own, tokens, int(b.column("bits")[lo].as_py()), similarity)
+                sums = np.bincount(into, weights=n, minlength=len(own)).astype(np.int64)
+                keep = np.flatnonzero(sums[into] >= want[g])
+                found.append((np.full(len(keep), leaf[lo]), own[keep], own[into[keep]], sums[into[keep]], templates[into[keep]] if least is None else templates[:0]))
+            if found:
+                lists = pa.array([t for f in found for t in f[4]], pa.list_(pa.int32())) if least is None else pa.nulls(sum(len(f[0]) for f in found), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate([f[i] for f in found])) for i in range(4)), lists], names=names)
+
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            whole = pa.Table.from_batches([*held, b]).combine_chunks().to_batches()[0]
+            begin = _begins(whole)
+            held = [_one_row_a_line(whole.slice(begin[-1]))]  # the last part may go on
+            if len(begin) > 1:
+                yield from pieces(whole.slice(0, begin[-1]), begin[:-1])
+        for b in held:
+            yield from pieces(b, np.zeros(1, np.int64))
+
+    return in_batches(ordered, run, "leaf long, line long, template long, docs long, tokens array<int>")
+
+
+def _begins(b: pa.RecordBatch) -> np.ndarray:
+    leaf, part = b.column("leaf").to_numpy(), b.column("part").to_numpy()
+    return np.flatnonzero(np.append(True, (leaf[1:] != leaf[:-1]) | (part[1:] != part[:-1])))
+
+
+def _one_row_a_line(b: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows of one part with equal lines summed, so that a line that is everywhere isn't held for each slice."""
+    line = b.column("line").to_numpy()
+    first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+    if len(first) == len(line):
+        return b
+    docs = pa.array(np.add.reduceat(b.column("docs").to_numpy(), first))
+    kept = b.take(pa.array(first))
+    return pa.RecordBatch.from_arrays([docs if n == "docs" else kept.column(n) for n in b.schema.names], names=b.schema.names)
 
 
 def line_templates(docs: DataFrame, text_col: str, min_docs: int, similarity: float) -> DataFrame:
     """line -> template, for templates that may recur."""
-    lines = distinct_lines(docs, text_col)
-    # how many distinct lines a leaf has decides its salt; equal lines share one
-    sizes = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LEAF_LINES)
-    sizes = cut(sizes.withColumn("parts", F.ceil(F.col("n") / LEAF_LINES)).select("leaf", "parts"))
-    if not sizes.limit(1).count():
-        return cluster(lines.withColumnRenamed("leaf", "part"), "part", similarity, min_docs).select("line", "template")
-    joined = lines.join(sizes, "leaf", "left")
-    small = cluster(joined.where("parts is null").withColumnRenamed("leaf", "part"), "part", similarity, min_docs).select("line", "template")
-    salted = joined.where("parts is not null").withColumn("part", F.xxhash64("leaf", F.pmod(F.xxhash64("line"), F.col("parts"))))
-    # every line of a large leaf keeps its template here, however rare: what is rare in a part can recur in the leaf
-    first = cut(cluster(salted, "part", similarity, 0))
-    leaves = salted.select("leaf", F.col("part").alias("key")).distinct()
-    parts = first.groupBy("template", "key").agg(F.max("docs").alias("docs"), F.any_value("tokens").alias("tokens")).join(leaves, "key")
-    merged = cluster(parts.select("leaf", F.col("template").alias("line"), F.col("docs").cast("int").alias("docs"), "tokens"), "leaf", similarity, min_docs)
-    merged = merged.select(F.col("line").alias("first"), F.col("template").alias("whole"))
-    large = first.join(merged, first["template"] == merged["first"]).select("line", F.col("whole").alias("template"))
+    lines = distinct_lines(docs, text_col).withColumn("docs", F.col("docs").cast("long"))
+    # large leaves are dealt by the first d bits of the hash; which these are changes the work's places, not its result
+    sizes = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LEAF_ROWS)
+    depth = F.least(F.lit(24), F.ceil(F.log2(F.col("n") / LEAF_ROWS) / FAN) * FAN).cast("int")
+    sizes = cut(sizes.select("leaf", depth.alias("d")), dealt=True)
+    lines = lines.withColumn("bits", F.lit(64))
+    deepest = sizes.agg(F.max("d")).first()[0] or 0
+    if not deepest:
+        return grow(lines.withColumn("part", F.lit(0).cast("long")), "bits", similarity, min_docs).select("line", "template")
+    prefix = "shiftrightunsigned(line ^ (-9223372036854775807L - 1L), 64 - {})"
+    joined = lines.join(sizes, "leaf", "left").withColumn("part", F.coalesce(F.expr(prefix.format("d")), F.lit(0).cast("long")))
+    small = grow(joined.where("d is null"), "bits", similarity, min_docs).select("line", "template")
+    # every template of a part goes on, however rare: what is rare in a part can recur in the leaf
+    found = cut(grow(joined.where("d is not null"), "bits", similarity, None))
+    lists = found.where("line = template").join(sizes, "leaf").select("leaf", "line", "docs", "tokens", "d")
+    known = found.select("leaf", "line", "template")
+    for level in range(deepest, 0, -FAN):
+        mine, rest = lists.where(F.col("d") == level), lists.where(F.col("d") < level)
+        last = F.expr(prefix.format(f"{level - FAN}")) if level > FAN else F.lit(0).cast("long")
+        step = cut(grow(mine.withColumn("bits", F.lit(level)).withColumn("part", last), "bits", similarity, None))
+        moved = step.select(F.col("leaf").alias("_leaf"), F.col("line").alias("_old"), F.col("template").alias("_new"))
+        known = known.join(moved.hint("merge"), (known["leaf"] == moved["_leaf"]) & (known["template"] == moved["_old"]), "left")
+        known = cut(known.select("leaf", "line", F.coalesce("_new", "template").alias("template")), dealt=True)
+        up = step.where("line = template").select("leaf", "line", "docs", "tokens", F.lit(level - FAN).alias("d"))
+        lists = cut(up.unionByName(rest), dealt=True)
+    enough = F.col("docs") >= F.when(F.size("tokens") >= LONG_TOKENS, min(2, min_docs)).otherwise(min_docs)
+    kept = lists.where(enough).select(F.col("leaf").alias("_leaf"), F.col("line").alias("_id"))
+    large = known.join(kept.hint("merge"), (known["leaf"] == kept["_leaf"]) & (known["template"] == kept["_id"])).select("line", "template")
     return small.unionByName(large)
 
 
@@ -203,14 +262,19 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str = "text", min_docs
             p = parse(b.column("_text"))
             at = pa.array(p["row"])
             yield pa.RecordBatch.from_arrays(
-                [b.column("_id").take(at), b.column("_key").take(at), b.column("_row").take(at), pa.array(p["number"], pa.int32()), pa.array(p["line"].view(np.int64))],
-                names=["_id", "_key", "_row", "number", "line"],
-            )
+                [
+                    b.column("_id").take(at), b.column("_key").take(at), b.column("_row").take(at), pa.array(p["number"], pa.int32()),
+                    pa.array(p["line"].view(np.int64)), pa.array(p["size"] >= LONG_TOKENS),
+                ],
+                names=["_id", "_key", "_row", "number", "line", "long"],
+            )
 
     kind = slim.schema["_id"].dataType.simpleString()
-    lines = slim.mapInArrow(run, f"_id {kind}, _key binary, _row long, number int, line long")
+    lines = in_batches(slim, run, f"_id {kind}, _key binary, _row long, number int, line long, long boolean")
     lines = cut(lines.join(templates, "line").drop("line"))
-    recurring = lines.select("template", "_row").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
+    once = lines.select("template", "_key", "_row", "long").distinct().groupBy("template", "_key", "long").agg(F.count(F.lit(1)).alias("n"))
+    recurring = once.groupBy("template", "long").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
+    recurring = recurring.where((F.col("n") >= min_docs) | (F.col("long") & (F.col("texts") >= 2)))
     recurring = cut(recurring.select("template"))  # else the join keeps its partitioning, and a template that is everywhere can't be split
     mine = lines.join(recurring, "template")
     return mine.groupBy("_id", "_key").agg(F.sort_array(F.collect_set("number")).alias("_drop"))
