@@ -101,7 +101,7 @@ def test_decontamination_of_nothing(spark):
     bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
     docs = spark.createDataFrame(odd_rows(), SCHEMA)
     assert op02_cgk.contaminated(none, bench).count() == 0
-    short = spark.createDataFrame([(1, "a b"), (2, None), (None, "")], "item_id long, text string")
+    short = spark.createDataFrame([(1, "zz b"), (2, None), (None, ""), (3, "..")], "item_id long, text string")
     assert op02_cgk.contaminated(docs, short).count() == 0
     assert op02_cgk.without_items(docs, short.limit(0)).count() == len(odd_rows())
 
@@ -115,6 +115,72 @@ def test_items_in_blocks(spark, monkeypatch):
     assert {(i, i) for i in range(len(texts))} <= got
 
 
+def fits(item, text):
+    """As fitting, a row of numbers at a time."""
+    text, ramp = np.array(text, object), np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, np.int64)
+    for i, x in enumerate(item, 1):
+        best = np.concatenate([[i], np.minimum(row[:-1] + (text != x), row[1:] + 1)])
+        row = np.minimum.accumulate(best - ramp) + ramp
+    return int(row.min())
+
+
+def test_decontamination_against_all_windows(spark):
+    """Every item against every text, also with items of one to four words, string ids and items with a common stem."""
+    rng = np.random.default_rng(17)
+    given = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(40).collect()]
+    items = {f"i{r['item_id']}": words_of(r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").limit(20).collect()}
+    stem = [f"stem{i}" for i in range(6)]
+    items |= {f"s{i}": [*stem, *(f"t{x}" for x in rng.integers(0, 10**6, 4 + i))] for i in range(15)}
+    items |= {"one": ["qzone"], "two": ["qztwo", "words"], "four": ["qzfour", "words", "in", "all"], "same": ["qzone"]}
+    texts = []
+    for k, t in enumerate(given):
+        w = words_of(t)[:250]
+        for item in list(items)[k % 13 :: 13]:
+            own = items[item]
+            n = op02_cgk.allowed_edits(len(own)) if len(own) >= 5 else 0
+            at = int(rng.integers(0, len(w) + 1))
+            w[at:at] = edited(own, int(rng.integers(0, n + 2)), rng) if len(own) > 4 or rng.integers(0, 2) else own[:-1] + ["no"]
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id string, text string")
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in op02_cgk.contaminated(docs, bench).orderBy(F.desc("edits")).collect()}
+    want = {}
+    for d, t in enumerate(texts):
+        for item, own in items.items():
+            n = fits(own, words_of(t))
+            if n <= (op02_cgk.allowed_edits(len(own)) if len(own) >= 5 else 0):
+                want[d, item] = n
+    assert not set(got) - set(want) and all(got[k] == want[k] for k in got)
+    missed = [k for k in want if k not in got]
+    assert len(want) > 60 and len(missed) <= 0.05 * len(want) and all(want[k] for k in missed)
+
+
+def test_many_short_items_and_a_long_one_within_a_gigabyte():
+    """100,000 items of 8 words that share a stem, one of 20,000 words, and a text that holds some of them."""
+    import subprocess
+    import sys
+
+    code = """
+import resource
+import numpy as np
+import pyarrow as pa
+from tessella.llm import op02_cgk
+rng = np.random.default_rng(1)
+texts = [f"what is the {x} of {y} {z}" for x, y, z in rng.integers(0, 10**6, (100_000, 3)).tolist()]
+long = " ".join(f"l{x}" for x in rng.integers(0, 10**6, 20_000))
+words, rows = op02_cgk.words_of(pa.array([*texts, long]))
+items = op02_cgk.Items(words, rows[:-1], np.diff(rows), [[i] for i in range(len(texts) + 1)], 0.2, 0.95)
+text = " and ".join([*texts[:20], long.replace(" l1", " z1"), *texts[20:30]])
+w, at = op02_cgk.words_of(pa.array([text]))
+found = {x for _, x, _, _, _ in op02_cgk.matches(w, at, items, op02_cgk.Lookup(items))}
+assert found >= {*range(30), 100_000}, len(found)
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 1e6, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=100)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def masked(line):
     return tuple("<*>" if re.search("[0-9]", w) else w for w in WORD.findall(line))
 
