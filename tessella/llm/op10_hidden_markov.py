@@ -4,15 +4,21 @@
 2. The most frequent words are symbols of their own, rarer words fall into classes by their ending. The alphabet is
    bounded, and a word's probability is that of its symbol times the word's share of its class, so probabilities of
    texts stay those of the words.
-3. Baum-Welch: expected counts of initial states, transitions and emissions are computed in each partition and summed
-   by Spark, in fixed point, so that any order of summing gives the same model. It starts from a model fitted to a
-   bounded sample (``sample_docs``); the passes over all training texts decide. Texts of more than ``SEGMENT`` tokens
-   are trained on as consecutive segments; all tokens count.
-4. The scaled forward recursion runs over each whole text and gives its exact log-likelihood. Words within the
-   frequent table are settled on the spot; the others' counts come from a join on the word hash.
+3. One pass turns all texts into arrays of symbols, which are written to the shared folder; words within the frequent
+   table are settled on the spot, the others' counts come from a join on the word hash.
+4. Baum-Welch: ``passes`` times over all training texts, expected counts of initial states, transitions and emissions
+   are computed in each partition and summed by Spark, in fixed point, so that any order of summing gives the same model.
+   It starts from a seeded guess that knows the frequencies of the symbols only.
+5. The scaled forward recursion runs over each whole text and gives its exact log-likelihood.
+
+Texts of more than ``SEGMENT`` tokens are worked on in segments side by side. What a segment does to each state it can
+be entered in is found first; from these the states at every border follow, forwards and backwards, so that counts and
+likelihoods are those of the whole text.
 
 Defined results: null and empty texts are one end token; words unseen in training count 0; a null id is held out;
-repeated rows are scored each (and each is learned from); without training rows the model is uniform.
+repeated rows are scored each (and each is learned from); without training rows the model is uniform. Of a very long
+text one row of two bytes a token is held. An empty table gives an empty result. Columns other than id, text and the
+carried ones aren't looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,15 +31,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import cut
+from ._store import cut, in_batches
 from ._words import SPACE, HashIndex, hashes, row_slices, spans, text_bytes
 
 FREQUENT = 1 << 18
 SYMBOLS = 1 << 13
 CLASSES = 512
 STATES = 8
-SEGMENT = 2048
-SLICE = 1_500_000
+PASSES = 4
+SEGMENT = 512
+#: Bytes of symbols that are worked on at once.
+SYMBOL_BYTES = 600_000
 #: Fixed point of expected counts.
 SCALE = float(1 << 20)
 END = np.uint64(0x0E1D0E1D0E1D0E1D)
@@ -85,7 +93,7 @@ def token_counts(train: DataFrame, text_col: str = "text") -> DataFrame:
             held = [merged()]
             yield rows()
 
-    found = train.select(F.col(text_col).alias("_text")).mapInArrow(run, "key long, kind int, n long")
+    found = in_batches(train.select(F.col(text_col).alias("_text")), run, "key long, kind int, n long")
     return found.groupBy("key").agg(F.min("kind").alias("kind"), F.sum("n").alias("n"))
 
 
@@ -106,20 +114,34 @@ class Vocabulary:
         return self.own + CLASSES
 
 
+def least_frequent(counts: DataFrame, room: int) -> int:
+    """The least count so that at most ``room`` words occur as often or more often.
+
+    Words are counted by ranges of their count, and the range in which the room ends is divided again: a few hundred
+    rows at a time.
+    """
+    lo, hi = 1, (counts.agg(F.max("n")).first()[0] or 0) + 1  # within [lo, hi]
+    while lo < hi:
+        width = max(1, -(-(hi - lo) // 256))
+        own = counts.where((F.col("n") >= lo) & (F.col("n") < hi)).groupBy(F.expr(f"(n - {lo}L) div {width}L").alias("at")).agg(F.count(F.lit(1)).alias("v"))
+        for r in sorted(own.collect(), key=lambda r: -r["at"]):
+            if r["v"] > room:
+                begin = lo + r["at"] * width
+                lo, hi = (begin + 1, begin + 1) if width == 1 else (begin, min(hi, begin + width))
+                break
+            room -= r["v"]
+        else:
+            return lo
+    return lo
+
+
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """The frequent words and the sizes of the classes, from the distributed counts.
 
-    The driver sees at most FREQUENT words, CLASSES rows, and one row for each count that occurs (fewer than the square
-    root of twice the tokens), from which the least count of a frequent word follows without a sort.
+    The driver sees at most FREQUENT words, CLASSES rows and the ranges of ``least_frequent``.
     """
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    sizes = sorted(((r["n"], r["v"]) for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("v")).collect()), reverse=True)
-    least, room = 1 << 62, FREQUENT
-    for n, v in sizes:
-        if v > room:
-            break
-        least, room = n, room - v
-    found = counts.where(F.col("n") >= least).select("key", "kind", "n").toPandas()
+    found = counts.where(F.col("n") >= least_frequent(counts, FREQUENT)).select("key", "kind", "n").toPandas()
     found = found.sort_values(["n", "key"], ascending=[False, True])
     own = min(SYMBOLS, len(found))
     by_kind = counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
@@ -159,59 +181,101 @@ def _steps(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows[:-1][order], order, longer
 
 
-def forward(symbols: np.ndarray, rows: np.ndarray, model: Model) -> np.ndarray:
-    """Exact natural log-likelihood of each sequence, by the scaled forward recursion, all sequences side by side."""
+def _run(symbols: np.ndarray, rows: np.ndarray, begin: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(state after each sequence's last token, log-likelihood), where ``begin`` is each one's state before its first."""
     first, order, longer = _steps(rows)
-    out = np.zeros(len(rows) - 1)
-    state = None
+    out, end, state = np.zeros(len(rows) - 1), begin[order], None
     for t, m in enumerate(longer):
-        seen = model.emit[symbols[first[:m] + t]]
-        state = model.start * seen if t == 0 else (state[:m] @ model.move) * seen
+        state = (begin[order[:m]] if t == 0 else state[:m] @ model.move) * model.emit[symbols[first[:m] + t]]
         norm = state.sum(axis=1)
         state /= norm[:, None]
         out[:m] += np.log(norm)
-    back = np.empty_like(out)
-    back[order] = out
-    return back
+        end[:m] = state
+    back, last = np.empty_like(out), np.empty_like(end)
+    back[order], last[order] = out, end
+    return last, back
+
+
+def pieces(rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets with every sequence cut into pieces of at most ``most``, the sequence of each piece)."""
+    count = -(-np.diff(rows) // most)
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.append(np.repeat(rows[:-1], count) + nth * most, rows[-1]), np.repeat(np.arange(len(count)), count)
 
 
-def expected(symbols: np.ndarray, rows: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def borders(symbols: np.ndarray, at: np.ndarray, of: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(state before each piece's first token, state that was left, weight of each state after its last token).
+
+    Pieces that begin a sequence have the model's start; the weights are up to a factor.
+    """
+    states = len(model.start)
+    opens = np.append(True, of[1:] != of[:-1])[: len(of)]
+    before, came, after = np.tile(model.start, (len(of), 1)), np.zeros((len(of), states)), np.ones((len(of), states))
+    several = np.flatnonzero(~opens | np.append(~opens[1:], False)[: len(of)])
+    if not len(several):
+        return before, came, after
+    inner = several[~opens[several]]
+    heads = several[opens[several]]
+    sub = lambda x: (np.concatenate([symbols[at[i] : at[i + 1]] for i in x]), np.concatenate([[0], np.cumsum(at[x + 1] - at[x])]))
+    ends = dict(zip(heads.tolist(), _run(*sub(heads), before[heads], model)[0], strict=True))
+    # a row for each state that a piece can be entered from: where it leads, and how likely the piece then is
+    flat, cut_at = sub(np.repeat(inner, states))
+    lead, log = _run(flat, cut_at, np.tile(model.move, (len(inner), 1)), model)
+    lead, log = lead.reshape(-1, states, states), log.reshape(-1, states)
+    step = dict(zip(inner.tolist(), lead * np.exp(log - log.max(axis=1, keepdims=True))[:, :, None], strict=True))
+    for i in inner.tolist():
+        came[i] = ends[i - 1]
+        before[i] = came[i] @ model.move
+        out = came[i] @ step[i]
+        ends[i] = out / out.sum()
+    for i in inner[::-1].tolist():
+        weight = step[i] @ after[i]
+        after[i - 1] = weight / weight.max()
+    return before, came, after
+
+
+def forward(symbols: np.ndarray, rows: np.ndarray, model: Model, most: int | None = None) -> np.ndarray:
+    """Exact natural log-likelihood of each sequence, by the scaled forward recursion, all sequences side by side."""
+    at, of = pieces(rows, most or SEGMENT)
+    before, _, _ = borders(symbols, at, of, model)
+    return np.bincount(of, weights=_run(symbols, at, before, model)[1], minlength=len(rows) - 1)
+
+
+def expected(symbols: np.ndarray, rows: np.ndarray, model: Model, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch counts of these sequences: initial states, transitions, emissions; and their log-likelihood."""
-    first, _, longer = _steps(rows)
+    at, of = pieces(rows, most or SEGMENT)
+    before, came, after = borders(symbols, at, of, model)
+    opens = np.append(True, of[1:] != of[:-1])[: len(of)]
+    first, order, longer = _steps(at)
+    before, came, after, opens = before[order], came[order], after[order], opens[order]
     states = len(model.start)
     place = np.concatenate([[0], np.cumsum(longer)])
-    at = np.concatenate([first[:m] + t for t, m in enumerate(longer)]) if len(longer) else np.zeros(0, np.int64)
-    ordered = symbols[at]
+    where = np.concatenate([first[:m] + t for t, m in enumerate(longer)]) if len(longer) else np.zeros(0, np.int64)
+    ordered = symbols[where]
     seen = model.emit[ordered]
     alpha, norms = np.empty((len(ordered), states)), np.empty(len(ordered))
     for t, m in enumerate(longer):
         lo, hi = place[t], place[t + 1]
-        a = (alpha[place[t - 1] : place[t - 1] + m] @ model.move if t else model.start) * seen[lo:hi]
+        a = (alpha[place[t - 1] : place[t - 1] + m] @ model.move if t else before[:m]) * seen[lo:hi]
         norms[lo:hi] = a.sum(axis=1)
         alpha[lo:hi] = a / norms[lo:hi, None]
-    moves = np.zeros((states, states))
-    beta = np.ones((int(longer[-1]) if len(longer) else 0, states))
+    moves, start = np.zeros((states, states)), np.zeros(states)
     seen /= norms[:, None]
-    for t in range(len(longer) - 1, 0, -1):
+    beta = np.zeros((0, states))
+    for t in range(len(longer) - 1, -1, -1):
         lo, hi, m = place[t], place[t + 1], longer[t]
+        ended = after[len(beta) : m]  # sequences whose last token this is: weights so that its states' shares sum to one
+        beta = np.concatenate([beta, ended / (alpha[lo + len(beta) : hi] * ended).sum(axis=1, keepdims=True)])
         ahead = seen[lo:hi] * beta
         alpha[lo:hi] *= beta
-        before = place[t - 1]
-        moves += alpha[before : before + m].T @ ahead
-        beta = np.ones((longer[t - 1], states))
-        beta[:m] = ahead @ model.move.T
-    if len(longer):
-        alpha[: longer[0]] *= beta
+        if t:
+            moves += alpha[place[t - 1] : place[t - 1] + m].T @ ahead
+            beta = ahead @ model.move.T
+        else:
+            moves += came[:m].T @ ahead  # over the borders; nothing came before a first piece
+            start = alpha[lo:hi][opens[:m]].sum(axis=0)
     emitted = np.stack([np.bincount(ordered, weights=alpha[:, s], minlength=len(model.emit)) for s in range(states)], 1)
-    return alpha[: longer[0] if len(longer) else 0].sum(axis=0), moves * model.move, emitted, float(np.log(norms).sum())
-
-
-def segments(rows: np.ndarray, most: int = SEGMENT) -> np.ndarray:
-    """Offsets with every sequence cut into pieces of at most ``most``."""
-    size = np.diff(rows)
-    pieces = -(-size // most)
-    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    return np.append(np.repeat(rows[:-1], pieces) + nth * most, rows[-1])
+    return start, moves * model.move, emitted, float(np.log(norms).sum())
 
 
 def _symbols(key: np.ndarray, kind: np.ndarray, index: HashIndex, own: int) -> tuple[np.ndarray, np.ndarray]:
@@ -220,54 +284,78 @@ def _symbols(key: np.ndarray, kind: np.ndarray, index: HashIndex, own: int) -> t
     return np.where((where >= 0) & (where < own), where, own + kind), where
 
 
-def train(rows: DataFrame, words: Vocabulary, id_col: str, text_col: str, states: int, passes: int, sample_docs: int, seed: int) -> Model:
-    prior = np.concatenate([words.counts[: words.own], words.class_tokens]) + 1.0
-    prior /= prior.sum()
-    head, own = words.keys[: words.own], words.own
+def symbol_rows(docs: DataFrame, learn_from: Column, words: Vocabulary, carry: list[str], text_col: str) -> DataFrame:
+    """``_c0``, ..., _row, _train, n_tokens, and of each text: _sym (two bytes a token), _known, _base, _share, _rare.
 
-    slim = rows.select(F.col(text_col).alias("_text"))
-    n = rows.count()
-    chance = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    sample = rows.where(chance < min(1.0, sample_docs / max(1, n))).select(F.col(text_col).alias("_text"))
+    _known: tokens in the frequent table; _base: their and all tokens' part of the base score; _share: the words' shares of
+    their classes; _rare: hashes of the words whose counts are still to be joined.
+    """
+    keys, known, own = words.keys, words.counts, words.own
+    class_log = np.log10(words.class_tokens + words.class_words + 1)
+    base_log = float(np.log10(words.total + words.distinct + 1))
+    slim = docs.select(
+        *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], F.monotonically_increasing_id().alias("_row"), F.coalesce(learn_from, F.lit(False)).alias("_train"), F.col(text_col).alias("_text")
+    )
+    n = len(carry) + 2
 
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = HashIndex(head)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = HashIndex(keys)
+        count_log = np.log10(known + 1.0)
         for b in row_slices(batches, "_text"):
             key, kind, at = tokens(b.column("_text"))
-            symbol, _ = _symbols(key, kind, index, own)
-            for lo, hi in zip(at[:-1], at[1:], strict=True):  # the beginning of a text is enough to start from
-                yield pa.RecordBatch.from_arrays([pa.array([symbol[lo : min(hi, lo + 512)].astype(np.int32).tobytes()], pa.binary())], names=["s"])
+            symbol, where = _symbols(key, kind, index, own)
+            found = np.where(where >= 0, count_log[where] if len(known) else 0.0, 0.0)
+            rare = np.flatnonzero(where < 0)
+            arrays = [
+                *(b.column(i) for i in range(n)),
+                pa.array(np.diff(at), pa.int64()),
+                _binary(symbol.astype(np.uint16), at),
+                pa.array(np.add.reduceat((where >= 0).astype(np.int64), at[:-1]), pa.int64()),
+                pa.array(np.add.reduceat(found - base_log, at[:-1])),
+                pa.array(np.add.reduceat(np.where(symbol < own, 0.0, found - class_log[kind]), at[:-1])),
+                pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, at), pa.int32()), pa.array(key[rare].view(np.int64))),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*b.schema.names[:n], "n_tokens", "_sym", "_known", "_base", "_share", "_rare"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
+    schema = ", ".join([f"{c} {kinds[c]}" for c in slim.columns[:n]] + ["n_tokens long, _sym binary, _known long, _base double, _share double, _rare array<long>"])
+    return in_batches(slim, run, schema)
+
 
-    drawn = sorted(bytes(r["s"]) for r in sample.mapInArrow(sampled, "s binary").collect())
+def _binary(symbol: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((2 * at).astype(np.int32)), pa.py_buffer(symbol)])
+
+
+def _symbols_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, offsets = text_bytes(column)
+    return data.view(np.uint16).astype(np.int32) if len(data) else np.zeros(0, np.int32), offsets // 2
+
+
+def train(rows: DataFrame, words: Vocabulary, states: int, passes: int, seed: int) -> Model:
+    """The model after ``passes`` of Baum-Welch over all ``rows`` (_sym)."""
+    prior = np.concatenate([words.counts[: words.own], words.class_tokens]) + 1.0
+    prior /= prior.sum()
     rng = np.random.Generator(np.random.PCG64(seed))
+    # states that are seldom left: what tells texts apart is found in a few passes
     emit = prior[:, None] * rng.gamma(2.0, 0.5, (len(prior), states))
-    model = Model(np.full(states, 1 / states), np.full((states, states), 0.1 / max(1, states - 1)) * (1 - np.eye(states)) + np.eye(states) * 0.9, emit / emit.sum(axis=0))
-    model.move /= model.move.sum(axis=1, keepdims=True)
-    if drawn:
-        symbols = np.concatenate([np.frombuffer(x, np.int32) for x in drawn])
-        at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in drawn])])
-        for _ in range(12):
-            a, m, e, _ = expected(symbols, at, model)
-            model = _normal(a, m, e, prior)
-
+    move = np.full((states, states), 0.05 / states) + 0.95 * np.eye(states)
+    model = Model(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
+    slim = rows.select("_sym")
     for _ in range(passes):
         now = model
 
         def counted(batches: Iterator[pa.RecordBatch], now: Model = now) -> Iterator[pa.RecordBatch]:
-            index = HashIndex(head)
-            begin, move, sent = np.zeros(states), np.zeros((states, states)), np.zeros(now.emit.shape)
-            for b in row_slices(batches, "_text", SLICE):
-                key, kind, at = tokens(b.column("_text"))
-                symbol, _ = _symbols(key, kind, index, own)
-                x, y, z, _ = expected(symbol, segments(at), now)
+            begin, moved, sent = np.zeros(states), np.zeros((states, states)), np.zeros(now.emit.shape)
+            for b in row_slices(batches, "_sym", SYMBOL_BYTES):
+                x, y, z, _ = expected(*_symbols_of(b.column("_sym")), now)
                 begin += x
-                move += y
+                moved += y
                 sent += z
-            every = np.rint(np.concatenate([begin[None], move, sent]) * SCALE).astype(np.int64)
+            every = np.rint(np.concatenate([begin[None], moved, sent]) * SCALE).astype(np.int64)
             some = np.flatnonzero(every.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array(every[some, j]) for j in range(states))], names=["r", *(f"s{j}" for j in range(states))])
 
-        sums = slim.mapInArrow(counted, "r long, " + ", ".join(f"s{j} long" for j in range(states)))
+        sums = in_batches(slim, counted, "r long, " + ", ".join(f"s{j} long" for j in range(states)))
         # one row for each symbol and state, bounded by the alphabet
         got = sums.groupBy("r").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(states)]).toPandas()
         every = np.zeros((1 + states + len(prior), states))
@@ -278,47 +366,26 @@ def train(rows: DataFrame, words: Vocabulary, id_col: str, text_col: str, states
 
 
 def hmm_scores(
-    docs: DataFrame, learn_from: Column, carry: list[str], id_col: str = "doc_id", text_col: str = "text",
-    states: int = STATES, passes: int = 2, sample_docs: int = 2000, seed: int = 11,
+    docs: DataFrame, learn_from: Column, carry: list[str], text_col: str = "text", states: int = STATES, passes: int = PASSES, seed: int = 11,
 ) -> DataFrame:
     """``carry``, n_tokens, n_known, train_tokens, base_score (smoothed unigram) and score (the model), both log10."""
-    rows = docs.where(learn_from)
-    counts = cut(token_counts(rows, text_col))
+    counts = cut(token_counts(docs.where(learn_from), text_col))
     words = vocabulary(counts)
-    model = train(rows, words, id_col, text_col, states, passes, sample_docs, seed)
-    keys, known, own = words.keys, words.counts, words.own
-    class_log = np.log10(words.class_tokens + words.class_words + 1)
-    base_log = float(np.log10(words.total + words.distinct + 1))
-    slim = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], F.col(text_col).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
+    read = cut(symbol_rows(docs, learn_from, words, carry, text_col), narrow=True)
+    model = train(read.where("_train"), words, states, passes, seed)
+    own = [f"_c{i}" for i in range(len(carry))]
+    slim = read.select(*own, "_row", "n_tokens", "_known", "_base", "_share", "_sym")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = HashIndex(keys)
-        count_log = np.log10(known + 1.0)
-        for b in row_slices(batches, "_text", SLICE):
-            key, kind, at = tokens(b.column("_text"))
-            symbol, where = _symbols(key, kind, index, own)
-            found = np.where(where >= 0, count_log[where] if len(known) else 0.0, 0.0)
-            score = forward(symbol, at, model) / np.log(10)
-            score += np.add.reduceat(np.where(symbol < own, 0.0, found - class_log[kind]), at[:-1])
-            rare = np.flatnonzero(where < 0)
-            rare_at = np.searchsorted(rare, at)
-            arrays = [
-                *(b.column(i) for i in range(len(carry))),
-                b.column(len(carry) + 1),
-                pa.array(np.diff(at), pa.int64()),
-                pa.array(np.add.reduceat((where >= 0).astype(np.int64), at[:-1]), pa.int64()),
-                pa.array(np.add.reduceat(found - base_log, at[:-1])),
-                pa.array(score),
-                pa.ListArray.from_arrays(pa.array(rare_at, pa.int32()), pa.array(key[rare].view(np.int64))),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*(f"_c{i}" for i in range(len(carry))), "_row", "n_tokens", "_known", "_base", "_score", "_rare"])
+        for b in row_slices(batches, "_sym", SYMBOL_BYTES):
+            score = forward(*_symbols_of(b.column("_sym")), model) / np.log(10) + b.column("_share").to_numpy()
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(own) + 4], pa.array(score)], names=[*b.schema.names[: len(own) + 4], "_score"])
 
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
-    schema = ", ".join([f"_c{i} {kinds[f'_c{i}']}" for i in range(len(carry))] + ["_row long, n_tokens long, _known long, _base double, _score double, _rare array<long>"])
-    scored = cut(slim.mapInArrow(run, schema), narrow=True)
-    rest = scored.select("_row", F.explode("_rare").alias("key")).join(counts.select("key", "n"), "key")
+    scored = in_batches(slim, run, ", ".join([*(f"{c} {kinds[c]}" for c in slim.columns[: len(own) + 4]), "_score double"]))
+    rest = read.select("_row", F.explode("_rare").alias("key")).join(counts.select("key", "n"), "key")
     rest = rest.groupBy("_row").agg(F.count(F.lit(1)).alias("_more"), F.sum(F.log10(F.col("n") + 1.0)).alias("_sum"))
-    out = scored.drop("_rare").join(rest, "_row", "left")
+    out = scored.join(rest, "_row", "left")
     more = F.coalesce("_sum", F.lit(0.0))
     return out.select(
         *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], "n_tokens",

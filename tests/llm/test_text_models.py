@@ -279,8 +279,19 @@ def test_forward_and_counts():
     assert op10_hidden_markov.forward(symbols, rows, better).sum() > total
 
 
-def test_segments():
-    assert op10_hidden_markov.segments(np.array([0, 5, 5, 7]), 2).tolist() == [0, 2, 4, 5, 7]
+def test_segments_change_nothing():
+    rng = np.random.default_rng(16)
+    norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
+    model = op10_hidden_markov.Model(norm(rng.random(3), 0), norm(rng.random((3, 3)), 1), norm(rng.random((7, 3)), 0))
+    rows = np.array([0, 40, 41, 47, 60, 63, 300])
+    symbols = rng.integers(0, 7, 300)
+    assert op10_hidden_markov.pieces(np.array([0, 5, 7]), 2)[0].tolist() == [0, 2, 4, 5, 7]
+    whole = op10_hidden_markov.expected(symbols, rows, model, 1000)
+    assert op10_hidden_markov.forward(symbols, rows, model, 1000) == pytest.approx([brute_forward(symbols[a:b], model) for a, b in zip(rows, rows[1:])])
+    for most in (1, 2, 3, 6, 40, 100):
+        assert op10_hidden_markov.forward(symbols, rows, model, most) == pytest.approx(op10_hidden_markov.forward(symbols, rows, model, 1000))
+        for x, y in zip(op10_hidden_markov.expected(symbols, rows, model, most), whole):
+            assert x == pytest.approx(y)
 
 
 def lm_words(text):
@@ -317,11 +328,22 @@ def test_model_is_a_distribution(spark):
     docs = spark.createDataFrame([(i, f"a b{i % 5} c{i % 3} a", "en", "s", 1) for i in range(60)], SCHEMA)
     counts = op10_hidden_markov.token_counts(docs)
     words = op10_hidden_markov.vocabulary(counts)
-    model = op10_hidden_markov.train(docs, words, "doc_id", "text", 2, 1, 100, 1)
+    rows = op10_hidden_markov.symbol_rows(docs, F.lit(True), words, ["doc_id"], "text")
+    model = op10_hidden_markov.train(rows, words, 2, 1, 1)
     assert model.emit.sum(axis=0) == pytest.approx(1) and model.move.sum(axis=1) == pytest.approx(1)
     assert words.total == 60 * 5 and words.distinct == 10
 
 
+def test_least_frequent(spark):
+    rng = np.random.default_rng(2)
+    n = sorted(np.exp(rng.uniform(0, 14, 3000)).astype(int).tolist(), reverse=True)
+    counts = spark.createDataFrame([(x,) for x in n], "n long")
+    for room in (0, 1, 50, 2000, 3000, 9999):
+        least = op10_hidden_markov.least_frequent(counts, room)
+        assert sum(x >= least for x in n) <= room and (least == 1 or sum(x >= least - 1 for x in n) > room)
+    assert op10_hidden_markov.least_frequent(counts.limit(0), 5) == 1
+
+
 def test_empty_corpus(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert op10_hidden_markov.hmm_scores(none, F.lit(True), ["doc_id"]).count() == 0
