@@ -4,17 +4,23 @@
   telling ones add up to) and the shape of the text: symbols, digits, capitals, repeats, line and word lengths.
 * The metadata view sees source, language and length.
 
-Each round, both views are trained; each picks the unlabelled documents it is surest of, and these pseudo-labels join
-the other view's training rows. At last each view is calibrated on labelled rows that trained nothing (Platt scaling),
-and a logistic combination of both calibrated views, fitted on the same rows, scores every document.
+Each round, both views are trained; each picks the ``PICKS`` unlabelled documents it is surest of, out of all there are,
+and these pseudo-labels join the other view's training rows. At last each view is calibrated on labelled rows that
+trained nothing (Platt scaling), and a logistic combination of both calibrated views, fitted on the same rows, scores
+every document.
 
-Models are fitted on the driver to at most about ``labelled_rows`` labelled and ``pool_rows`` unlabelled documents,
-taken by id hash (the documented bounds of the classifier's sample), with all their words. Features of all documents are computed in one pass over whole texts; nothing is shuffled but the sample's join
-with the labels.
+Features of all documents are computed once, from whole texts, and written to the shared folder; each round and the last
+scores read them from there. Models are fitted on the driver to at most about ``labelled_rows`` labelled documents, taken
+by id hash (the documented bound of the classifier's sample; one row for each id), with all their words, and to the
+picks. Documents outside this sample are the unlabelled ones: all of them are candidates of each round.
 
 Defined results: null texts are empty texts; null metadata is a value of its own; documents without labels are scored
-like all others; labels for unknown documents are ignored; if the labels have one class only, its share is everyone's
-score; without labels the score is 0.5; repeated rows are scored each.
+like all others; labels for unknown documents and null ids are ignored, and a null label is none; of several labels of
+an id the largest counts, of several texts of an id one trains; if the labels have one class only, its share is
+everyone's score; without labels the score is 0.5; if the rows set aside for calibration or those left to train have
+one class only (a few labels), all train and calibrate; repeated rows are scored each. Very long texts are read whole,
+one at a time. An empty table gives an empty result. Columns other than id, text, metadata and the carried ones aren't
+looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,9 +30,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ._store import cut, in_batches
 from ._words import NEWLINE, SPACE, hashes, row_slices, row_sums, spans, text_bytes
 
 BUCKETS = 1 << 16
@@ -198,91 +207,170 @@ class Model:
         return _sigmoid(_apply(self.joint, np.column_stack([a, m]))), _sigmoid(a), _sigmoid(m)
 
 
-def co_train(b: Batch, meta: list[tuple], y: np.ndarray, rounds: int = ROUNDS, picks: int = PICKS) -> Model:
-    """``y``: 1, 0 or nan (unlabelled). A fifth of the labelled rows calibrates and trains nothing."""
-    known = np.flatnonzero(~np.isnan(y))
-    none = np.zeros(2)
-    if not len(known) or len(np.unique(y[known])) < 2 or len(known) < 20:
-        return Model(None, None, none, none, np.zeros(3), float(y[known].mean()) if len(known) else 0.5)
-    held, train, pool = known[::5], np.setdiff1d(known, known[::5]), np.flatnonzero(np.isnan(y))
-    length = b.shapes[:, 7]
-    rows = {"text": (train, y[train]), "meta": (train, y[train])}
-    for turn in range(rounds + 1):
-        text = fit_text(_take(b, rows["text"][0]), rows["text"][1])
-        at, target = rows["meta"]
-        view = fit_meta([meta[i] for i in at], length[at], target)
-        if turn == rounds or not len(pool):
-            break
-        surest = {"meta": _sigmoid(text.logit(_take(b, pool))), "text": _sigmoid(view.logit([meta[i] for i in pool], length[pool]))}
-        gone = np.zeros(len(pool), bool)
-        for to, p in surest.items():
-            order = np.argsort(-np.abs(p - 0.5), kind="stable")[:picks]
-            order = order[(np.abs(p[order] - 0.5) >= SURE - 0.5) & ~gone[order]]
-            rows[to] = (np.concatenate([rows[to][0], pool[order]]), np.concatenate([rows[to][1], (p[order] > 0.5).astype(float)]))
-            gone[order] = True
-        pool = pool[~gone]
-    z = text.logit(_take(b, held))[:, None], view.logit([meta[i] for i in held], length[held])[:, None]
-    platt = [_logistic(v, y[held], 0.01) for v in z]
-    joint = _logistic(np.column_stack([_apply(w, v) for w, v in zip(platt, z, strict=True)]), y[held], 0.1)
-    return Model(text, view, platt[0], platt[1], joint, float(y[known].mean()))
+def surest(p: np.ndarray) -> np.ndarray:
+    """How far probabilities are from a half; rounded, so that it doesn't depend on how rows are batched."""
+    return np.round(np.abs(p - 0.5), 9)
 
 
-def _sampled(docs: DataFrame, n: int, rows: int, id_col: str, seed: int) -> DataFrame:
-    chance = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("string")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return docs.where(chance < min(1.0, rows / max(1, n)))
+class CoTraining:
+    """The training rows of both views for one target: labelled ones, and picks of the other view."""
 
+    def __init__(self, y: np.ndarray):
+        known = np.flatnonzero(~np.isnan(y))
+        self.share = float(y[known].mean()) if len(known) else 0.5
+        self.held, train = known[::5], np.setdiff1d(known, known[::5])
+        if min(len(np.unique(y[self.held])), len(np.unique(y[train]))) < 2:
+            self.held = train = known
+        self.y, self.rows = y, {"text": (train, y[train]), "meta": (train, y[train])}
+        self.trivial = len(np.unique(y[known])) < 2
 
-def learn(
-    docs: DataFrame, labels: DataFrame, targets: list[str], id_col: str = "doc_id", text_col: str = "text", meta: tuple[str, ...] = ("source", "lang"),
-    labelled_rows: int = 4000, pool_rows: int = 4000, seed: int = 5,
-) -> dict[str, Model]:
-    """A model for each target column of ``labels``."""
-    n_labels, n_docs = labels.count(), docs.count()
-    own = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_lid")).agg(*[F.max(t).cast("double").alias(f"_y{j}") for j, t in enumerate(targets)])
-    base = docs.select(F.col(id_col).alias("_id"), *[F.col(c).cast("string").alias(f"_m{j}") for j, c in enumerate(meta)], F.col(text_col).alias("_text"))
-    known = _sampled(own, n_labels, labelled_rows, "_lid", seed)
-    some = base.join(known, base["_id"] == known["_lid"]).drop("_lid")
-    rest = _sampled(base, n_docs, pool_rows, "_id", seed + 1).join(own.select("_lid"), base["_id"] == own["_lid"], "left_anti")
-    for j in range(len(targets)):
-        rest = rest.withColumn(f"_y{j}", F.lit(None).cast("double"))
+    def pick(self, to: str, at: np.ndarray, p: np.ndarray) -> None:
+        own, target = self.rows[to]
+        self.rows[to] = np.concatenate([own, at]), np.concatenate([target, (p > 0.5).astype(float)])
+
+    def views(self, b: Batch, meta: list[tuple]) -> tuple[TextView, MetaView]:
+        at, target = self.rows["meta"]
+        return fit_text(_take(b, self.rows["text"][0]), self.rows["text"][1]), fit_meta([meta[i] for i in at], b.shapes[at, 7], target)
+
+    def model(self, b: Batch, meta: list[tuple]) -> Model:
+        if self.trivial:
+            return Model(None, None, np.zeros(2), np.zeros(2), np.zeros(3), self.share)
+        (text, view), held = self.views(b, meta), self.held
+        z = text.logit(_take(b, held))[:, None], view.logit([meta[i] for i in held], b.shapes[held, 7])[:, None]
+        platt = [_logistic(v, self.y[held], 0.01) for v in z]
+        joint = _logistic(np.column_stack([_apply(w, v) for w, v in zip(platt, z, strict=True)]), self.y[held], 0.1)
+        return Model(text, view, platt[0], platt[1], joint, self.share)
+
+
+def features(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", meta: tuple[str, ...] = ("source", "lang")) -> DataFrame:
+    """_row, _id, ``_m0``, ... (metadata), ``_c0``, ... (``carry``), w (word buckets) and s (shapes) of each document, written."""
+    slim = docs.select(
+        F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), *[F.col(c).cast("string").alias(f"_m{j}") for j, c in enumerate(meta)],
+        *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], F.col(text_col).alias("_text"),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in row_slices(batches, "_text"):
             got = text_features(b.column("_text"))
-            rows = []
-            for lo, hi, shape in zip(got.rows[:-1], got.rows[1:], got.shapes, strict=True):
-                rows.append((got.buckets[lo:hi].astype(np.int32).tobytes(), shape.tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in range(b.num_columns) if b.schema.names[i] != "_text"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())],
-                names=[*(x for x in b.schema.names if x != "_text"), "w", "s"],
-            )
-
-    every = some.unionByName(rest)
-    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in every.schema.fields if f.name != "_text"]
-    found = sorted(every.mapInArrow(run, ", ".join([*kinds, "w binary, s binary"])).collect(), key=lambda r: (str(r["_id"]), bytes(r["s"])))
-    sizes = [len(r["w"]) // 4 for r in found]
-    b = Batch(
-        np.concatenate([np.frombuffer(r["w"], np.int32) for r in found] or [np.zeros(0, np.int32)]).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64),
-        np.array([np.frombuffer(r["s"]) for r in found]).reshape(len(found), SHAPES),
-    )
-    data = [tuple(r[f"_m{j}"] for j in range(len(meta))) for r in found]
-    return {t: co_train(b, data, np.array([np.nan if r[f"_y{j}"] is None else r[f"_y{j}"] for r in found])) for j, t in enumerate(targets)}
-
-
-def scores(docs: DataFrame, models: dict[str, Model], carry: list[str], text_col: str = "text", meta: tuple[str, ...] = ("source", "lang")) -> DataFrame:
+            words = pa.BinaryArray.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((4 * got.rows).astype(np.int32)), pa.py_buffer(got.buckets.astype(np.int32))])
+            ends = np.arange(b.num_rows + 1, dtype=np.int32) * 8 * SHAPES
+            shapes = pa.BinaryArray.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(got.shapes))])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], words, shapes], names=[*b.schema.names[:-1], "w", "s"])
+
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[:-1]]
+    return cut(in_batches(slim, run, ", ".join([*kinds, "w binary, s binary"])))
+
+
+def _batch(w: pa.Array, s: pa.Array) -> Batch:
+    words, at = text_bytes(w)
+    shapes, _ = text_bytes(s)
+    return Batch(words.view(np.int32).astype(np.int64) if len(words) else np.zeros(0, np.int64), at // 4, shapes.view(np.float64).reshape(len(s), SHAPES) if len(s) else np.zeros((0, SHAPES)))
+
+
+def _meta(b: pa.RecordBatch) -> list[tuple]:
+    return list(zip(*[b.column(c).to_pylist() for c in b.schema.names if c.startswith("_m")], strict=True))
+
+
+def most_sure(featured: DataFrame, views: list, gone: list[set[int]], labelled: pa.Array, picks: int) -> list:
+    """For each target and each view the ``picks`` unlabelled documents that it is surest of: (k, sure, p, features).
+
+    k is twice the target's place, plus one for the metadata view. Every task sends its own ``picks`` at most, and these
+    are ranked in parts before they are ranked together.
+    """
+    meta = [c for c in featured.columns if c.startswith("_m")]
+    slim = featured.select("_row", "_id", *meta, "w", "s")
+    out = ["k", "sure", "p", *slim.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, pa.Table] = {}
+        by = [("sure", "descending"), ("_id", "ascending"), ("w", "ascending"), ("s", "ascending"), ("_row", "ascending")]
+        for b in row_slices(batches, "w"):
+            b = b.filter(pc.invert(pc.is_in(b.column("_id"), value_set=labelled))) if len(labelled) else b
+            if not b.num_rows:
+                continue
+            got, data, row = _batch(b.column("w"), b.column("s")), _meta(b), b.column("_row").to_numpy()
+            for j, own in enumerate(views):
+                if own is None:
+                    continue
+                free = ~np.isin(row, np.fromiter(gone[j], np.int64, len(gone[j])))
+                for k, p in ((2 * j, _sigmoid(own[0].logit(got))), (2 * j + 1, _sigmoid(own[1].logit(data, got.shapes[:, 7])))):
+                    sure = surest(p)
+                    at = np.flatnonzero(free & (sure >= SURE - 0.5))
+                    if len(at):
+                        more = pa.Table.from_batches([b.take(pa.array(at))]).append_column("sure", pa.array(sure[at])).append_column("p", pa.array(p[at]))
+                        every = pa.concat_tables([best[k], more]) if k in best else more
+                        best[k] = every.take(pc.sort_indices(every, sort_keys=by)[:picks])
+        for k, t in best.items():
+            t = t.append_column("k", pa.array([k] * t.num_rows, pa.int32())).select(out)
+            yield from t.combine_chunks().to_batches()
+
+    kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
+    found = in_batches(slim, run, ", ".join(["k int, sure double, p double", *(f"{c} {kinds[c]}" for c in slim.columns)]))
+    order = [F.desc("sure"), F.col("_id").asc_nulls_last(), "w", "s", "_row"]
+    for part in (["k", F.pmod(F.shiftright("_row", 33), F.lit(64))], ["k"]):
+        found = found.withColumn("_nth", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where(F.col("_nth") <= picks).drop("_nth")
+    return sorted(found.collect(), key=lambda r: (r["k"], -r["sure"], r["_id"] is None, r["_id"], bytes(r["w"]), bytes(r["s"])))
+
+
+def fit(featured: DataFrame, labels: DataFrame, targets: list[str], id_col: str = "doc_id", labelled_rows: int = 4000, rounds: int = ROUNDS, picks: int = PICKS, seed: int = 5) -> dict[str, Model]:
+    """A model for each target column of ``labels``."""
+    own = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_lid")).agg(*[F.max(t).cast("double").alias(f"_y{j}") for j, t in enumerate(targets)])
+    chance = F.pmod(F.xxhash64(F.lit(seed), F.col("_lid").cast("string")), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    known = own.where(chance < min(1.0, labelled_rows / max(1, own.count())))  # distinct ids, so that about labelled_rows is a bound
+    meta = [c for c in featured.columns if c.startswith("_m")]
+    some = featured.join(F.broadcast(known), featured["_id"] == known["_lid"])
+    some = some.groupBy("_lid").agg(F.min(F.struct("w", "s", *meta)).alias("f"), *[F.first(f"_y{j}").alias(f"_y{j}") for j in range(len(targets))])
+    rows = sorted(some.collect(), key=lambda r: str(r["_lid"]))
+    labelled = pa.array([r["_lid"] for r in rows], to_arrow_type(featured.schema["_id"].dataType))
+    w, s, data = [bytes(r["f"]["w"]) for r in rows], [bytes(r["f"]["s"]) for r in rows], [tuple(r["f"][c] for c in meta) for r in rows]
+    training = [CoTraining(np.array([np.nan if r[f"_y{j}"] is None else r[f"_y{j}"] for r in rows], float)) for j in range(len(targets))]
+    gone: list[set[int]] = [set() for _ in targets]
+    for _ in range(rounds if not all(t.trivial for t in training) else 0):
+        b = _batch(pa.array(w, pa.binary()), pa.array(s, pa.binary()))
+        views = [None if t.trivial else t.views(b, data) for t in training]
+        for r in most_sure(featured, views, gone, labelled, picks):
+            j, to = r["k"] // 2, "meta" if r["k"] % 2 == 0 else "text"
+            if r["_row"] in gone[j]:
+                continue  # the text view, which comes first, has picked it in this round
+            gone[j].add(r["_row"])
+            training[j].pick(to, np.array([len(w)]), np.array([r["p"]]))
+            w.append(bytes(r["w"]))
+            s.append(bytes(r["s"]))
+            data.append(tuple(r[c] for c in meta))
+    b = _batch(pa.array(w, pa.binary()), pa.array(s, pa.binary()))
+    return {t: x.model(b, data) for t, x in zip(targets, training, strict=True)}
+
+
+def scored(featured: DataFrame, models: dict[str, Model], carry: list[str]) -> DataFrame:
     """``carry`` and, for each target, its combined probability and those of the two views."""
-    slim = docs.select(
-        *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], *[F.col(c).cast("string").alias(f"_m{j}") for j, c in enumerate(meta)], F.col(text_col).alias("_text")
-    )
+    own = [f"_c{i}" for i in range(len(carry))]
+    slim = featured.select(*own, *[c for c in featured.columns if c.startswith("_m")], "w", "s")
     names = [f"{t}{v}" for t in models for v in ("_score", "_text_view", "_meta_view")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in row_slices(batches, "_text"):
-            got = text_features(b.column("_text"))
-            data = list(zip(*[b.column(len(carry) + j).to_pylist() for j in range(len(meta))], strict=True))
+        for b in row_slices(batches, "w"):
+            got, data = _batch(b.column("w"), b.column("s")), _meta(b)
             found = [pa.array(x) for m in models.values() for x in m.score(got, data)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(carry))), *found], names=[*(f"_c{i}" for i in range(len(carry))), *names])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], *found], names=[*own, *names])
 
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
-    schema = ", ".join([f"_c{i} {kinds[f'_c{i}']}" for i in range(len(carry))] + [f"{n} double" for n in names])
-    return slim.mapInArrow(run, schema).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], *names)
+    out = in_batches(slim, run, ", ".join([*(f"{c} {kinds[c]}" for c in own), *(f"{n} double" for n in names)]))
+    return out.select(*[F.col(c).alias(x) for c, x in zip(own, carry, strict=True)], *names)
+
+
+def learn(
+    docs: DataFrame, labels: DataFrame, targets: list[str], id_col: str = "doc_id", text_col: str = "text", meta: tuple[str, ...] = ("source", "lang"), **how,
+) -> dict[str, Model]:
+    """A model for each target column of ``labels``; ``how`` as in ``fit``."""
+    return fit(features(docs, [], id_col, text_col, meta), labels, targets, id_col, **how)
+
+
+def scores(docs: DataFrame, models: dict[str, Model], carry: list[str], id_col: str = "doc_id", text_col: str = "text", meta: tuple[str, ...] = ("source", "lang")) -> DataFrame:
+    """As ``scored``, from documents."""
+    return scored(features(docs, carry, id_col, text_col, meta), models, carry)
+
+
+def co_trained(docs: DataFrame, labels: DataFrame, targets: list[str], carry: list[str], id_col: str = "doc_id", **how) -> DataFrame:
+    """Learn and score the same documents, whose features are computed once."""
+    featured = features(docs, carry, id_col)
+    return scored(featured, fit(featured, labels, targets, id_col, **how), carry)

@@ -70,8 +70,7 @@ def op8_license_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_co_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    models = op09_co_training.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ["quality", "toxic"])
-    out = op09_co_training.scores(docs, models, ["doc_id"])
+    out = op09_co_training.co_trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ["quality", "toxic"], ["doc_id"])
     return out.select(
         "doc_id", F.col("quality_score").alias("score"), "quality_text_view", "quality_meta_view", "toxic_score",
         ((F.col("quality_score") >= 0.5) & (F.col("toxic_score") < 0.5)).alias("keep"),

@@ -359,6 +359,41 @@ def test_co_training_odd_rows(spark):
     assert op09_co_training.scores(docs.limit(0), models, ["doc_id"]).count() == 0
 
 
+def test_co_training_against_a_plain_loop(spark):
+    """The same rounds over all rows in one place, whatever the partitions."""
+    from tessella.llm.op09_co_training import CoTraining, _sigmoid, surest, text_features
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("doc_id % 3 = 0")
+    got = {}
+    for n in (3, 11):
+        models = op09_co_training.learn(docs.repartition(n), labels, ["quality"], rounds=2, picks=25)
+        got[n] = {r["doc_id"]: r["quality_score"] for r in op09_co_training.scores(docs, models, ["doc_id"]).collect()}
+    rows = sorted(docs.collect(), key=lambda r: str(r["doc_id"]))
+    y = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    b = text_features(pa.array([r["text"] for r in rows]))
+    meta = [(r["source"], r["lang"]) for r in rows]
+    ids = np.array([r["doc_id"] for r in rows])
+    own = CoTraining(np.array([y.get(i, np.nan) for i in ids], float))
+    pool = np.array([i not in y for i in ids])
+    picked = 0
+    for _ in range(2):
+        text, view = own.views(b, meta)
+        taken = set()
+        for to, p in (("meta", _sigmoid(text.logit(b))), ("text", _sigmoid(view.logit(meta, b.shapes[:, 7])))):
+            sure = surest(p)
+            order = sorted(np.flatnonzero(pool & (sure >= 0.4)).tolist(), key=lambda i: (-sure[i], ids[i]))[:25]  # noqa: B023
+            order = np.array([i for i in order if i not in taken], int)
+            taken |= set(order.tolist())
+            own.pick(to, order, p[order])
+            picked += len(order)
+        pool[list(taken)] = False
+    want = own.model(b, meta).score(b, meta)[0]
+    assert picked > 40
+    for found in got.values():
+        assert np.allclose([found[i] for i in ids], want, atol=1e-6)
+
+
 def test_co_training_learns_from_all_words_of_long_texts(spark):
     """Telling words count however many other words a labelled text has."""
     filler = " ".join(f"filler{i}" for i in range(1000))
