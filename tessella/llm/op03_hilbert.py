@@ -4,26 +4,32 @@ Each dimension is quantised to ``2^bits`` bins, the bins' cell is looked up in t
 by curve index and the order is cut into runs of equal row counts. Rows near in all dimensions share a shard, so that
 a reader who filters on any of them can skip most files by their minima and maxima.
 
-Numeric dimensions are cut at approximate quantiles of all rows. String dimensions are cut by the code-point order
-of their values, at equal shares of rows. If a string dimension has more than ``MAX_VALUES`` values, the cut points
-come from that many values with the least hash; this only moves the cut points, every row is placed.
+Dimensions are cut at the values that stand at equal shares of all rows in the order of values (strings: of code
+points): exactly, from the counts of the values. A dimension with no more values than bins has a bin for each.
 
-Defined results: null dimensions go to bin 0; a null text has size 1 and a null checksum; ties in curve index are
-ordered by text checksum and then id, so equal texts with equal metadata are neighbours; repeated rows get slots of
-their own; an empty table gives an empty result.
+Equal texts are kept together: all rows of a text have the cell of the one with the least id, and rows of one cell are
+ordered by the text's checksum and MD5 and then by id. Only the cuts between shards can part them.
+
+Defined results: null dimensions go to bin 0; a null text has size 1 and a null checksum, and null texts keep cells of
+their own; a null id comes after all others where the least is sought; repeated rows get slots of their own; of a very
+long text only size and checksums are used; an empty table gives an empty result. Columns that aren't named by the
+caller aren't looked at, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ._order import indexed
+from ._order import indexed, weighed
 from ._store import cut
 
-MAX_VALUES = 4096
+#: A group of equal texts with two sets of dimensions is a row of some 100 bytes: 10 MB at most.
+BROADCAST_GROUPS = 100_000
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -52,40 +58,31 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return word
 
 
-def _cuts(df: DataFrame, name: str, kind: T.DataType, bins: int) -> list:
+def _cuts(df: DataFrame, name: str, bins: int) -> list:
     """At most ``bins - 1`` rising cut points; a value's bin is the number of cut points that aren't over it."""
-    if isinstance(kind, T.NumericType):
-        shares = [i / bins for i in range(1, bins)]
-        found = df.agg(F.percentile_approx(F.col(name).cast("double"), shares, 10_000).alias("c")).first()["c"]
-        return sorted(set(found or []))
-    values = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).count()
-    kept = sorted((r["v"], r["count"]) for r in values.orderBy(F.xxhash64("v"), "v").limit(MAX_VALUES).collect())
-    total, before, cuts, last = sum(n for _, n in kept), 0, [], 0
-    for v, n in kept:
-        at = before * bins // max(1, total) if len(kept) > bins else len(cuts) + 1
-        if before and at > last:
-            cuts.append(v)
-            last = at
-        before += n
-    return cuts[: bins - 1]
-
-
-def _bin(name: str, kind: T.DataType, cuts: list) -> Column:
-    value = F.col(name).cast("double") if isinstance(kind, T.NumericType) else F.col(name)
-    out = F.lit(0)
-    for c in cuts:
-        out = out + F.coalesce((value >= F.lit(c)).cast("int"), F.lit(0))
-    return out
-
-
-def hilbert_order(df: DataFrame, dims: list[str], bits: int = 5, name: str = "_curve") -> DataFrame:
-    """``df`` with the curve index of its quantised dimensions; the curve's table has 2^(bits * dims) <= 2^15 rows."""
+    values = cut(df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).agg(F.count(F.lit(1)).alias("n")), dealt=True)
+    first = values.limit(bins + 1).collect()
+    if len(first) <= bins:
+        return sorted(r["v"] for r in first)[1:]
+    before, total = weighed(values, ["v"], "n")
+    here = [(F.col("_before") <= p) & (F.lit(p) < F.col("_before") + F.col("n")) for p in (i * total // bins for i in range(1, bins))]
+    return sorted(r["v"] for r in before.where(reduce(or_, here)).select("v").collect())
+
+
+def _bin(name: str, cuts: list) -> Column:
+    return sum((F.coalesce((F.col(name) >= F.lit(c)).cast("int"), F.lit(0)) for c in cuts), F.lit(0))
+
+
+def hilbert_order(df: DataFrame, dims: list[str], bits: int = 5, name: str = "_curve", counted: DataFrame | None = None) -> DataFrame:
+    """``df`` with the curve index of its quantised dimensions; the curve's table has 2^(bits * dims) <= 2^15 rows.
+
+    ``counted``: a table with the dimensions of all rows that the cut points come from, if that is cheaper to read.
+    """
     if not 1 <= bits * len(dims) <= 15:
         raise ValueError("bits * dimensions must be from 1 to 15")
-    kinds = {f.name: f.dataType for f in df.schema.fields}
     cell = F.lit(0)
     for d in dims:
-        cell = cell * F.lit(1 << bits) + _bin(d, kinds[d], _cuts(df, d, kinds[d], 1 << bits))
+        cell = cell * F.lit(1 << bits) + _bin(d, _cuts(df if counted is None else counted, d, 1 << bits))
     n = 1 << bits * len(dims)
     cells = np.stack([np.arange(n) >> bits * (len(dims) - 1 - i) & ((1 << bits) - 1) for i in range(len(dims))], 1)
     rows = list(enumerate(hilbert_index(cells, bits).tolist()))
@@ -93,6 +90,21 @@ def hilbert_order(df: DataFrame, dims: list[str], bits: int = 5, name: str = "_c
     return df.withColumn("_cell", cell).join(F.broadcast(curve), "_cell").drop("_cell")
 
 
+def _as_one(df: DataFrame, dims: list[str], narrow: DataFrame) -> DataFrame:
+    """``df`` with the dimensions ``_g0``, ...: each row's own, but those of the least id where texts are equal.
+
+    ``narrow`` has _md5, _id and the dimensions of all rows. Only texts whose rows differ in them are joined.
+    """
+    own = F.struct(*dims)
+    groups = narrow.where("_md5 is not null").groupBy("_md5").agg(
+        F.min(F.struct(F.col("_id").isNull(), "_id", own.alias("d"))).alias("l"), F.min(own).alias("lo"), F.max(own).alias("hi")
+    )
+    groups = cut(groups.where("not (lo <=> hi)").select(F.col("_md5").alias("_of"), F.col("l.d").alias("_d")), dealt=True)
+    small = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    joined = df.join(F.broadcast(groups) if small else groups, df["_md5"] == groups["_of"], "left")
+    return joined.withColumns({f"_g{i}": F.when(F.col("_of").isNull(), F.col(d)).otherwise(F.col("_d")[d]) for i, d in enumerate(dims)}).drop("_of", "_d")
+
+
 def shard_runs(df: DataFrame, keys: list[str], n_shards: int) -> DataFrame:
     """``df`` with shard and slot: runs of the order by ``keys`` whose row counts differ by one at most."""
     out, n = indexed(df, keys)
@@ -111,17 +123,21 @@ def hilbert_shards(
     The dimensions and the size span the curve.
     """
     names = [*(f"_d{i}" for i in range(len(dims))), *(f"_k{i}" for i in range(len(keep)))]
+    own = names[: len(dims)]
     slim = df.select(
         F.col(id_col).alias("_id"),
         *[F.col(d).alias(n) for d, n in zip([*dims, *keep], names, strict=True)],
         (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.col(text_col).cast("binary")).alias("text_crc32"),
+        F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("_md5"),
     )
-    if not keep:
-        slim = cut(slim, narrow=True)  # narrow: texts are read once, not for each dimension's cut points again
-    placed = shard_runs(hilbert_order(slim, [*names[: len(dims)], "size"], bits), ["_curve", "text_crc32", "_id"], n_shards)
+    # texts are read once for the cut points and once more only if they are carried along
+    narrow = cut(slim.drop(*names[len(dims) :]), narrow=True)
+    rows = _as_one(slim if keep else narrow, own, narrow).withColumn("_tie", F.monotonically_increasing_id())
+    cells = [f"_g{i}" for i in range(len(dims))]
+    counted = narrow.select(*[F.col(n).alias(c) for n, c in zip(own, cells, strict=True)], "size")
+    placed = shard_runs(hilbert_order(rows, [*cells, "size"], bits, counted=counted), ["_curve", "text_crc32", "_md5", "_id", "_tie"], n_shards)
     return placed.select(
         F.col("_id").alias(id_col), "size", "text_crc32", "shard", "slot", F.col("_curve").alias("curve_index"),
         *[F.col(n).alias(d) for n, d in zip(names, [*dims, *keep], strict=True)],
     )
-

@@ -132,10 +132,10 @@ def _op6_sql() -> str:
 def _op3_sql(dims: tuple[str, ...] = ("source", "lang"), bits: int = 5, shards: int = 8) -> str:
     """Bins by cut points, the curve by the steps of its definition, runs by row number; CRC-32 from its polynomial.
 
-    Cut points of the size are exact here and approximate in Spark: the same up to some thousand rows, later a rank apart.
+    Sizes and dimensions are cut at the values that stand at equal shares of all rows; a dimension with no more values
+    than bins has a bin for each.
     """
     bins = 1 << bits
-    shares = ", ".join(str(i / bins) for i in range(1, bins))
     step, k = ["cells AS (SELECT *, " + ", ".join(f"b{i} AS x{i}" for i in range(3)) + " FROM binned)"], "cells"
     for b in range(bits - 1, 0, -1):
         low = (1 << b) - 1
@@ -152,14 +152,21 @@ def _op3_sql(dims: tuple[str, ...] = ("source", "lang"), bits: int = 5, shards:
     for s in (1, 2, 4, 8):
         step.append(f"g{s} AS (SELECT * EXCLUDE (w), xor(w, w >> {s}) AS w FROM {g})")
         g = f"g{s}"
-    ranks = [f"d{i} AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS r FROM (SELECT DISTINCT {d} AS v FROM documents WHERE {d} IS NOT NULL))" for i, d in enumerate(dims)]
+    cut_by = lambda v, i: (
+        f"v{i} AS (SELECT {v} AS v, row_number() OVER (ORDER BY {v}) - 1 AS p, count(*) OVER () AS n FROM d WHERE {v} IS NOT NULL), "
+        f"u{i} AS (SELECT count(DISTINCT v) AS k FROM v{i}), "
+        f"q{i} AS (SELECT CASE WHEN k <= {bins} THEN (SELECT list_sort(list(DISTINCT v))[2:] FROM v{i}) ELSE (SELECT list(DISTINCT v) FROM v{i} "
+        f"WHERE list_contains(list_transform(range(1, {bins}), lambda i: i * n // {bins}), p)) END AS cuts FROM u{i})"
+    )
+    cuts = ", ".join(cut_by(v, i) for i, v in enumerate([*dims, "size"]))
+    own = [f"CASE WHEN text IS NULL THEN {d} ELSE first_value({d}) OVER (PARTITION BY text ORDER BY doc_id NULLS LAST, {', '.join(f'{x} NULLS FIRST' for x in dims)}) END AS g{i}" for i, d in enumerate(dims)]
+    counted = [f"coalesce(len(list_filter(q{i}.cuts, lambda c: c <= {v})), 0)::bigint AS b{i}" for i, v in enumerate([*(f"g{i}" for i in range(len(dims))), "size"])]
     return rf"""WITH poly(c0) AS (SELECT unnest(range(256))), t8 AS (SELECT c0, list_reduce(list_concat([c0], range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM poly),
-      tab AS (SELECT list(c ORDER BY c0) AS t FROM t8), h AS (SELECT doc_id, {", ".join(dims)}, text, hex(encode(text)) AS hx FROM documents),
+      tab AS (SELECT list(c ORDER BY c0) AS t FROM t8), h AS (SELECT doc_id, {", ".join(dims)}, text, hex(encode(text)) AS hx, {", ".join(own)} FROM documents),
       d AS (SELECT *, coalesce(length(hx) // 2, 0) + 1 AS size, CASE WHEN text IS NOT NULL THEN xor(list_reduce(list_concat([4294967295], list_transform(range(0, length(hx) // 2), lambda i: ('0x' || substr(hx, 2 * i + 1, 2))::bigint)),
         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) END AS text_crc32 FROM h, tab),
-      q AS (SELECT list_distinct(quantile_disc(size, [{shares}])) AS cuts FROM d), {", ".join(ranks)},
-      binned AS (SELECT d.doc_id, d.size, d.text_crc32, coalesce(d0.r, 0)::bigint AS b0, coalesce(d1.r, 0)::bigint AS b1, len(list_filter(cuts, lambda c: c <= size))::bigint AS b2 FROM d CROSS JOIN q LEFT JOIN d0 ON d.{dims[0]} = d0.v LEFT JOIN d1 ON d.{dims[1]} = d1.v),
-      {", ".join(step)}, placed AS (SELECT *, row_number() OVER (ORDER BY w, text_crc32 NULLS FIRST, doc_id NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM {g})
+      {cuts}, binned AS (SELECT d.doc_id, d.size, d.text_crc32, md5(d.text) AS m, {", ".join(counted)} FROM d, {", ".join(f"q{i}" for i in range(len(dims) + 1))}),
+      {", ".join(step)}, placed AS (SELECT *, row_number() OVER (ORDER BY w, text_crc32 NULLS FIRST, m NULLS FIRST, doc_id NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM {g})
       SELECT doc_id, size::bigint AS size, text_crc32::bigint AS text_crc32, 'rows' AS law, (i * {shards} // n)::int AS shard, (i - ((i * {shards} // n) * n + {shards - 1}) // {shards})::bigint AS slot, NULL::int AS grown_shard, w::bigint AS curve_index FROM placed"""
 
 
