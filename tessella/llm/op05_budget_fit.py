@@ -2,51 +2,63 @@
 
 1. Documents are counted by source and exact token length.
 2. Target weights share the budget among sources; a source's target stops at ``max_repeats`` times its size and the
-   excess is shared again by weight (one row for each source on the driver).
+   excess is shared again by weight. Sources are a table of their own: they are numbered in order, and each round of
+   sharing is one sum over them.
 3. A source takes all its documents as often as its target allows whole passes. What is left is fitted on the length
    counts: a like share of each length's documents, then a bounded-knapsack dynamic program over lengths for the rest.
-4. Of each length the documents with the least seeded hash are taken. Hash buckets keep a length that holds most rows
-   of a source out of one task.
+4. Of each length the documents with the least seeded hash (of id, length and text) are taken. Ranges of the hash keep a
+   length that holds most rows of a source out of one task; rows that are equal in all of this are counted, not ranked.
 
 Defined results: a null text has size 0; null sources are one source, last in order; documents of size 0 are taken
-with the whole passes only; repeated rows are documents of their own (which of several equal rows is taken does not
-show); an empty table gives an empty result.
+with the whole passes and their like share; repeated rows are documents of their own (which of several equal rows is
+taken does not show); null ids are told apart by their texts; of a very long text only its length and hash are used (the
+dynamic program's table grows with the longest document); an empty table gives an empty result. Columns that aren't
+named by the caller are carried by ``mixed`` and ignored by ``mix``, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._order import indexed
 from ._store import cut
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (5, 2, 1)
-BUCKETS = 256
-#: Most bits of the dynamic program's table; a larger rest is first brought down with the longest documents left.
+#: Ranges of the hash, of about so many rows each (of all sources and lengths together) and 256 at least.
+RANGE_ROWS = 1 << 20
+#: Bits of the dynamic program's table (four times the longest document, if that is more); a larger rest is first
+#: brought down with the longest documents left.
 TABLE_BITS = 1 << 20
 #: A row of a source has a name and two numbers: some 10 MB at most.
 BROADCAST_SOURCES = 100_000
 
 
-def fill_targets(sizes: Sequence[int], weights: Sequence[float], budget: float, max_repeats: float = 2) -> list[float]:
-    """Shares of ``budget`` by weight, none over ``max_repeats`` times its size; the excess is reshared by weight."""
-    targets, left, open_ = [0.0] * len(sizes), float(budget), list(range(len(sizes)))
-    while open_:
-        per = left / sum(weights[i] for i in open_)
-        over = [i for i in open_ if weights[i] * per > max_repeats * sizes[i]]
-        if not over:
-            for i in open_:
-                targets[i] = weights[i] * per
-            break
-        for i in over:
-            targets[i] = float(max_repeats * sizes[i])
-            left -= targets[i]
-        open_ = [i for i in open_ if i not in set(over)]
-    return targets
+def with_targets(sources: DataFrame, weights: Sequence[float], share: float, max_repeats: float) -> DataFrame:
+    """``sources`` (_source, _source_size) with _target: shares of the budget by weight in the order of names, null last.
+
+    Each round finds what a weight of 1 gets if the sources that had too much in the round before stop at their most;
+    it can only rise, so the rounds end when no more sources stop.
+    """
+    named = sources.withColumn("_none", F.col("_source").isNull())
+    own, _ = indexed(named, ["_none", "_source"])
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_idx") % len(weights) + 1).cast("int"))
+    own = cut(own.select("_source", "_source_size", weight.alias("_weight"), (F.col("_source_size") * max_repeats).alias("_most")), dealt=True)
+    total = own.agg(F.sum("_source_size").alias("s"), F.sum("_weight").alias("w")).first()
+    per = share * total["s"] / total["w"] if total["w"] else 0.0
+    while True:
+        over = F.col("_weight") * per > F.col("_most")
+        r = own.agg(F.sum(F.when(over, F.col("_most"))).alias("s"), F.sum(F.when(~over, F.col("_weight"))).alias("w")).first()
+        new = (share * total["s"] - (r["s"] or 0)) / r["w"] if r["w"] else per
+        if new == per:
+            return own.select("_source", "_source_size", F.when(over, F.col("_most").cast("double")).otherwise(F.col("_weight") * per).alias("_target"))
+        per = new
 
 
 def knapsack(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
@@ -90,13 +102,14 @@ def fit(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list[int]
     out = [c * budget // total for c in counts]
     rest = budget - sum(n * k for n, k in zip(lengths, out, strict=True))
     by_length = sorted((i for i in range(len(lengths)) if lengths[i]), key=lambda i: -lengths[i])
+    room = max(TABLE_BITS, 4 * max(lengths))
     for i in by_length:
-        if rest < TABLE_BITS:
+        if rest < room:
             break
-        more = min(counts[i] - out[i], (rest - TABLE_BITS // 2) // lengths[i])
+        more = min(counts[i] - out[i], (rest - room // 2) // lengths[i])
         out[i] += max(0, more)
         rest -= max(0, more) * lengths[i]
-    for i, k in zip(by_length, knapsack([lengths[i] for i in by_length], [counts[i] - out[i] for i in by_length], min(rest, TABLE_BITS)), strict=True):
+    for i, k in zip(by_length, knapsack([lengths[i] for i in by_length], [counts[i] - out[i] for i in by_length], rest), strict=True):
         out[i] += k
     return out
 
@@ -111,27 +124,26 @@ def mix(
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """One row for each document: id, source, ``keep``, size, source_size, target, copies, taken (copies * size)."""
-    spark = docs.sparkSession
     names = [f"_k{i}" for i in range(len(keep))]
     slim = docs.select(
         F.col(id_col).alias("_id"),
         F.col(source_col).alias("_source"),
         token_sizes(docs, text_col).alias("_size"),
+        F.xxhash64(text_col).alias("_text"),
+        F.spark_partition_id().alias("_p"),
         *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)],
     )
-    slim = slim.withColumn("_h", F.xxhash64(F.lit(seed), F.col("_id").cast("string"), "_size"))
-    slim = cut(slim.withColumn("_b", F.pmod(F.col("_h"), F.lit(BUCKETS)).cast("int")), narrow=True)
-    per_bucket = cut(slim.groupBy("_source", "_size", "_b").agg(F.count(F.lit(1)).alias("_n")))
+    slim = cut(slim.withColumn("_h", F.xxhash64(F.lit(seed), F.col("_id").cast("string"), "_size", "_text")).drop("_text"), narrow=True)
+    # a range has the rows with the same first bits of the hash, so that how many ranges there are doesn't change the order
+    bits = max(8, (slim.count() // RANGE_ROWS).bit_length())
+    slim = slim.withColumn("_b", F.shiftright("_h", 64 - bits).cast("int"))
+    own = ["_source", "_size", "_b", "_h", "_id", *names, "_p"]
+    equal = cut(slim.groupBy(*own).agg(F.count(F.lit(1)).alias("_m")), dealt=True)
+    per_bucket = cut(equal.groupBy("_source", "_size", "_b").agg(F.sum("_m").alias("_n")), dealt=True)
     lengths = per_bucket.groupBy("_source", "_size").agg(F.sum("_n").alias("_n"))
-
-    sources = lengths.groupBy("_source").agg(F.sum(F.col("_size") * F.col("_n")).alias("size")).collect()
-    sources.sort(key=lambda r: (r["_source"] is None, r["_source"] or ""))
-    sizes = [int(r["size"]) for r in sources]
-    share_of = [weights[i % len(weights)] for i in range(len(sizes))]
-    targets = fill_targets(sizes, share_of, share * sum(sizes), max_repeats)
-    rows = [(r["_source"], s, t) for r, s, t in zip(sources, sizes, targets, strict=True)]
-    plan = spark.createDataFrame(rows, "_source string, _source_size long, _target double")
-    plan = plan.withColumn("_source", F.col("_source").cast(slim.schema["_source"].dataType))
+    sources = cut(lengths.groupBy("_source").agg(F.sum(F.col("_size") * F.col("_n")).alias("_source_size")), dealt=True)
+    plan = with_targets(sources, weights, share, max_repeats)
+    few = sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
 
     def quotas(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("_size")
@@ -140,8 +152,8 @@ def mix(
         taken = fit(part["_size"].tolist(), part["_n"].tolist(), round(target) - passes * size)
         return part.assign(_passes=passes, _quota=taken)[["_source", "_size", "_source_size", "_target", "_passes", "_quota"]]
 
-    small = F.broadcast(plan) if len(rows) <= BROADCAST_SOURCES else plan
-    with_plan = lengths.join(small, lengths["_source"].eqNullSafe(plan["_source"])).drop(plan["_source"])
+    plan = plan.withColumnRenamed("_source", "_of")
+    with_plan = lengths.join(F.broadcast(plan) if few else plan, lengths["_source"].eqNullSafe(F.col("_of"))).drop("_of")
     kind = slim.schema["_source"].dataType.simpleString()
     quota = with_plan.groupBy("_source").applyInPandas(
         quotas, f"_source {kind}, _size long, _source_size long, _target double, _passes long, _quota long"
@@ -153,13 +165,15 @@ def mix(
         F.col("_source").alias("_qs"), F.col("_size").alias("_qz"), F.col("_b").alias("_qb"), "_source_size", "_target", "_passes",
         F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_quota") - F.col("_before"))).alias("_here"),
     )
-    rank = F.row_number().over(Window.partitionBy("_source", "_size", "_b").orderBy("_h", "_id"))
-    ranked = slim.withColumn("_rank", rank)
+    first = Window.partitionBy("_source", "_size", "_b").orderBy("_h", "_id", *names, "_p").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = equal.withColumn("_first", F.coalesce(F.sum("_m").over(first), F.lit(0)))
     out = ranked.join(
         share_in,
         ranked["_source"].eqNullSafe(share_in["_qs"]) & (ranked["_size"] == share_in["_qz"]) & (ranked["_b"] == share_in["_qb"]),
     )
-    copies = F.col("_passes") + (F.col("_rank") <= F.col("_here")).cast("long")
+    # equal rows of one input partition come back as so many rows
+    out = out.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), "_m")))
+    copies = F.col("_passes") + (F.col("_first") + F.col("_nth") <= F.col("_here")).cast("long")
     return out.select(
         F.col("_id").alias(id_col), F.col("_source").alias(source_col), *[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)],
         F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
@@ -179,13 +193,21 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     took = took.groupBy(F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), F.col("_key").alias("_md5")).agg(
         F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")
     )
-    slim = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)])
+    slim = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)], F.monotonically_increasing_id().alias("_row"))
     own, src, text = (F.col(f"_c{names.index(c)}") for c in (id_col, source_col, text_col))
     slim = slim.withColumn("_k", F.md5(F.coalesce(text, F.lit("")).cast("binary"))).withColumn("_own", own).withColumn("_of", src)
     joined = slim.join(took, slim["_own"].eqNullSafe(took["_id"]) & slim["_of"].eqNullSafe(took["_src"]) & (slim["_k"] == took["_md5"]))
-    # rows that share id, source and text are told apart only where there are several
+    # rows that share id, source and text are told apart only where there are several: numbered by input partition first
     single = joined.where("_rows = 1").withColumn("_n", F.col("_copies"))
-    several = joined.where("_rows > 1").withColumn("_nth", F.row_number().over(Window.partitionBy("_own", "_of", "_k").orderBy("_own")))
-    several = several.withColumn("_n", F.expr("_copies div _rows + if(_nth <= _copies % _rows, 1, 0)")).drop("_nth")
-    times = single.unionByName(several).where("_n > 0").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    several = joined.where("_rows > 1").withColumn("_p", F.shiftright("_row", 33))
+    key = ["_own", "_of", "_k"]
+    parts = several.groupBy(*key, "_p").agg(F.count(F.lit(1)).alias("_in"))
+    earlier = F.sum("_in").over(Window.partitionBy(*key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(*[F.col(c).alias(f"_j{c}") for c in (*key, "_p")], F.coalesce(earlier, F.lit(0)).alias("_earlier"))
+    several = several.withColumn("_nth", F.row_number().over(Window.partitionBy(*key, "_p").orderBy("_row")))
+    several = several.join(parts, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_j{c}")) for c in (*key, "_p")]))
+    several = several.withColumn("_n", F.expr("_copies div _rows + if(_earlier + _nth <= _copies % _rows, 1, 0)"))
+    cols = [f"_c{i}" for i in range(len(names))]
+    times = single.select(*cols, "_n").unionByName(several.select(*cols, "_n")).where("_n > 0")
+    times = times.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
     return times.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])

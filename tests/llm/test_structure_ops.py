@@ -115,9 +115,30 @@ def test_shards(spark):
     assert [r["curve_index"] for r in by_place] == sorted(r["curve_index"] for r in rows)
 
 
+def test_equal_texts_share_a_shard(spark):
+    """Only the seven cuts part texts, though copies differ in source and language."""
+    rows = [(i, f"text {i // 5}", f"l{i * 7 % 11}", f"s{i * 13 % 50}", 1) for i in range(3000)]
+    got = op03_hilbert.hilbert_shards(spark.createDataFrame(rows, SCHEMA), keep=("text",)).collect()
+    shards = {}
+    for r in got:
+        shards.setdefault(r["text"], set()).add(r["shard"])
+    parts = sum(len(s) > 1 for s in shards.values())
+    assert len(shards) == 600 and parts <= 7
+    assert Counter((r["doc_id"], r["source"], r["lang"]) for r in got) == Counter((r[0], r[3], r[2]) for r in rows)
+
+
+def test_cut_points_are_exact(spark):
+    rng = np.random.default_rng(5)
+    v = np.exp(rng.uniform(0, 8, 5000)).astype(int).tolist()
+    docs = spark.createDataFrame([(x, f"n{x:05d}") for x in v], "x long, s string").repartition(6)
+    want = sorted({sorted(v)[i * len(v) // 32] for i in range(1, 32)})
+    assert op03_hilbert._cuts(docs, "x", 32) == want and op03_hilbert._cuts(docs, "s", 32) == [f"n{x:05d}" for x in want]
+    assert op03_hilbert._cuts(docs.where("x < 5"), "x", 32) == [2, 3, 4]
+
+
 def test_shards_prune(spark):
     """Files cut along the curve hold few of a dimension's values; files in id order hold them all."""
-    docs = spark.createDataFrame([(i, "x", f"l{i % 8}", f"s{i * 7 % 16}", 1) for i in range(4096)], SCHEMA)
+    docs = spark.createDataFrame([(i, f"x{i:04d}", f"l{i % 8}", f"s{i * 7 % 16}", 1) for i in range(4096)], SCHEMA)
     rows = op03_hilbert.hilbert_shards(docs, n_shards=16).collect()
     seen = Counter()
     for s in range(16):
@@ -151,11 +172,32 @@ def test_knapsack_against_brute_force():
         assert sum(t * n for t, n in zip(took, lengths)) == brute_reach(lengths, counts, budget)
 
 
-def test_targets_refill():
-    got = op05_budget_fit.fill_targets([100, 1000, 1000], [5, 2, 1], 1.5 * 2100)
+def fill_targets(sizes, weights, budget, max_repeats=2):
+    """Shares by weight, none over its most; the excess is shared again."""
+    targets, left, open_ = [0.0] * len(sizes), float(budget), set(range(len(sizes)))
+    while open_:
+        per = left / sum(weights[i] for i in open_)
+        over = {i for i in open_ if weights[i] * per > max_repeats * sizes[i]}
+        for i in over or open_:
+            targets[i] = float(max_repeats * sizes[i]) if over else weights[i] * per
+            left -= targets[i]
+        open_ -= over or open_
+    return targets
+
+
+def test_targets_refill(spark):
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 7, 400):
+        sizes = np.exp(rng.uniform(0, 12, n)).astype(int).tolist()
+        names = sorted(f"s{i}" for i in range(n - 1)) + [None]
+        table = spark.createDataFrame(list(zip(names, sizes)), "_source string, _source_size long").repartition(5)
+        got = {r["_source"]: r["_target"] for r in op05_budget_fit.with_targets(table, (5, 2, 1), 1.5, 2).collect()}
+        want = fill_targets(sizes, [(5, 2, 1)[i % 3] for i in range(n)], 1.5 * sum(sizes))
+        assert [got[s] for s in names] == pytest.approx(want)
+    got = fill_targets([100, 1000, 1000], [5, 2, 1], 1.5 * 2100)
     assert got[0] == 200 and sum(got) == pytest.approx(3150)
     assert got[1] == pytest.approx(2950 * 2 / 3) and got[2] == pytest.approx(2950 / 3)
-    assert op05_budget_fit.fill_targets([0, 0], [5, 2], 0) == [0, 0]
+    assert fill_targets([0, 0], [5, 2], 0) == [0, 0]
 
 
 def test_mix(spark):
@@ -165,7 +207,7 @@ def test_mix(spark):
     assert Counter((r["doc_id"], r["source"], r["size"]) for r in rows) == want
     sources = sorted({r["source"] for r in rows}, key=lambda s: (s is None, s or ""))
     sizes = [sum(r["size"] for r in rows if r["source"] == s) for s in sources]
-    targets = op05_budget_fit.fill_targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(sources))], 1.5 * sum(sizes))
+    targets = fill_targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(sources))], 1.5 * sum(sizes))
     for s, size, target in zip(sources, sizes, targets):
         own = [r for r in rows if r["source"] == s]
         assert {r["source_size"] for r in own} == {size} and own[0]["target"] == pytest.approx(target)
@@ -178,6 +220,26 @@ def test_mix(spark):
     assert Counter((r["doc_id"], r["taken"]) for r in rows) == Counter((r["doc_id"], r["taken"]) for r in again)
 
 
+def test_fit_with_very_long_documents():
+    assert op05_budget_fit.fit([1_000_000, 700_000], [1, 1], 1_300_000) in ([1, 0], [0, 1])
+    taken = op05_budget_fit.fit([1_000_000, 300_000, 7], [3, 4, 100], 2_300_000)
+    assert abs(sum(t * n for t, n in zip(taken, [1_000_000, 300_000, 7])) - 2_300_000) <= 3
+
+
+@pytest.mark.parametrize("range_rows", [1 << 20, 3])
+def test_mix_of_repeated_rows_and_null_ids(spark, range_rows, monkeypatch):
+    monkeypatch.setattr(op05_budget_fit, "RANGE_ROWS", range_rows)
+    rows = [(5, "a b c", "en", "s0", 1)] * 700 + [(None, f"x y {i}", "en", "s0", 1) for i in range(500)] + [(i, "k", "en", "s1", 1) for i in range(90)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    took = [Counter((r["doc_id"], r["source"], r["size"], r["taken"]) for r in op05_budget_fit.mix(docs.repartition(n)).collect()) for n in (3, 8)]
+    assert took[0] == took[1] and sum(took[0].values()) == len(rows)
+    words = Counter()
+    for (_, s, _, t), n in took[0].items():
+        words[s] += t * n
+    made = Counter(r["source"] for r in op05_budget_fit.mixed(docs).collect())
+    assert {s: made[s] * (3 if s == "s0" else 1) for s in made} == dict(words)
+
+
 def test_mix_splits_a_hot_length(spark):
     docs = spark.createDataFrame([(i, "a b c", "en", "s0" if i % 2 else "s1", 1) for i in range(3000)], SCHEMA)
     rows = op05_budget_fit.mix(docs).collect()
