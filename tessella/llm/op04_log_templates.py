@@ -215,7 +215,7 @@ def _one_row_a_line(b: pa.RecordBatch) -> pa.RecordBatch:
         return b
     docs = pa.array(np.add.reduceat(b.column("docs").to_numpy(), first))
     kept = b.take(pa.array(first))
-    return pa.RecordBatch.from_arrays([docs if n == "docs" else kept.column(n) for n in b.schema.names], names=b.schema.names)
+    return pa.RecordBatch.from_arrays([docs if n == "docs" else kept.column(n) for n in b.schema.names], schema=b.schema)
 
 
 def line_templates(docs: DataFrame, text_col: str, min_docs: int, similarity: float) -> DataFrame:

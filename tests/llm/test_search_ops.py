@@ -269,10 +269,14 @@ def test_large_leaf_by_parts(spark, monkeypatch):
     gone = brute_dropped(rows, 3, 0.75)
     assert 0 < len(gone) < len({masked(t) for _, t in rows})
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for leaf_rows in (20_000, 2):  # 2: eight bits, two levels of parts
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    for leaf_rows, size in ((20_000, before), (20_000, "500"), (2, before)):  # parts over several batches; eight bits, two levels of parts
         monkeypatch.setattr(op04_log_templates, "LEAF_ROWS", leaf_rows)
+        spark.conf.set(name, size)
         got = {r["doc_id"]: r["n_dropped"] for r in op04_log_templates.dedup_lines(docs.repartition(5)).collect()}
-        assert got == {i: int(masked(t) in gone) for i, t in rows}, leaf_rows
+        spark.conf.set(name, before)
+        assert got == {i: int(masked(t) in gone) for i, t in rows}, (leaf_rows, size)
 
 
 def test_long_lines_recur_from_two_texts_on(spark):
