@@ -321,6 +321,38 @@ def test_license_spans(spark):
     assert op08_license_scan.scan(spark.createDataFrame([], SCHEMA), ["doc_id"]).count() == 0
 
 
+def test_license_spans_against_every_alignment(spark):
+    """Each template aligned to each whole text, without index and band."""
+    rng = np.random.default_rng(14)
+    t = op08_license_scan.TEMPLATES
+    filler = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    rows = []
+    for i, name in enumerate(sorted(t)):
+        w = t[name].split()
+        for _ in range(len(w) // 8 * (i % 3)):  # some keep too little of the notice
+            w[int(rng.integers(0, len(w)))] = f"z{rng.integers(0, 99)}"
+        rows.append((i, f"{filler(20)} {' '.join(w)} {filler(30)}"))
+    index = op08_license_scan.Index(t)
+    want = {}
+    for i, text in rows:
+        words, _ = op02_cgk.words_of(pa.array([text]))
+        found = []
+        for k, name in enumerate(index.names):
+            own = index.of(k)
+            got, _, _, b0, b1 = _align.local_alignment(own, words, 0, len(own) + len(words))
+            if got >= op08_license_scan.COVERAGE * len(own):
+                found.append((-got, -got / len(own), name, b0, b1))
+        taken = []
+        for got, _, name, b0, b1 in sorted(found):
+            if all(b1 <= a or b0 >= b for _, _, a, b in taken):
+                taken.append((name, -got, b0, b1))
+        want[i] = sorted(x[:2] for x in taken)
+    have = defaultdict(list)
+    for r in op08_license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect():
+        have[r["doc_id"]].append((r["license"], r["matched_words"]))
+    assert {i: sorted(have.get(i, [])) for i in want} == want and sum(map(bool, want.values())) > len(rows) // 2
+
+
 def test_local_alignment():
     a = np.array([1, 2, 3, 4, 5, 6], np.uint64)
     b = np.array([9, 9, 1, 2, 7, 3, 4, 6, 9], np.uint64)
