@@ -9,14 +9,14 @@ from ..functions.labels import comma_list, format_code
 
 
 def grouped_codes(dx: DataFrame, prefix: str = "F", order: tuple[str, ...] = ("seq_num",)) -> DataFrame:
-    """One row for each hadm_id: subject_id of the first row, codes in order as 'A, B', their count, least seq_num.
+    """One row for each hadm_id: the first subject_id that isn't null, codes in order as 'A, B', their count, least seq_num.
 
     Rows are ordered by ``order`` and then by code, so that ties don't depend on the partitioning. Null keys are left out.
     """
     rows = dx.where(F.col("icd_code").startswith(prefix) & F.col("hadm_id").isNotNull())
     entry = F.struct(*order, format_code(F.col("icd_code")).alias("code"))
     out = rows.groupBy("hadm_id").agg(
-        F.min_by("subject_id", F.struct(*order, "icd_code")).alias("subject_id"),
+        F.min_by("subject_id", F.when(F.col("subject_id").isNotNull(), F.struct(*order, "icd_code"))).alias("subject_id"),
         F.array_sort(F.collect_list(entry)).alias("e"),
         F.count(F.lit(1)).alias("f_code_count"),
         F.min("seq_num").cast("long").alias("primary_seq"),
@@ -96,8 +96,8 @@ def split_quality(df: DataFrame, key_columns: tuple[str, ...] = ("hadm_id", "sub
         F.count_if(bad).alias("n_bad_format"),
         F.count_if(F.size(codes) == 0).alias("n_empty"),
     )
-    total = out.agg(F.sum("n_rows")).first()[0] or 1
-    return out.withColumn("pct", F.col("n_rows") * 100.0 / F.lit(float(total)))
+    # a row for each split, so that one window over them is small
+    return out.withColumn("pct", F.col("n_rows") * 100.0 / F.sum("n_rows").over(Window.partitionBy(F.lit(0))))
 
 
 def split_overlap(df: DataFrame, key: str) -> DataFrame:

@@ -245,3 +245,11 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["f_code"]: (r["tp"], r["fp"], r["fn"]) for r in spark.table("codes").collect()} == {"F1": (1, 0, 0), "F2": (0, 1, 1)}
+
+
+def test_first_patient_that_is_known(spark):
+    """The first row's null patient doesn't hide the next row's."""
+    rows = [(1, None, 1, "F10"), (1, 7, 2, "F20"), (1, 8, 3, "F30"), (2, None, 1, "F10")]
+    dx = spark.createDataFrame(rows, "hadm_id long, subject_id long, seq_num int, icd_code string")
+    got = {r["hadm_id"]: (r["subject_id"], r["f_codes_str"]) for r in cohort.grouped_codes(dx).collect()}
+    assert got == {1: (7, "F10, F20, F30"), 2: (None, "F10")}
