@@ -47,7 +47,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sharding", sharding),
 ]
 
-#: Alignment, LSH and knapsack fitting aren't SQL; tests/llm/test_pipeline.py holds the stages against brute force.
+#: Alignment, LSH and knapsack fitting aren't SQL. tests/llm/test_pipeline.py holds each stage against its operator, and
+#: the other tests in that folder hold the operators against brute force.
 ORACLE_SQL = None
 
 
