@@ -7,13 +7,34 @@ from ..functions.text import HEADER_STEMS, SECTIONS, STOP_WORDS
 from ..operators.keywords import ABBREVIATIONS, BRANDS, INDICATORS, noise_words
 from ..operators.rank import RARITY
 from .projections import STRATEGIES, TERMS
-from .queries import ITERATIONS, OVERLAP, SIZE
+from ..operators.resample import MASK, MULTIPLIERS, seed_base
+from .queries import DRAWS, GAP_DRAWS, OVERLAP, PERMUTATIONS, SIZE
 
 
 def _s(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
+def _mixed(rows: str, *names: str) -> str:
+    """``rows`` with whole numbers under 2^32 mixed."""
+    a, b = MULTIPLIERS
+    for step in ("xor({c}, {c}>>16)", f"({{c}}*{a})&{MASK}", "xor({c}, {c}>>15)", f"({{c}}*{b})&{MASK}", "xor({c}, {c}>>16)"):
+        rows = "(SELECT * REPLACE (" + ", ".join(f"{step.format(c=c)} AS {c}" for c in names) + f") FROM {rows})"
+    return rows
+
+
+def _drawn(rows: str, seed: int, i: str, j: str) -> str:
+    """``rows`` with x, a whole number under 2^32 drawn for (seed, i, j)."""
+    own = _mixed(f"(SELECT *, ({i}+{seed_base(seed)})&{MASK} AS xi, ({j}+1)&{MASK} AS xj FROM {rows})", "xi", "xj")
+    return _mixed(f"(SELECT * EXCLUDE (xi, xj), (xi+xj)&{MASK} AS x FROM {own})", "x")
+
+
+def _boot_draws(n: str, n_iter: int, seed: int) -> str:
+    """iter, pos: ``n`` draws with replacement for each iteration."""
+    rows = f"(SELECT n, iter, j FROM (SELECT n, unnest(range({n_iter})) AS iter FROM {n}), LATERAL (SELECT unnest(range(n)) AS j))"
+    return f"SELECT iter, (x*n)>>32 AS pos FROM {_drawn(rows, seed, 'iter', 'j')}"
+
+
 def _list(xs) -> str:
     return ", ".join(_s(x) for x in xs)
 
@@ -72,7 +93,7 @@ _CTE = {
     "arr": "SELECT strategy, sample_id, list_sort(list(code) FILTER (WHERE a)) AS ac, list_sort(list(code) FILTER (WHERE p)) AS pcodes FROM ev GROUP BY ALL",
     "pos": "SELECT *, row_number() OVER (ORDER BY ('0x'||substr(md5(sample_id::varchar),1,2))::int, sample_id)-1 AS pos FROM (SELECT DISTINCT sample_id FROM sc)",
     "nn": "SELECT count(*) AS n FROM pos",
-    "draw": f"SELECT iter, ('0x'||substr(md5('42:'||iter::varchar||':'||j::varchar),1,8))::bigint % n AS pos FROM (SELECT n, unnest(range({ITERATIONS})) AS iter FROM nn), LATERAL (SELECT unnest(range(n)) AS j)",
+    "draw": _boot_draws("nn", DRAWS, 42),
     "boot": """SELECT iter, strategy, k, 2.0*sum(tp)/(2*sum(tp)+sum(fp)+sum(fn)) AS f1, (sum(tp)/sum(tp+fp))::double AS precision, (sum(tp)/sum(tp+fn))::double AS recall, avg((fp+fn=0)::int)::double AS exact_match FROM draw JOIN pos USING (pos) JOIN sc USING (sample_id) GROUP BY ALL""",
     "resp0": "SELECT sample_id, sample_id%6 AS kind, coalesce(list_sort(list(code) FILTER (WHERE p)), []) AS c FROM ev WHERE strategy='ZS' GROUP BY ALL",
 }
@@ -148,27 +169,29 @@ def _enrichment(tail: str) -> str:
 
 
 def _permutation() -> str:
+    names = [f"{c}{k}" for k, _ in _TUNED for c in ("tp", "fp", "fn")]
     diffs = []
     for i, (ka, a) in enumerate(_TUNED):
         for kb, b in _TUNED[i + 1 :]:
-            x = [f"sum(CASE WHEN sw THEN {c}{kb} ELSE {c}{ka} END)" for c in ("tp", "fp", "fn")]
-            y = [f"sum(CASE WHEN sw THEN {c}{ka} ELSE {c}{kb} END)" for c in ("tp", "fp", "fn")]
-            diffs.append(f"SELECT iter, '{a}' AS strategy_a, '{b}' AS strategy_b, (2.0*{x[0]}/(2*{x[0]}+{x[1]}+{x[2]}) - 2.0*{y[0]}/(2*{y[0]}+{y[1]}+{y[2]}))::double AS diff FROM sw GROUP BY iter")
-    wide = "SELECT sample_id, " + ", ".join(f"max({c}) FILTER (WHERE k={k}) AS {c}{k}" for k, _, _ in STRATEGIES for c in ("tp", "fp", "fn")) + " FROM sc GROUP BY 1"
-    sw = f"SELECT iter, iter>=0 AND (('0x'||substr(md5('42:'||iter::varchar||':'||pos::varchar),1,8))::bigint % 2)=1 AS sw, wide.* EXCLUDE (sample_id) FROM wide JOIN pos USING (sample_id), (SELECT unnest(range(-1,{ITERATIONS})) AS iter)"
-    tests = f"""SELECT d.strategy_a, d.strategy_b, max(o.diff) AS diff, (count(*) FILTER (WHERE abs(d.diff)>=abs(o.diff))+1)/{ITERATIONS + 1}.0::double AS p_raw
+            x = [f"(t_{c}{ka}-w_{c}{ka}+w_{c}{kb})" for c in ("tp", "fp", "fn")]
+            y = [f"(t_{c}{kb}-w_{c}{kb}+w_{c}{ka})" for c in ("tp", "fp", "fn")]
+            diffs.append(f"SELECT iter, '{a}' AS strategy_a, '{b}' AS strategy_b, (2.0*{x[0]}/(2*{x[0]}+{x[1]}+{x[2]}) - 2.0*{y[0]}/(2*{y[0]}+{y[1]}+{y[2]}))::double AS diff FROM sums")
+    wide = "SELECT sample_id, " + ", ".join(f"max({c}) FILTER (WHERE k={k})::int AS {c}{k}" for k, _ in _TUNED for c in ("tp", "fp", "fn")) + " FROM sc GROUP BY 1"
+    rows = f"(SELECT iter, pos, wide.* EXCLUDE (sample_id) FROM wide JOIN pos USING (sample_id), (SELECT unnest(range(-1,{PERMUTATIONS})) AS iter))"
+    sums = "SELECT iter, " + ", ".join(f"sum({n})::bigint AS t_{n}, coalesce(sum({n}) FILTER (WHERE iter>=0 AND x>>31=1),0)::bigint AS w_{n}" for n in names) + f" FROM {_drawn(rows, 42, 'iter', 'pos')} GROUP BY 1"
+    tests = f"""SELECT d.strategy_a, d.strategy_b, max(o.diff) AS diff, (count(*) FILTER (WHERE abs(d.diff)>=abs(o.diff))+1)/{PERMUTATIONS + 1}.0::double AS p_raw
       FROM diffs d JOIN diffs o USING (strategy_a, strategy_b) WHERE o.iter=-1 AND d.iter>=0 GROUP BY 1,2"""
     body = """SELECT strategy_a, strategy_b, round(diff,6) AS diff, round(p_raw,6)::double AS p_raw, round(least(1.0, max(adj) OVER (ORDER BY p_raw, strategy_a, strategy_b ROWS UNBOUNDED PRECEDING)),6)::double AS p_holm,
       least(1.0, max(adj) OVER (ORDER BY p_raw, strategy_a, strategy_b ROWS UNBOUNDED PRECEDING))<0.05 AS significant
       FROM (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p_raw, strategy_a, strategy_b) + 1)*p_raw AS adj FROM tests)"""
-    return _with("sc pos", body, wide=wide, sw=sw, diffs=" UNION ALL ".join(diffs), tests=tests)
+    return _with("sc pos", body, wide=wide, sums=sums, diffs=" UNION ALL ".join(diffs), tests=tests)
 
 
 def _draws(rows: str, key: str, seed: int, name: str) -> dict[str, str]:
     """Tables of positions and draws over ``rows``."""
     return {
         f"{name}p": f"SELECT *, row_number() OVER (ORDER BY ('0x'||substr(md5({key}::varchar),1,2))::int, {key})-1 AS pos FROM {rows}",
-        f"{name}d": f"SELECT iter, ('0x'||substr(md5('{seed}:'||iter::varchar||':'||j::varchar),1,8))::bigint % n AS pos FROM (SELECT n, unnest(range({ITERATIONS})) AS iter FROM (SELECT count(*) AS n FROM {name}p)), LATERAL (SELECT unnest(range(n)) AS j)",
+        f"{name}d": _boot_draws(f"(SELECT count(*) AS n FROM {name}p)", GAP_DRAWS, seed),
     }
 
 

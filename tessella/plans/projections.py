@@ -13,6 +13,7 @@ DX_ORDER = ("seq_num", "l_partkey", "l_suppkey")
 #: Strategies by the order of display; the first two aren't fine-tuned. Fixed values.
 STRATEGIES = [
     (0, "ZS-Base", False), (1, "CoT-Base", False), (2, "ZS", True), (3, "FS", True), (4, "RC", True), (5, "CoT", True),
+    (6, "KE", True), (7, "KA-CoT", True),
 ]
 TERMS = ["the", "under", "of the", "in the", "idiot", "clown", "worthless"]
 

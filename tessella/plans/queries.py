@@ -15,8 +15,10 @@ from ..session import table
 from ..sources import readers, writers
 from . import projections as P
 
-#: Windows of the short given texts, and iterations of resampling here.
-SIZE, OVERLAP, ITERATIONS = 200, 20, 20
+#: Windows of the short given texts.
+SIZE, OVERLAP = 200, 20
+#: Draws of bootstraps, of the gaps between groups, and of permutation tests. Fixed values.
+DRAWS, GAP_DRAWS, PERMUTATIONS = 1000, 2000, 10000
 
 
 def _r6(*names: str) -> Callable[[DataFrame], DataFrame]:
@@ -396,7 +398,7 @@ def bootstrap_ci(spark, sf):
     df, n = _wide(spark, sf)
     exact = [f"em_{k}" for k, _, _ in P.STRATEGIES]
     df = df.withColumns({f"em_{k}": ((F.col(f"fp_{k}") + F.col(f"fn_{k}")) == 0).cast("long") for k, _, _ in P.STRATEGIES})
-    sums = resample.bootstrap_sums(df, n, _VALUES + exact, ITERATIONS, 42)
+    sums = resample.bootstrap_sums(df, n, _VALUES + exact, DRAWS, 42)
     rows = []
     for k, s, _ in P.STRATEGIES:
         found = {"f1": _f1(k), "precision": M.precision(F.col(f"tp_{k}"), F.col(f"fp_{k}")), "recall": M.recall(F.col(f"tp_{k}"), F.col(f"fn_{k}")), "exact_match": F.col(f"em_{k}") / F.lit(float(max(1, n)))}
@@ -412,7 +414,7 @@ def _pairs():
 
 def paired_bootstrap(spark, sf):
     df, n = _wide(spark, sf)
-    sums = resample.bootstrap_sums(df, n, _VALUES, ITERATIONS, 42)
+    sums = resample.bootstrap_sums(df, n, _VALUES, DRAWS, 42)
     rows = [F.struct(F.lit(a).alias("strategy_a"), F.lit(b).alias("strategy_b"), (_f1(i) - _f1(j)).alias("diff")) for (i, a), (j, b) in _pairs()]
     long = sums.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
     return _r6("ci_lo", "ci_hi")(resample.interval(long, F.col("diff"), ("strategy_a", "strategy_b")))
@@ -421,8 +423,8 @@ def paired_bootstrap(spark, sf):
 def permutation_test(spark, sf):
     df, _ = _wide(spark, sf)
     pairs = [(str(a[0]), str(b[0])) for a, b in _pairs()]
-    sums = resample.permutation_sums(df, pairs, ITERATIONS, 42)
-    tests = resample.permutation_pvalues(sums, pairs, ITERATIONS)
+    sums = resample.permutation_sums(df, pairs, PERMUTATIONS, 42)
+    tests = resample.permutation_pvalues(sums, pairs, PERMUTATIONS)
     names = F.create_map(*[F.lit(x) for k, n, _ in P.STRATEGIES for x in (str(k), n)])
     tests = tests.select(names[F.col("strategy_a")].alias("strategy_a"), names[F.col("strategy_b")].alias("strategy_b"), "diff", "p_raw")
     return _r6("diff", "p_raw", "p_holm")(resample.holm(tests, tie=("strategy_a", "strategy_b")))
@@ -442,7 +444,7 @@ def cluster_bootstrap(spark, sf):
     own = _scores(spark, sf).where("strategy = 'CoT'").join(P.result_patients(spark, sf).select("sample_id", "subject_id"), "sample_id")
     per = own.groupBy("subject_id").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     df, n = resample.positions(per, "subject_id")
-    sums = resample.bootstrap_sums(df, n, ["tp", "fp", "fn"], ITERATIONS, 42)
+    sums = resample.bootstrap_sums(df, n, ["tp", "fp", "fn"], GAP_DRAWS, 42)
     return _r6("ci_lo", "ci_hi")(resample.interval(sums, M.f1(F.col("tp"), F.col("fp"), F.col("fn"))))
 
 
@@ -454,7 +456,7 @@ def gap_bootstrap(spark, sf):
     own = _scores(spark, sf).where("strategy = 'CoT'").join(P.result_patients(spark, sf), "sample_id")
     df, n = resample.positions(own.withColumns(_gap_values(F.col("patient_in_train"))), "sample_id")
     values = ["tp", "fp", "fn", *(f"{c}_{g}" for g in ("in", "out") for c in ("tp", "fp", "fn"))]
-    sums = resample.bootstrap_sums(df, n, values, ITERATIONS, 42)
+    sums = resample.bootstrap_sums(df, n, values, GAP_DRAWS, 42)
     part = lambda g: M.f1(F.col(f"tp_{g}"), F.col(f"fp_{g}"), F.col(f"fn_{g}"))
     full = M.f1(F.col("tp"), F.col("fp"), F.col("fn"))
     rows = F.array(F.struct(F.lit("overlap_minus_disjoint").alias("gap"), (part("in") - part("out")).alias("v")), F.struct(F.lit("full_minus_disjoint").alias("gap"), (full - part("out")).alias("v")))
@@ -468,7 +470,7 @@ def chunk_sensitivity(spark, sf):
     parts = []
     for name, on, seed in (("single", ~F.col("multi"), 42), ("multi", F.col("multi"), 43)):
         df, n = resample.positions(own.where(on), "sample_id")
-        sums = resample.bootstrap_sums(df, n, ["tp", "fp", "fn"], ITERATIONS, seed)
+        sums = resample.bootstrap_sums(df, n, ["tp", "fp", "fn"], GAP_DRAWS, seed)
         parts.append(sums.select("iter", M.f1(F.col("tp"), F.col("fp"), F.col("fn")).alias(name)))
     gap = resample.interval(parts[0].join(parts[1], "iter"), F.col("single") - F.col("multi"))
     sums = own.agg(

@@ -208,6 +208,42 @@ def test_positions_and_draws(spark):
     assert resample.positions(df.limit(0), "k")[1] == 0
 
 
+def test_draws_are_the_same_in_numpy(spark):
+    i, j = np.array([0, 1, 999, 2**31]), np.array([0, 5, 10**6, 2**33 + 7])
+    want = resample.draws(42, i, j)
+    pairs = [(a, b, int(i[a]), int(j[b])) for a in range(4) for b in range(4)]
+    for r in resample.with_draw(spark.createDataFrame(pairs, "a int, b int, i long, j long"), 42, "i", "j", "x").collect():
+        assert r["x"] == int(want[r["a"], r["b"]])
+    many = resample.draws(1, np.arange(200), np.arange(500)).astype(np.float64) / 2**32
+    assert abs(many.mean() - 0.5) < 0.005 and np.all(np.abs((many >= 0.5).mean(axis=1) - 0.5) < 0.12) and len(np.unique(many)) > 99_900
+
+
+def test_large_samples_are_joined_with_the_same_sums(spark, monkeypatch):
+    df, n = resample.positions(spark.range(300).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v")), "k")
+    once = sorted(resample.bootstrap_sums(df, n, ["v"], 30, 5).collect())
+    monkeypatch.setattr(resample, "BROADCAST_BYTES", 0)
+    assert once == sorted(resample.bootstrap_sums(df, n, ["v"], 30, 5).collect()) and len(once) == 30
+
+
+def test_permutations_against_a_plain_loop(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 5, (5000, 6))
+    names = [f"{c}_{s}" for s in "ab" for c in ("tp", "fp", "fn")]
+    rows = [(i, *map(int, r)) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "pos long, " + ", ".join(f"{n} long" for n in names))
+    want = {-1: [*x.sum(axis=0)]}
+    for it in range(300):
+        swap = (resample.draws(7, np.array([it]), np.arange(5000))[0] >> 31 == 1)[:, None]
+        own = np.where(swap, x[:, [3, 4, 5, 0, 1, 2]], x)
+        want[it] = [*own.sum(axis=0)]
+    for parts in (1, 9):
+        got = resample.permutation_sums(df.repartition(parts), [("a", "b")], 300, 7).collect()
+        assert {r["iter"]: [r[f"{c}_a_b_{k}"] for k in (1, 2) for c in ("tp", "fp", "fn")] for r in got} == want
+    assert resample.permutation_sums(df.limit(0), [("a", "b")], 5, 7).count() == 0
+    odd = spark.createDataFrame([(0, None, 1, 1, 2, 0, 0)], df.schema)
+    assert {r["tp_a_b_1"] + r["tp_a_b_2"] for r in resample.permutation_sums(odd, [("a", "b")], 5, 7).collect()} == {2}
+
+
 def test_numpy_draws(spark):
     rng = np.random.default_rng(0)
     rows = [("s", i, int(a), int(b), int(c)) for i, (a, b, c) in enumerate(rng.integers(0, 4, (50, 3)))]
