@@ -52,15 +52,13 @@ def without_conflicts(df: DataFrame) -> DataFrame:
     return df.where(conflict_type(comma_list(F.col("f_codes_str"), formatted=False)).isNull())
 
 
-def stratified_split(df: DataFrame, key: str, stratum: str, seed: int = 42, train: int = 70, val: int = 15) -> DataFrame:
-    """``split`` by seeded hash order within each stratum: the first ``train`` % and the next ``val`` %, rounded down.
+def _numbered(df: DataFrame, part: Column, order: tuple[str, ...]) -> DataFrame:
+    """``df`` with _rank (from 1) and _all, the rows of its part, in the order of ``_h`` and ``order``.
 
-    If any stratum has fewer than two rows, the split isn't stratified. Ranks are exact, but no stratum is sorted in one
-    piece: it is numbered in 256 buckets by the first byte of the hash, which are laid end to end by their counts.
+    Ranks are exact, but no part is sorted in one piece: it is numbered in 256 buckets by the first byte of the hash,
+    which are laid end to end by their counts.
     """
-    small = df.groupBy(stratum).count().agg(F.min("count")).first()[0]
-    part = F.col(stratum) if small is not None and small >= 2 else F.lit(0)
-    own = df.withColumn("_part", part).withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).withColumn("_b", F.substring("_h", 1, 2))
+    own = df.withColumn("_part", part).withColumn("_b", F.substring("_h", 1, 2))
     counts = own.groupBy("_part", "_b").agg(F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy("_part")
     counts = counts.select(
@@ -68,10 +66,29 @@ def stratified_split(df: DataFrame, key: str, stratum: str, seed: int = 42, trai
         (F.sum("_n").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"),
     )
     placed = own.join(counts, own["_part"].eqNullSafe(counts["_p"]) & own["_b"].eqNullSafe(counts["_c"]))
-    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_part", "_b").orderBy("_h", key))
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_part", "_b").orderBy("_h", *order))
+    return placed.withColumn("_rank", rank).drop("_part", "_b", "_p", "_c", "_before")
+
+
+def stratified_split(df: DataFrame, key: str, stratum: str, seed: int = 42, train: int = 70, val: int = 15) -> DataFrame:
+    """``split`` by seeded hash order within each stratum: the first ``train`` % and the next ``val`` %, rounded down.
+
+    If any stratum has fewer than two rows, the split isn't stratified. If one leaves fewer than two to val and test
+    together, these two are split without strata.
+    """
+    left = F.col("count") - F.floor(F.col("count") * train / 100)
+    least, least_left = df.groupBy(stratum).count().agg(F.min("count"), F.min(left)).first()
+    by_stratum = least is not None and least >= 2
     upto = lambda share: F.floor(F.col("_all") * share / 100)
-    split = F.when(rank <= upto(train), "train").when(rank <= upto(train + val), "val").otherwise("test")
-    return placed.withColumn("split", split).drop("_part", "_h", "_b", "_p", "_c", "_all", "_before")
+    own = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
+    own = _numbered(own, F.col(stratum) if by_stratum else F.lit(0), (key,))
+    if not by_stratum or least_left >= 2:
+        split = F.when(F.col("_rank") <= upto(train), "train").when(F.col("_rank") <= upto(train + val), "val").otherwise("test")
+        return own.withColumn("split", split).drop("_h", "_rank", "_all")
+    own = own.withColumn("_first", F.col("_rank") <= upto(train)).drop("_rank", "_all")
+    own = _numbered(own, F.col("_first"), (key,))
+    split = F.when(F.col("_first"), "train").when(F.col("_rank") <= F.floor(F.col("_all") * val / (100 - train)), "val").otherwise("test")
+    return own.withColumn("split", split).drop("_h", "_first", "_rank", "_all")
 
 
 def hash_split(df: DataFrame, key: str, seed: int = 42, train: int = 70, val: int = 15) -> DataFrame:

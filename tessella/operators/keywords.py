@@ -58,7 +58,8 @@ def term_document_frequency(docs: DataFrame, text: str, terms: list[str]) -> Dat
 def _by_first_word(low: DataFrame, terms: list[str]) -> DataFrame:
     rows = [(t, "\\b" + quoted(t.lower()) + "\\b", re.match(r"\w*", t.lower())[0]) for t in terms]
     dim = F.broadcast(low.sparkSession.createDataFrame(rows, "term string, pattern string, head string"))
-    words = low.withColumn("w", F.explode(F.array_append(F.array_distinct(F.regexp_extract_all("t", F.lit("(?U)(\\w+)"), F.lit(1))), "")))
+    heads = F.array(*[F.lit(h) for h in sorted({h for _, _, h in rows})])
+    words = low.withColumn("w", F.explode(F.array_intersect(F.array_append(F.regexp_extract_all("t", F.lit("(?U)(\\w+)"), F.lit(1)), ""), heads)))
     found = words.join(dim, words["w"] == dim["head"]).where(F.regexp_like("t", F.col("pattern")))
     counts = found.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     return dim.join(counts, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n_docs"))

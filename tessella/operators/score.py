@@ -69,6 +69,32 @@ def compare(micro_scores: DataFrame, strategies: DataFrame) -> DataFrame:
     )
 
 
+def comparison(summary: DataFrame, strategies: DataFrame, seconds: DataFrame) -> DataFrame:
+    """A row for each strategy: scores, macro F1 of codes that occur, percent of perfect samples, minutes, samples.
+
+    ``seconds``: (strategy, seconds) of the evaluations; one that is unknown took 0 minutes. There are as many rows as
+    strategies.
+    """
+    own = summary.join(F.broadcast(strategies), "strategy").join(F.broadcast(seconds), "strategy", "left")
+    base = F.min_by("micro_f1", F.when(~F.col("fine_tuned"), F.col("ord"))).over(Window.partitionBy(F.lit(0)))
+    gain = F.col("micro_f1") - base
+    return own.select(
+        "strategy", "ord", F.when(F.col("fine_tuned"), "Yes").otherwise("No").alias("fine_tuned"), "micro_p", "micro_r", "micro_f1",
+        F.coalesce("macro_f1_occ", F.lit(0.0)).alias("macro_f1"), F.round(F.col("perfect_rate") * 100, 1).alias("perfect_pct"),
+        (F.coalesce("seconds", F.lit(0.0)) / 60).alias("minutes"), F.col("n_samples").alias("samples"),
+        F.when(base > 0, gain / base * 100).otherwise(0.0).alias("gain_pct"),
+    )
+
+
+def aligned_strategies(scores: DataFrame, first: str) -> DataFrame:
+    """For each strategy whether it has the same samples as ``first``; the others are to be left out of paired tests."""
+    marked = scores.groupBy("sample_id").agg(F.collect_set("strategy").alias("s")).select(F.array_contains("s", first).alias("known"), F.explode("s").alias("strategy"))
+    counts = marked.groupBy("strategy").agg(F.count(F.lit(1)).alias("n_samples"), F.count_if("known").alias("n_shared"))
+    # a row for each strategy, so that one window over them is small
+    n = F.coalesce(F.max(F.when(F.col("strategy") == first, F.col("n_samples"))).over(Window.partitionBy(F.lit(0))), F.lit(0))
+    return counts.withColumn("aligned", (F.col("n_samples") == n) & (F.col("n_shared") == n))
+
+
 def top_two(micro_scores: DataFrame, strategies: DataFrame) -> DataFrame:
     """The two best strategies by micro F1 (the first in order of several), side by side."""
     df = micro_scores.join(F.broadcast(strategies), "strategy")
@@ -163,6 +189,13 @@ def wrong_codes(scores: DataFrame, missed: bool, by: tuple[str, ...] = ("strateg
     return counts.join(F.broadcast(total), list(by)).select(*by, "f_code", "n", (F.col("n") * 100.0 / F.col("total")).alias("pct_samples"))
 
 
+def wrong_code_rows(scores: DataFrame, missed: bool, by: tuple[str, ...] = ("strategy",)) -> DataFrame:
+    """A row for each code predicted wrongly (or missed) in a sample, with the sample's lists rendered with '; '."""
+    pair = ("actual_codes", "predicted_codes") if missed else ("predicted_codes", "actual_codes")
+    show = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), "; ").alias(c)
+    return scores.select(*by, "sample_id", F.explode(F.array_except(*pair)).alias("f_code"), show("actual_codes"), show("predicted_codes"))
+
+
 def confusion_pairs(scores: DataFrame, least: int = 2, by: tuple[str, ...] = ("strategy",)) -> DataFrame:
     """(missed code, wrongly predicted code) of the same sample, at least ``least`` times."""
     wrong = scores.select(*by, F.array_except("actual_codes", "predicted_codes").alias("m"), F.array_except("predicted_codes", "actual_codes").alias("w"))

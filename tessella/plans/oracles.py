@@ -6,7 +6,7 @@ from ..functions.labels import CATEGORIES, CHAPTERS, SUBSTANCES
 from ..functions.text import HEADER_STEMS, SECTIONS, STOP_WORDS
 from ..operators.keywords import ABBREVIATIONS, BRANDS, INDICATORS, noise_words
 from ..operators.rank import RARITY
-from .projections import STRATEGIES, TERMS
+from .projections import LONG_TERMS, STRATEGIES, TERMS
 from ..operators.resample import MASK, MULTIPLIERS, seed_base
 from .queries import DRAWS, GAP_DRAWS, OVERLAP, PERMUTATIONS, SIZE
 
@@ -49,10 +49,13 @@ _CTE = {
     "lab0": """SELECT hadm_id, min(subject_id) AS subject_id, string_agg(code, ', ' ORDER BY seq_num, l_partkey, l_suppkey, code) AS f_codes_str, count(*)::bigint AS f_code_count,
       min(seq_num)::bigint AS primary_seq FROM (SELECT *, CASE WHEN length(raw)>3 THEN substr(raw,1,3)||'.'||substr(raw,4) ELSE raw END AS code FROM dx WHERE raw LIKE 'F%') GROUP BY hadm_id""",
     "lab": "SELECT *, split_part(f_codes_str, ', ', 1) AS primary_f_code, substr(split_part(f_codes_str, ', ', 1),1,3) AS primary_category FROM lab0",
-    "small": "SELECT min(c) AS m FROM (SELECT count(*) AS c FROM lab GROUP BY primary_category)",
+    "small": "SELECT min(c) AS m, min(c-floor(c*70/100.0)) AS l FROM (SELECT count(*) AS c FROM lab GROUP BY primary_category)",
     "numbered": """SELECT lab.*, row_number() OVER (PARTITION BY CASE WHEN m>=2 THEN primary_category ELSE '' END ORDER BY md5('42:'||hadm_id::varchar), hadm_id) AS rn,
       count(*) OVER (PARTITION BY CASE WHEN m>=2 THEN primary_category ELSE '' END) AS cnt FROM lab, small""",
-    "split": "SELECT *, CASE WHEN rn<=floor(cnt*70/100.0) THEN 'train' WHEN rn<=floor(cnt*85/100.0) THEN 'val' ELSE 'test' END AS split FROM numbered",
+    "rest": """SELECT *, rn<=floor(cnt*70/100.0) AS is_first, row_number() OVER (PARTITION BY rn<=floor(cnt*70/100.0) ORDER BY md5('42:'||hadm_id::varchar), hadm_id) AS r2,
+      count(*) OVER (PARTITION BY rn<=floor(cnt*70/100.0)) AS c2 FROM numbered""",
+    "split": """SELECT rest.* EXCLUDE (is_first, r2, c2), CASE WHEN is_first THEN 'train' WHEN CASE WHEN small.m>=2 AND small.l<2 THEN r2<=floor(c2/2.0) ELSE rn<=floor(cnt*85/100.0) END
+      THEN 'val' ELSE 'test' END AS split FROM rest, small""",
     "inst": "SELECT hadm_id, unnest(string_split(f_codes_str, ', ')) AS f_code FROM lab",
     "freq": "SELECT f_code, count(*)::bigint AS n FROM inst GROUP BY 1",
     "cov": """SELECT row_number() OVER (ORDER BY n DESC, f_code) AS rank, f_code, n, sum(n) OVER (ORDER BY n DESC, f_code ROWS UNBOUNDED PRECEDING)::bigint AS cum,
@@ -98,7 +101,7 @@ _CTE = {
     "resp0": "SELECT sample_id, sample_id%6 AS kind, coalesce(list_sort(list(code) FILTER (WHERE p)), []) AS c FROM ev WHERE strategy='ZS' GROUP BY ALL",
 }
 _NEEDS = {
-    "lab0": "dx", "lab": "lab0", "small": "lab", "numbered": "lab small", "split": "numbered", "inst": "lab", "freq": "inst", "cov": "freq", "sfreq": "split", "scov": "sfreq",
+    "lab0": "dx", "lab": "lab0", "small": "lab", "numbered": "lab small", "rest": "numbered", "split": "rest small", "inst": "lab", "freq": "inst", "cov": "freq", "sfreq": "split", "scov": "sfreq",
     "cohort": "notes lab", "chunks": "tok", "hdr": "ann", "hdrs": "hdr", "enr": "ws", "tot": "enr", "ev": "strat", "sc": "ev", "scf": "sc", "pc0": "ev", "pc": "pc0", "mic": "sc",
     "trainp": "split", "pat": "trainp", "arr": "ev", "pos": "sc", "nn": "pos", "draw": "nn", "boot": "draw pos sc", "resp0": "ev",
 }
@@ -279,6 +282,7 @@ ORACLES: dict[str, str] = {
     "keyword_extract": _extract(),
     "extraction_methods": "SELECT extraction_method, count(*)::bigint AS n FROM (" + _extract() + ") GROUP BY 1",
     "term_doc_frequency": _with("termdf", "SELECT * FROM termdf"),
+    "term_list_frequency": "SELECT unnest([" + _list(LONG_TERMS) + "]) AS term, unnest([" + ", ".join(rf"count(*) FILTER (WHERE regexp_matches(t, {_s(chr(92) + 'b' + x + chr(92) + 'b')}))" for x in LONG_TERMS) + rf"]) AS n_docs FROM (SELECT {_LETTERS.format('lower(text)')} AS t FROM documents)",
     "top_percent_terms": _with("termdf", "SELECT * EXCLUDE (k) FROM (SELECT term, n_docs, row_number() OVER (ORDER BY n_docs DESC, term) AS rn, round_even(count(*) OVER ()*0.4,0) AS k FROM termdf) WHERE rn<=k"),
     "enrichment_ratio": _enrichment("CASE WHEN other=0 THEN 0.0 ELSE round((diag/ad)/(other/ao),6) END::double AS enrichment_ratio, other=0 AS is_infinite FROM enr, tot WHERE diag>0 AND diag+other>=5"),
     "enrichment_test_variant": _enrichment(f"round((diag/ad)/(greatest(other,1)/ao),6)::double AS enrichment_ratio FROM enr, tot WHERE diag>0 AND diag+other>=5 AND word NOT IN ({_list(TERMS)})"),
@@ -297,6 +301,10 @@ ORACLES: dict[str, str] = {
       JOIN mic USING (strategy) JOIN (SELECT strategy, round(avg(precision),6) AS macro_p, round(avg(recall),6) AS macro_r, round(avg(f1),6) AS macro_f1_all, round(avg(f1) FILTER (WHERE occurrences>0),6) AS macro_f1_occ FROM pc GROUP BY 1) m USING (strategy)"""),
     "strategy_ranking": _with("mic strat", """SELECT strategy, k::int AS ord, fine_tuned, round(micro_f1,6) AS micro_f1, round(micro_p,6) AS micro_p, round(micro_r,6) AS micro_r, row_number() OVER (ORDER BY micro_f1 DESC, k) AS rank_f1, row_number() OVER (ORDER BY micro_p DESC, k) AS rank_p,
       row_number() OVER (ORDER BY micro_r DESC, k) AS rank_r, round(micro_f1-(SELECT micro_f1 FROM mic WHERE k=0),6) AS gain_over_base, row_number() OVER (ORDER BY micro_f1 DESC, k)=1 AS best FROM mic JOIN strat USING (strategy, k)"""),
+    "strategy_comparison": _with("scf mic pc strat", """SELECT strategy, k::int AS ord, CASE WHEN fine_tuned THEN 'Yes' ELSE 'No' END AS fine_tuned, round(micro_p,6) AS micro_p, round(micro_r,6) AS micro_r, round(micro_f1,6) AS micro_f1, round(macro,6) AS macro_f1,
+      round(perfect*100,1) AS perfect_pct, round((k*90+30)/60.0,6)::double AS minutes, samples, round((micro_f1-base)/base*100,6) AS gain_pct FROM mic JOIN strat USING (strategy, k) JOIN (SELECT strategy, avg(perfect_match) AS perfect, count(*)::bigint AS samples FROM scf GROUP BY 1) USING (strategy)
+      JOIN (SELECT strategy, avg(f1) FILTER (WHERE occurrences>0) AS macro FROM pc GROUP BY 1) USING (strategy), (SELECT micro_f1 AS base FROM mic WHERE k=0)"""),
+    "aligned_strategies": _with("sc", """SELECT strategy, n AS n_samples, n AS n_shared, n=(SELECT count(*) FROM sc WHERE strategy='ZS') AS aligned FROM (SELECT strategy, count(*)::bigint AS n FROM sc WHERE strategy<>'KE' OR tp>0 GROUP BY 1)"""),
     "best_strategy": _with("mic", "SELECT strategy, k::int AS ord, round(micro_f1,6) AS micro_f1 FROM mic ORDER BY mic.micro_f1 DESC, k LIMIT 1"),
     "category_metrics": _with("ev strat", """SELECT strategy, category, tp, fp, fn, round(CASE WHEN tp+fp=0 THEN 0 ELSE tp::double/(tp+fp) END,6)::double AS precision, round(CASE WHEN tp+fn=0 THEN 0 ELSE tp::double/(tp+fn) END,6)::double AS recall,
       round(CASE WHEN 2*tp+fp+fn=0 THEN 0 ELSE 2.0*tp/(2*tp+fp+fn) END,6)::double AS f1 FROM (SELECT s.strategy, c.category, count(*) FILTER (WHERE a AND p)::bigint AS tp, count(*) FILTER (WHERE p AND NOT a)::bigint AS fp, count(*) FILTER (WHERE a AND NOT p)::bigint AS fn
@@ -317,6 +325,9 @@ ORACLES: dict[str, str] = {
       FROM (SELECT *, row_number() OVER (PARTITION BY strategy, category ORDER BY sample_id) AS rn FROM e) e JOIN arr ON arr.strategy=e.strategy AND arr.sample_id=e.sample_id WHERE rn<=50"""),
     "fp_counts": _with("ev", "SELECT strategy, code AS f_code, count(*)::bigint AS n, round(count(*)*100.0/(SELECT count(DISTINCT sample_id) FROM ev),6)::double AS pct_samples FROM ev WHERE p AND NOT a GROUP BY 1,2"),
     "fn_counts": _with("ev", "SELECT strategy, code AS f_code, count(*)::bigint AS n, round(count(*)*100.0/(SELECT count(DISTINCT sample_id) FROM ev),6)::double AS pct_samples FROM ev WHERE a AND NOT p GROUP BY 1,2"),
+    "fp_rows": _with("ev arr", "SELECT ev.strategy, ev.sample_id, code AS f_code, coalesce(array_to_string(ac,'; '),'') AS actual_codes, coalesce(array_to_string(pcodes,'; '),'') AS predicted_codes FROM ev JOIN arr ON arr.strategy=ev.strategy AND arr.sample_id=ev.sample_id WHERE p AND NOT a"),
+    "fn_rows": _with("ev arr", "SELECT ev.strategy, ev.sample_id, code AS f_code, coalesce(array_to_string(ac,'; '),'') AS actual_codes, coalesce(array_to_string(pcodes,'; '),'') AS predicted_codes FROM ev JOIN arr ON arr.strategy=ev.strategy AND arr.sample_id=ev.sample_id WHERE a AND NOT p"),
+    "most_frequent_codes": _with("pc", "SELECT f_code, occurrences, round(precision,6) AS precision, round(recall,6) AS recall, round(f1,6) AS f1 FROM pc WHERE strategy='CoT' ORDER BY occurrences DESC, f_code LIMIT 20"),
     "confusion_pairs": _with("ev", "SELECT m.strategy, m.code AS actual, w.code AS predicted_instead, count(*)::bigint AS n FROM ev m JOIN ev w ON m.strategy=w.strategy AND m.sample_id=w.sample_id WHERE m.a AND NOT m.p AND w.p AND NOT w.a GROUP BY 1,2,3 HAVING count(*)>=2"),
     "fp_cooccurrence_matrix": _with("ev", "SELECT x.strategy, x.code AS actual, y.code AS other, count(*)::bigint AS n FROM t x JOIN t y ON x.strategy=y.strategy AND x.sample_id=y.sample_id WHERE x.a AND ((x.code=y.code AND x.p) OR (x.code<>y.code AND y.p AND NOT y.a)) GROUP BY 1,2,3",
       t="SELECT ev.* FROM ev JOIN (SELECT strategy, code, row_number() OVER (PARTITION BY strategy ORDER BY count(*) DESC, code) AS r FROM ev WHERE a GROUP BY 1,2) USING (strategy, code) WHERE r<=10"),
@@ -333,13 +344,20 @@ ORACLES: dict[str, str] = {
     "holm_adjust": """SELECT pair, p_raw, round(least(1.0, max(adj) OVER w),6)::double AS p_holm, least(1.0, max(adj) OVER w)<0.05 AS significant FROM (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p_raw, pair) + 1)*p_raw AS adj
       FROM (VALUES ('a',0.01::double),('b',0.04),('c',0.03),('d',0.005),('e',0.5),('f',0.04),('g',1.0)) v(pair, p_raw)) WINDOW w AS (ORDER BY p_raw, pair ROWS UNBOUNDED PRECEDING)""",
     "top_two": _with("mic", "SELECT max(strategy) FILTER (WHERE r=1) AS first, max(strategy) FILTER (WHERE r=2) AS second, round(max(micro_f1) FILTER (WHERE r=1)-max(micro_f1) FILTER (WHERE r=2),6) AS difference FROM (SELECT *, row_number() OVER (ORDER BY micro_f1 DESC, k) AS r FROM mic)"),
-    "latex_table": _with("mic", "SELECT strategy, ((rank() OVER (ORDER BY round(micro_f1,3) DESC)=1)::int+(rank() OVER (ORDER BY round(micro_p,3) DESC)=1)::int+(rank() OVER (ORDER BY round(micro_r,3) DESC)=1)::int)::bigint AS n_best FROM mic"),
+    "latex_table": _with("mic", "SELECT strategy, strategy" + "".join(f"||' & '||CASE WHEN rank() OVER (ORDER BY round({c},3) DESC)=1 THEN '\\textbf{{'||format('{{:.3f}}',round({c},3))||'}}' ELSE format('{{:.3f}}',round({c},3)) END" for c in ("micro_f1", "micro_p", "micro_r")) + "||' \\\\' AS latex FROM mic"),
     "checkpoint_selection": _with("mic", "SELECT 'checkpoint-'||(k*100+100)::varchar AS name, (k*100+100)::bigint AS step, round(micro_f1,6) AS micro_f1, row_number() OVER (ORDER BY mic.micro_f1 DESC, k)=1 AS is_best FROM mic WHERE k*100+100>=200"),
     "chunk_union": "SELECT l_orderkey, string_agg(DISTINCT 'F'||lpad((l_partkey%40)::varchar,2,'0'), '; ' ORDER BY 'F'||lpad((l_partkey%40)::varchar,2,'0')) AS codes, count(DISTINCT l_linenumber%2)::bigint AS num_chunks FROM lineitem GROUP BY 1",
     "chunk_usage": _with("chunks", """SELECT lang, count(*)::bigint AS n_docs, sum(n)::bigint AS total_chunks, round(avg(n),6) AS avg_chunks, count(*) FILTER (WHERE n>1)::bigint AS n_multi, round(count(*) FILTER (WHERE n>1)*100.0/count(*),6)::double AS multi_pct
       FROM (SELECT doc_id, count(*) AS n FROM chunks GROUP BY 1) JOIN documents USING (doc_id) GROUP BY 1"""),
     "label_vocabulary": _with("freq", "SELECT f_code, row_number() OVER (ORDER BY f_code)-1 AS label_id FROM freq"),
     "literal_list": _with("termdf", "SELECT (i//2)::bigint AS line, string_agg(chr(39)||term||chr(39), ', ' ORDER BY term) AS text FROM (SELECT term, row_number() OVER (ORDER BY term)-1 AS i FROM (SELECT term FROM termdf ORDER BY n_docs DESC, term LIMIT 5)) GROUP BY 1"),
+    "evaluation": _with("cohort chunks", """SELECT 'CoT' AS strategy, sample_id, subject_id, num_chunks, true AS success, array_to_string(list_sort(p),'; ') AS predicted_codes, tp, len(p)-tp AS fp, len(a)-tp AS fn, round(2.0*tp/(len(a)+len(p)),6)::double AS f1
+      FROM (SELECT *, len(list_intersect(a,p))::bigint AS tp FROM (SELECT hadm_id AS sample_id, any_value(subject_id) AS subject_id, count(*)::bigint AS num_chunks, list_distinct(string_split(any_value(f_codes_str),', ')) AS a, list_distinct(list('F'||lpad((length(piece)%40)::varchar,2,'0'))) AS p
+      FROM (SELECT cohort.*, CASE WHEN total_chunks=1 THEN chunks.text ELSE array_to_string(regexp_extract_all(chunks.text, '\\S+')[start_token+1:end_token], ' ') END AS piece FROM cohort JOIN chunks ON doc_id=hadm_id) GROUP BY 1))"""),
+    "csv_round_trip": _with("notes", "SELECT CASE WHEN coalesce(length(text),0)>=1000 THEN 'long' ELSE 'short' END AS split, hadm_id::varchar AS hadm_id, subject_id::varchar AS subject_id, length(nullif(text,''))::bigint AS n_chars, md5(nullif(text,'')) AS text_md5 FROM notes"),
+    "json_round_trip": _with("cohort chunks", """SELECT hadm_id, md5(CASE WHEN total_chunks=1 THEN chunks.text ELSE array_to_string(regexp_extract_all(chunks.text, '\\S+')[start_token+1:end_token], ' ') END) AS input_md5, '["'||replace(f_codes_str,', ','", "')||'"]' AS output, false AS has_window
+      FROM cohort JOIN chunks ON doc_id=hadm_id"""),
+    "report_round_trip": _with("scf arr pat", "SELECT s.sample_id, pat.subject_id, coalesce(array_to_string(ac,'; '),'') AS actual_codes, coalesce(array_to_string(pcodes,'; '),'') AS predicted_codes, tp, fp, fn, round(f1,6) AS f1 FROM scf s JOIN arr ON arr.strategy=s.strategy AND arr.sample_id=s.sample_id JOIN pat ON pat.sample_id=s.sample_id WHERE s.strategy='ZS' AND tp>0"),
     "cluster_bootstrap": _cluster(),
     "gap_bootstrap": _gap(),
     "chunk_sensitivity": _sensitivity(),

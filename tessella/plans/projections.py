@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import STOP_WORDS
 from ..operators import cohort
 from ..session import table
 
@@ -15,6 +16,8 @@ STRATEGIES = [
     (0, "ZS-Base", False), (1, "CoT-Base", False), (2, "ZS", True), (3, "FS", True), (4, "RC", True), (5, "CoT", True),
     (6, "KE", True), (7, "KA-CoT", True),
 ]
+#: Of these a document is only searched for those whose first word it has.
+LONG_TERMS = sorted({"of the", "in the", "and the", "to be", "n't", *STOP_WORDS})
 TERMS = ["the", "under", "of the", "in the", "idiot", "clown", "worthless"]
 
 

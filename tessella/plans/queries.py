@@ -12,8 +12,9 @@ from ..functions import metrics as M
 from ..functions import text as X
 from ..operators import chunk, cohort, keywords, rank, resample, score
 from ..session import table
-from ..sources import readers, writers
+from ..sources import readers, scratch, writers
 from . import projections as P
+from .evaluate import STRATEGIES, evaluate
 
 #: Windows of the short given texts.
 SIZE, OVERLAP = 200, 20
@@ -204,6 +205,11 @@ def term_doc_frequency(spark, sf):
     return keywords.term_document_frequency(_docs(spark, sf), "text", P.TERMS)
 
 
+def term_list_frequency(spark, sf):
+    """A list so long that terms are found by their first word."""
+    return keywords.term_document_frequency(_docs(spark, sf), "text", P.LONG_TERMS)
+
+
 def top_percent_terms(spark, sf):
     return keywords.top_share(term_doc_frequency(spark, sf))
 
@@ -268,6 +274,18 @@ def strategy_ranking(spark, sf):
     return _r6("micro_f1", "micro_p", "micro_r", "gain_over_base")(score.compare(scores, P.strategies(spark)))
 
 
+def strategy_comparison(spark, sf):
+    scores = _scores(spark, sf)
+    seconds = P.strategies(spark).select("strategy", (F.col("ord") * 90.0 + 30).alias("seconds"))
+    out = score.comparison(score.summary(scores, score.per_code(scores)), P.strategies(spark), seconds)
+    return _r6("micro_p", "micro_r", "micro_f1", "macro_f1", "minutes", "gain_pct")(out)
+
+
+def aligned_strategies(spark, sf):
+    """One of the strategies hasn't scored every sample, and is named."""
+    return score.aligned_strategies(_scores(spark, sf).where("strategy <> 'KE' OR tp > 0"), "ZS")
+
+
 def best_strategy(spark, sf):
     scores = score.micro(_scores(spark, sf), ("strategy",)).join(F.broadcast(P.strategies(spark)), "strategy")
     return _r6("micro_f1")(score.arg_max(scores.select("strategy", "ord", "micro_f1"), "micro_f1", "ord"))
@@ -279,7 +297,7 @@ def top_two(spark, sf):
 
 def latex_table(spark, sf):
     scores = score.micro(_scores(spark, sf), ("strategy",)).select("strategy", *[F.round(c, 3).alias(c) for c in ("micro_f1", "micro_p", "micro_r")])
-    return writers.latex_rows(scores, "strategy", ["micro_f1", "micro_p", "micro_r"]).select("strategy", F.regexp_count("latex", F.lit("textbf")).cast("long").alias("n_best"))
+    return writers.latex_rows(scores, "strategy", ["micro_f1", "micro_p", "micro_r"])
 
 
 def checkpoint_selection(spark, sf):
@@ -359,6 +377,20 @@ def fn_counts(spark, sf):
     return _r6("pct_samples")(score.wrong_codes(P.results(spark, sf), missed=True))
 
 
+def fp_rows(spark, sf):
+    return score.wrong_code_rows(P.results(spark, sf), missed=False)
+
+
+def fn_rows(spark, sf):
+    return score.wrong_code_rows(P.results(spark, sf), missed=True)
+
+
+def most_frequent_codes(spark, sf):
+    """The 20 codes of a strategy that occur most, with their scores."""
+    own = _codes(spark, sf).where("strategy = 'CoT'").orderBy(F.desc("occurrences"), "f_code").limit(20)
+    return _r6("precision", "recall", "f1")(own.select("f_code", "occurrences", "precision", "recall", "f1"))
+
+
 def confusion_pairs(spark, sf):
     return score.confusion_pairs(P.results(spark, sf))
 
@@ -520,6 +552,50 @@ def training_chats(spark, sf):
     return own.select("hadm_id", F.size("messages").cast("long").alias("n_messages"), F.md5(F.element_at("messages", 2)["content"]).alias("user_md5"), F.element_at("messages", 3)["content"].alias("answer"))
 
 
+def evaluation(spark, sf):
+    """The evaluator over all notes; the model answers with a code made of the length of the text."""
+
+    def load():
+        return lambda text: f'["F{len(text) % 40:02d}"]'
+
+    notes = cohort.build_cohort(P.notes(spark, sf), P.diagnoses(spark, sf), order=P.DX_ORDER)
+    own = evaluate(notes, STRATEGIES[5], load, size=SIZE, overlap=OVERLAP)
+    out = own.select("strategy", "sample_id", "subject_id", "num_chunks", "success", F.array_join("predicted_codes", "; ").alias("predicted_codes"), "tp", "fp", "fn", "f1")
+    return _r6("f1")(out)
+
+
+def csv_round_trip(spark, sf):
+    """Notes written as CSV by length, and read back as splits; a split that wasn't written is left out."""
+    at, notes = scratch.folder(spark), P.notes(spark, sf).select(*readers.NOTES.names)
+    long = F.coalesce(F.length("text"), F.lit(0)) >= 1000
+    for name, on in (("long", long), ("short", ~long)):
+        writers.csv(notes.where(on), f"{at}/{name}")
+    back = readers.splits(spark, {name: f"{at}/{name}" for name in ("long", "short", "none")}, readers.NOTES)
+    return back.select("split", "hadm_id", "subject_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+def json_round_trip(spark, sf):
+    """Training rows written as JSON arrays without their window, and read back."""
+    at = scratch.folder(spark)
+    own = cohort.build_cohort(P.notes(spark, sf), P.diagnoses(spark, sf), order=P.DX_ORDER)
+    rows = chunk.chunk_texts(own, "text", SIZE, OVERLAP, ("hadm_id", "f_codes_str")).withColumn("output", L.codes_json(L.comma_list(F.col("f_codes_str"))))
+    writers.json_array(rows.select("hadm_id", "input", "output", "chunk_info"), at, drop=("chunk_info",))
+    back = readers.json_array(spark, at, "hadm_id long, input string, output string, chunk_info string")
+    return back.select("hadm_id", F.md5("input").alias("input_md5"), "output", F.col("chunk_info").isNotNull().alias("has_window"))
+
+
+def report_round_trip(spark, sf):
+    """Sample results written as reports, and read back without samples of unknown patients."""
+    at = scratch.folder(spark)
+    own = _scores(spark, sf).where("strategy = 'ZS'").join(P.result_patients(spark, sf), "sample_id")
+    own = own.withColumn("subject_id", F.when(F.col("tp") > 0, F.col("subject_id")))
+    info = {"evaluation_info": {"strategy": "ZS"}, "configuration": {"note": "é"}, "performance_metrics": {"micro_f1": 0.5}}
+    writers.nested_report(own.select("sample_id", "subject_id", "actual_codes", "predicted_codes", "precision", "recall", "f1", "tp", "fp", "fn"), info, at)
+    out = readers.report(spark, at)
+    show = lambda c: F.array_join(c, "; ").alias(c)
+    return _r6("f1")(out.select("sample_id", "subject_id", show("actual_codes"), show("predicted_codes"), "tp", "fp", "fn", "f1"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -533,5 +609,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         fp_cooccurrence_matrix, multi_hot_metrics, disjoint_scores, bootstrap_ci, paired_bootstrap, permutation_test, cluster_bootstrap, gap_bootstrap,
         chunk_sensitivity, parse_responses, parse_label_lists, instruction_rows, chat_messages, training_chats,
         pairwise_comparison, holm_adjust, top_two, latex_table, checkpoint_selection, chunk_union, chunk_usage, label_vocabulary, literal_list,
+        strategy_comparison, aligned_strategies, fp_rows, fn_rows, most_frequent_codes, term_list_frequency, evaluation, csv_round_trip, json_round_trip,
+        report_round_trip,
     )
 }

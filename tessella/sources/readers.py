@@ -18,7 +18,7 @@ REPORT = f"evaluation_info map<string,string>, configuration map<string,string>,
 
 
 def csv(spark: SparkSession, path: str, schema: T.StructType | str, columns: list[str] | None = None) -> DataFrame:
-    """CSV with header; fields may hold line feeds and doubled quotes. Only ``columns`` are parsed, if given."""
+    """CSV with header; fields may hold line feeds and doubled quotes, and an empty one is null. Only ``columns`` are parsed, if given."""
     df = spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"')
     return df.select(*columns) if columns else df
 
@@ -97,6 +97,23 @@ def checkpoints(names: DataFrame, least: int = 0) -> DataFrame:
     return own.where(F.col("step") >= least).orderBy("step")
 
 
+def best_checkpoint(spark: SparkSession, stored: str, default: str, variable: str = "CHECKPOINT_PATH", required: bool = True) -> str:
+    """The first path that exists: the stored file's ``checkpoint``, the environment's variable, the default.
+
+    A stored file that is missing or isn't JSON has none. If no path exists: an error, or the default if not ``required``.
+    """
+    found = [os.environ.get(variable), default]
+    if exists(spark, stored):
+        row = spark.read.schema("checkpoint string").json(stored, multiLine=True).first()
+        found.insert(0, row["checkpoint"] if row else None)
+    for path in found:
+        if path and exists(spark, path):
+            return path
+    if required:
+        raise FileNotFoundError(f"no checkpoint: {stored}, ${variable}, {default}")
+    return default
+
+
 def first_setting(name: str, stored: Mapping[str, str] | None = None, default: str | None = None) -> str:
     """A setting from stored values, else the environment, else the default; an error if none has it."""
     for value in ((stored or {}).get(name), os.environ.get(name), default):

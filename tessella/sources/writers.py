@@ -1,18 +1,48 @@
-"""Sinks: CSV, JSON lines, nested reports, capped samples, LaTeX rows and term literals."""
+"""Sinks: CSV, JSON arrays and lines, nested reports, capped samples, LaTeX rows and term literals."""
 
 from __future__ import annotations
 
 import datetime
 import importlib.metadata
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def csv(df: DataFrame, path: str, quote_all: bool = False, single: bool = False) -> None:
-    """CSV with header; ``single`` only for results of report size."""
-    (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, header=True, quoteAll=quote_all, escape='"')
+    """CSV with header, blanks at either end of a field kept; ``single`` only for results of report size."""
+    own = (df.coalesce(1) if single else df).write.mode("overwrite")
+    own.csv(path, header=True, quoteAll=quote_all, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def _framed(df: DataFrame, head: str, tail: str, path: str, single: bool) -> None:
+    """Each file: ``head``, the rows as JSON objects with commas between them, ``tail``. A file is one partition."""
+    rows = (df.coalesce(1) if single else df).select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line = lambda values: pa.RecordBatch.from_arrays([values], ["value"])
+        yield line(pa.array([head]))
+        between = ""
+        for batch in batches:
+            if batch.num_rows:
+                before = pa.array([between] + [", "] * (batch.num_rows - 1))
+                yield line(pc.binary_join_element_wise(before, batch.column(0).cast(pa.string()), ""))
+                between = ", "
+        yield line(pa.array([tail]))
+
+    rows.mapInArrow(run, "value string").write.mode("overwrite").option("maxRecordsPerFile", 0).text(path)
+
+
+def json_array(df: DataFrame, path: str, drop: tuple[str, ...] = (), single: bool = False) -> None:
+    """Files that are one JSON array of objects each, without the dropped fields; nulls are written.
+
+    ``single``: one file, for results of report size.
+    """
+    _framed(df.drop(*drop), "[", "]", path, single)
 
 
 def json_lines(df: DataFrame, path: str, drop: tuple[str, ...] = ()) -> None:
@@ -20,12 +50,13 @@ def json_lines(df: DataFrame, path: str, drop: tuple[str, ...] = ()) -> None:
     df.drop(*drop).write.mode("overwrite").json(path)
 
 
-def nested_report(df: DataFrame, info: dict, path: str, key: str = "sample_results") -> None:
-    """JSON lines: a first one of ``info`` and one for each row, so that a report of any size can be written."""
-    spark = df.sparkSession
-    head = spark.createDataFrame([(0, json.dumps(info, ensure_ascii=False))], "o int, value string")
-    rows = df.select(F.lit(1).alias("o"), F.to_json(F.struct(F.struct(*df.columns).alias(key))).alias("value"))
-    head.unionByName(rows).sortWithinPartitions("o").select("value").write.mode("overwrite").text(path)
+def nested_report(df: DataFrame, info: dict, path: str, key: str = "sample_results", single: bool = False) -> None:
+    """Reports as `readers.report` reads them: an object of ``info`` with the rows as an array under ``key``.
+
+    ``single``: one file. Otherwise each file is a whole report of its rows, so that a report of any size can be written.
+    """
+    own = json.dumps(info, ensure_ascii=False)[:-1] + (", " if info else "")
+    _framed(df, f"{own}{json.dumps(key, ensure_ascii=False)}: [", "]}", path, single)
 
 
 def rendered_list(c: Column, separator: str = "; ") -> Column:

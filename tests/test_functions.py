@@ -177,6 +177,23 @@ def test_small_values(spark):
     assert multi == [0, 1]
 
 
+def test_split_with_a_stratum_too_small_for_two_parts(spark):
+    """Three rows of a stratum leave one to val and test: train keeps its strata, the rest is halved without them."""
+    df = spark.createDataFrame([(i, "a" if i < 3 else "b") for i in range(43)], "id int, cat string")
+    rows = [(r["id"], r["cat"], r["split"]) for r in cohort.stratified_split(df, "id", "cat").collect()]
+    assert sorted(r[0] for r in rows) == list(range(43))
+    count = lambda split, cat="ab": sum(1 for r in rows if r[2] == split and r[1] in cat)
+    assert (count("train", "a"), count("train", "b"), count("val"), count("test")) == (2, 28, 6, 7)
+    assert cohort.stratified_split(df, "id", "cat").columns == ["id", "cat", "split"]
+
+
+def test_strategies_with_other_samples(spark):
+    rows = [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 1), ("d", 1), ("d", 3)]
+    got = score.aligned_strategies(spark.createDataFrame(rows, "strategy string, sample_id int"), "a").collect()
+    assert {r["strategy"]: r["aligned"] for r in got} == {"a": True, "b": True, "c": False, "d": False}
+    assert not any(r["aligned"] for r in score.aligned_strategies(spark.createDataFrame(rows, "strategy string, sample_id int"), "z").collect())
+
+
 def test_split_fallback_and_sample(spark):
     df = spark.createDataFrame([(i, "a" if i else "b") for i in range(20)], "id int, cat string")
     counts = {r["split"]: r["count"] for r in cohort.stratified_split(df, "id", "cat").groupBy("split").count().collect()}

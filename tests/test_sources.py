@@ -56,6 +56,24 @@ def test_names_terms_checkpoints(spark, tmp_path, monkeypatch):
         readers.first_setting("BEST")
 
 
+def test_best_checkpoint(spark, tmp_path, monkeypatch):
+    for name in ("stored", "own", "final"):
+        (tmp_path / name).mkdir()
+    at = lambda name: str(tmp_path / name)
+    (tmp_path / "best.json").write_text(json.dumps({"checkpoint": at("stored"), "micro_f1": 0.5}, indent=2))
+    monkeypatch.setenv("CHECKPOINT_PATH", at("own"))
+    assert readers.best_checkpoint(spark, at("best.json"), at("final")) == at("stored")
+    (tmp_path / "gone.json").write_text(json.dumps({"checkpoint": at("gone")}))
+    (tmp_path / "bad.json").write_text("{not json")
+    for name in ("gone.json", "bad.json", "missing.json"):
+        assert readers.best_checkpoint(spark, at(name), at("final")) == at("own")
+    monkeypatch.setenv("CHECKPOINT_PATH", at("gone"))
+    assert readers.best_checkpoint(spark, at("bad.json"), at("final")) == at("final")
+    assert readers.best_checkpoint(spark, at("bad.json"), at("gone"), required=False) == at("gone")
+    with pytest.raises(FileNotFoundError):
+        readers.best_checkpoint(spark, at("bad.json"), at("gone"))
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "q", x\ny', ["F1", "F2"]), (2, "b", [])], "id int, t string, codes array<string>")
     flat = df.select("id", "t", writers.rendered_list(df["codes"]).alias("codes"))
@@ -64,8 +82,18 @@ def test_writers(spark, tmp_path):
     assert [(r["t"], r["codes"]) for r in back] == [('a "q", x\ny', "F1; F2"), ("b", None)]
     writers.json_lines(df, str(tmp_path / "j"), drop=("t",))
     assert spark.read.json(str(tmp_path / "j")).columns == ["codes", "id"]
-    writers.nested_report(df, {"name": "é"}, str(tmp_path / "r"))
-    assert sum(json.loads(x)["sample_results"]["id"] if "sample_results" in x else 0 for f in Path(tmp_path / "r").glob("part*") for x in f.read_text().splitlines()) == 3
+    writers.json_array(df, str(tmp_path / "a"), drop=("t",), single=True)
+    (one,) = Path(tmp_path / "a").glob("part*")
+    assert json.loads(one.read_text()) == [{"id": 1, "codes": ["F1", "F2"]}, {"id": 2, "codes": []}]
+    writers.json_array(df.limit(0), str(tmp_path / "e"), single=True)
+    assert readers.json_array(spark, str(tmp_path / "e"), "id int").count() == 0
+    scores = spark.createDataFrame([(i, 7 if i else None, ["F1"], 1) for i in range(20)], "sample_id long, subject_id long, actual_codes array<string>, tp long").repartition(3)
+    writers.nested_report(scores, {"configuration": {"name": "é"}}, str(tmp_path / "r"))
+    files = [json.loads(f.read_text()) for f in Path(tmp_path / "r").glob("part*")]
+    assert sum(len(f["sample_results"]) for f in files) == 20 and all(f["configuration"] == {"name": "é"} for f in files)
+    assert sorted(r["sample_id"] for r in readers.report(spark, str(tmp_path / "r")).collect()) == list(range(1, 20))
+    writers.csv(spark.createDataFrame([(1, "  x ", None), (2, "", "a")], "id int, a string, b string"), str(tmp_path / "w"))
+    assert {(r["a"], r["b"]) for r in readers.csv(spark, str(tmp_path / "w"), "id int, a string, b string").collect()} == {("  x ", None), (None, "a")}
     assert writers.capped(spark.createDataFrame([("a", i) for i in range(5)], "g string, i int"), ["g"], ["i"], 2).count() == 2
     rows = spark.createDataFrame([("A", 0.5, 0.25), ("B", 0.75, 0.125)], "s string, p double, r double")
     got = {r["s"]: r["latex"] for r in writers.latex_rows(rows, "s", ["p", "r"]).collect()}
