@@ -23,6 +23,7 @@ NEWLINE = np.zeros(256, bool)
 NEWLINE[0x0A] = True
 
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)])
+_LOWER_BYTE = _LOWER.astype(np.uint8)
 _CODE = np.random.Generator(np.random.PCG64(20_240_229)).integers(0, 2**64, 256, dtype=np.uint64, endpoint=False)
 _CODE_LOWER = _CODE[_LOWER]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -134,6 +135,28 @@ def row_sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(total[offsets])
 
 
+def runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ..., ``count[0]`` of them, then the same from first[1] on."""
+    ends = np.cumsum(count)
+    return np.repeat(first - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each span of ``data`` is, byte for byte, the span of ``other`` beside it. No span may be empty."""
+    same = ends - starts == end - first
+    at = np.flatnonzero(same)
+    if len(at):
+        size = (ends - starts)[at]
+        equal = data[runs(starts[at], size)] == other[runs(first[at], size)]
+        same[at] = np.logical_and.reduceat(equal, np.cumsum(size) - size)
+    return same
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z as a-z."""
+    return _LOWER_BYTE[data]
+
+
 class HashIndex:
     """64-bit key -> position, looked up for whole arrays (open addressing, a few probes)."""
 

@@ -1,4 +1,4 @@
-"""The ten operators' queries over the given tables, and their SQL where SQL can say the same."""
+"""The operators' queries over the given tables, and their SQL where SQL can say the same."""
 
 from __future__ import annotations
 
@@ -18,6 +18,8 @@ from . import (
     op08_license_scan,
     op09_co_training,
     op10_hidden_markov,
+    op11_byte_bpe,
+    op13_lexical_search,
 )
 
 
@@ -84,6 +86,23 @@ def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_byte_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    bpe = op11_byte_bpe.ByteBpe(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    out = bpe.encode(_docs(spark, sf_dir), ["doc_id"])
+    out = out.select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.coalesce(F.element_at("ends", -1), F.lit(0)).cast("long").alias("n_bytes"),
+    )
+    out = bpe.decode(out, ["doc_id", "n_tokens", "ids_sha256", "n_bytes"])
+    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "n_bytes")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_lexical_search.search(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_cgk_decontam": op2_cgk_decontam,
@@ -95,6 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_spans": op8_license_spans,
     "op9_co_trained": op9_co_trained,
     "op10_hmm_scores": op10_hmm_scores,
+    "op11_byte_bpe": op11_byte_bpe_digests,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 def _op6_sql() -> str:
@@ -170,4 +191,21 @@ def _op3_sql(dims: tuple[str, ...] = ("source", "lang"), bits: int = 5, shards:
       SELECT doc_id, size::bigint AS size, text_crc32::bigint AS text_crc32, 'rows' AS law, (i * {shards} // n)::int AS shard, (i - ((i * {shards} // n) * n + {shards - 1}) // {shards})::bigint AS slot, NULL::int AS grown_shard, w::bigint AS curve_index FROM placed"""
 
 
-ORACLES: dict[str, str] = {"op3_hilbert_shards": _op3_sql(), "op6_host_quality": _op6_sql()}
+def _op13_sql() -> str:
+    """Terms by a pattern, sums of impacts by item and document."""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    terms = rf"regexp_extract_all({lower}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
+    return rf"""WITH d AS (SELECT doc_id, row_number() OVER () AS row, {terms} AS w FROM documents WHERE text IS NOT NULL),
+      totals AS (SELECT count(*) FILTER (WHERE len(w) > 0)::bigint AS documents, sum(len(w))::bigint AS terms FROM d),
+      tf AS (SELECT row, term, count(*)::bigint AS tf FROM (SELECT row, unnest(w) AS term FROM d) GROUP BY 1, 2),
+      q AS (SELECT DISTINCT item_id, unnest({terms}) AS term FROM benchmark),
+      weights AS (SELECT term, floor(1000 * ln((2 * documents + 2) / (2 * holding + 1)))::bigint AS w
+        FROM (SELECT term, count(*)::bigint AS holding FROM tf WHERE term IN (SELECT term FROM q) GROUP BY 1), totals),
+      norms AS (SELECT row, doc_id, 50 + (50 * len(w)::bigint * documents) // terms AS m FROM d, totals),
+      scores AS (SELECT item_id, doc_id, row, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint AS score
+        FROM q JOIN weights USING (term) JOIN tf USING (term) JOIN norms USING (row) GROUP BY 1, 2, 3)
+      SELECT item_id, rank::int AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0)
+      WHERE rank <= 50"""
+
+
+ORACLES: dict[str, str] = {"op3_hilbert_shards": _op3_sql(), "op6_host_quality": _op6_sql(), "op13_ranked_search": _op13_sql()}
