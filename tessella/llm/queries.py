@@ -19,6 +19,7 @@ from . import (
     op09_co_training,
     op10_hidden_markov,
     op11_byte_bpe,
+    op12_collocations,
     op13_lexical_search,
 )
 
@@ -99,6 +100,10 @@ def op11_byte_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "n_bytes")
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_collocations.collocations(_docs(spark, sf_dir))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13_lexical_search.search(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -115,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_co_trained": op9_co_trained,
     "op10_hmm_scores": op10_hmm_scores,
     "op11_byte_bpe": op11_byte_bpe_digests,
+    "op12_phrases": op12_phrases,
     "op13_ranked_search": op13_ranked_search,
 }
 
@@ -191,6 +197,24 @@ def _op3_sql(dims: tuple[str, ...] = ("source", "lang"), bits: int = 5, shards:
       SELECT doc_id, size::bigint AS size, text_crc32::bigint AS text_crc32, 'rows' AS law, (i * {shards} // n)::int AS shard, (i - ((i * {shards} // n) * n + {shards - 1}) // {shards})::bigint AS slot, NULL::int AS grown_shard, w::bigint AS curve_index FROM placed"""
 
 
+def _op12_sql() -> str:
+    """All runs of up to five words, grouped; cuts and scores in 128-bit whole numbers."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array({lower}, '[.,;:!?\n-\r]')), '[^ \t]+') AS w FROM documents),
+      runs AS (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM pieces, (SELECT unnest(range(1, 6)) AS size))),
+      counted AS (SELECT lang, size, phrase, count(*)::bigint AS f FROM runs GROUP BY ALL HAVING count(*) >= 100),
+      totals AS (SELECT lang, sum(len(w))::bigint AS n FROM pieces GROUP BY 1),
+      phrases AS (SELECT *, string_split(phrase, ' ') AS w FROM counted WHERE size >= 2),
+      cuts AS (SELECT lang, phrase, f AS a, k, array_to_string(w[1:k], ' ') AS lhs, array_to_string(w[k + 1:], ' ') AS rhs FROM (SELECT *, unnest(range(1, size)) AS k FROM phrases)),
+      scored AS (SELECT c.lang, c.phrase, a, x.f AS l, y.f AS r, n, ((1000::hugeint * a * n) // (x.f::hugeint * y.f))::bigint AS score, k FROM cuts c
+        JOIN counted x ON x.lang = c.lang AND x.phrase = lhs JOIN counted y ON y.lang = c.lang AND y.phrase = rhs JOIN totals t ON t.lang = c.lang),
+      lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+      longer AS (SELECT lang, inner_phrase AS phrase, max(f) AS longer FROM (SELECT lang, f, array_to_string(w[i:i + part - 1], ' ') AS inner_phrase
+        FROM (SELECT *, unnest(range(1, size - part + 2)) AS i FROM phrases, (SELECT unnest(range(2, 5)) AS part) WHERE part < size)) GROUP BY 1, 2),
+      kept AS (SELECT lowest.* FROM lowest LEFT JOIN longer USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a)
+      SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000"""
+
+
 def _op13_sql() -> str:
     """Terms by a pattern, sums of impacts by item and document."""
     lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -208,4 +232,4 @@ def _op13_sql() -> str:
       WHERE rank <= 50"""
 
 
-ORACLES: dict[str, str] = {"op3_hilbert_shards": _op3_sql(), "op6_host_quality": _op6_sql(), "op13_ranked_search": _op13_sql()}
+ORACLES: dict[str, str] = {"op3_hilbert_shards": _op3_sql(), "op6_host_quality": _op6_sql(), "op12_phrases": _op12_sql(), "op13_ranked_search": _op13_sql()}
