@@ -9,18 +9,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import split_records
+
 NOTES = T.StructType([T.StructField(c, T.StringType()) for c in ("hadm_id", "subject_id", "text")])
 DIAGNOSES = T.StructType(
     [T.StructField("subject_id", T.StringType()), T.StructField("hadm_id", T.StringType()), T.StructField("seq_num", T.IntegerType()), T.StructField("icd_code", T.StringType())]
 )
 SAMPLE_RESULT = "sample_id long, subject_id long, actual_codes array<string>, predicted_codes array<string>, num_chunks int, success boolean, precision double, recall double, f1 double, tp long, fp long, fn long"
-REPORT = f"evaluation_info map<string,string>, configuration map<string,string>, performance_metrics map<string,double>, sample_results array<struct<{', '.join(f.replace(' ', ':', 1) for f in SAMPLE_RESULT.split(', '))}>>"
 
 
 def csv(spark: SparkSession, path: str, schema: T.StructType | str, columns: list[str] | None = None) -> DataFrame:
-    """CSV with header; fields may hold line feeds and doubled quotes, and an empty one is null. Only ``columns`` are parsed, if given."""
-    df = spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"')
-    return df.select(*columns) if columns else df
+    """CSV with header; fields may hold line feeds and doubled quotes, and an empty one is null. Only ``columns`` are parsed, if given.
+
+    A file is read in as many splits as Spark makes of it. Line ends within fields are kept as they are.
+    """
+    found = split_records.records(spark, path, split_records.Csv(), header=True).where(F.length(F.rtrim("value", F.lit("\r\n"))) > 0)
+    fields = found.select(split_records.csv_fields(F.col("value"), schema if isinstance(schema, str) else schema.toDDL()).alias("_r"))
+    return fields.select([f"_r.{c}" for c in columns] if columns else "_r.*")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -42,13 +47,14 @@ def splits(spark: SparkSession, paths: Mapping[str, str], schema: T.StructType |
 
 
 def json_array(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A file that is one JSON array of objects."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+    """Files that are one JSON array of objects each, read in as many splits as Spark makes of them."""
+    return split_records.records(spark, path, split_records.Json()).select(F.from_json("value", schema).alias("_r")).select("_r.*")
 
 
 def report(spark: SparkSession, path: str) -> DataFrame:
-    """Sample results of an evaluation report that have scores and a patient."""
-    rows = spark.read.schema(REPORT).json(path, multiLine=True).select(F.explode("sample_results").alias("s")).select("s.*")
+    """Sample results of evaluation reports that have scores and a patient. No task holds a whole report."""
+    found = split_records.records(spark, path, split_records.Json("sample_results"))
+    rows = found.select(F.from_json("value", SAMPLE_RESULT).alias("_r")).select("_r.*")
     return rows.where(F.col("tp").isNotNull() & F.col("subject_id").isNotNull())
 
 
