@@ -97,9 +97,54 @@ def hash_split(df: DataFrame, key: str, seed: int = 42, train: int = 70, val: in
     return df.withColumn("split", F.when(h < train, "train").when(h < train + val, "val").otherwise("test"))
 
 
+def apportioned_split(df: DataFrame, key: str, stratum: str, seed: int = 42, train: int = 70, val: int = 15) -> DataFrame:
+    """``split`` with exact totals: ``train`` % of all rows, then the share of ``val`` in the rest, each to the row.
+
+    In each of the two steps a stratum gets its quota rounded down, and the rows that the total still lacks go to the
+    strata with the largest remainders (ties in order of strata), one each. So a stratum is within one row of its quota
+    in either step, those of a single row included. Which rows it gives is decided by seeded hash. Strata are ranked in
+    one small table, a row for each; a null stratum is one of them.
+    """
+
+    def quota(strata: DataFrame, of: Column, percent: int, whole: int, name: str) -> DataFrame:
+        one = Window.partitionBy(F.lit(0))
+        strata = strata.withColumn("_of", of).withColumn("_low", F.expr(f"(_of * {percent}L) div {whole}L"))
+        lacks = F.expr(f"(sum(_of) over () * {percent}L) div {whole}L") - F.sum("_low").over(one)
+        rank = F.row_number().over(one.orderBy(F.desc(F.expr(f"(_of * {percent}L) % {whole}L")), F.asc_nulls_last("_s")))
+        return strata.withColumn(name, F.col("_low") + (rank <= lacks).cast("long")).drop("_of", "_low")
+
+    strata = df.groupBy(F.col(stratum).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    strata = quota(strata, F.col("_n"), train, 100, "_train")
+    strata = quota(strata, F.col("_n") - F.col("_train"), val, 100 - train, "_val").drop("_n")
+    own = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
+    own = _numbered(own, F.col(stratum), (key,)).join(strata, F.col(stratum).eqNullSafe(F.col("_s")))
+    split = F.when(F.col("_rank") <= F.col("_train"), "train").when(F.col("_rank") <= F.col("_train") + F.col("_val"), "val").otherwise("test")
+    return own.withColumn("split", split).drop("_h", "_rank", "_all", "_s", "_train", "_val")
+
+
 def fixed_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """Exactly ``n`` rows (all if there are fewer), those with the least seeded hash: the same for every run."""
-    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
+    """Exactly ``n`` rows (all if there are fewer), those with the least seeded hash: the same for every run.
+
+    Rows are counted by the first four digits of their hash, then those of the group in which the ``n``-th falls by the
+    next four. What is below the eight digits found is taken by a filter, and only the rows that share them are ranked:
+    no task sees ``n`` rows of every partition.
+    """
+    own = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))))
+    none = df.sparkSession.range(1).select(F.lit("").alias("_p"), F.lit(0).cast("long").alias("_before"))
+
+    def refined(found: DataFrame, digits: int) -> DataFrame:
+        """One row: the prefix, longer by four digits, in which the n-th hash falls, and the rows before it."""
+        inner = own.select("_h").join(F.broadcast(found), F.substring("_h", 1, digits - 4) == F.col("_p"))
+        counts = inner.groupBy(F.substring("_h", 1, digits).alias("_q"), "_before").agg(F.count(F.lit(1)).alias("_n"))
+        upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_q"))  # 65,536 rows at most
+        counts = counts.select("_q", (upto - F.col("_n")).alias("_before"), upto.alias("_upto")).where(F.col("_upto") >= n)
+        return counts.agg(F.min(F.struct("_q", "_before")).alias("x")).select(F.coalesce("x._q", F.lit("g")).alias("_p"), F.coalesce("x._before", F.lit(0)).alias("_before"))
+
+    last = refined(refined(none, 4), 8)
+    near = own.join(F.broadcast(last), F.substring("_h", 1, 8) <= F.col("_p"))
+    at = F.substring("_h", 1, 8) == F.col("_p")
+    rank = F.row_number().over(Window.partitionBy(F.when(at, F.lit("")).otherwise(F.col("_h"))).orderBy("_h", key))
+    return near.withColumn("_rank", F.when(at, rank + F.col("_before"))).where(F.col("_rank").isNull() | (F.col("_rank") <= n)).select(*df.columns)
 
 
 def split_quality(df: DataFrame, key_columns: tuple[str, ...] = ("hadm_id", "subject_id", "f_codes_str")) -> DataFrame:

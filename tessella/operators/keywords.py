@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import HEADER_STEMS, STOP_WORDS, any_term, extract, headers, letter_runs, quoted, sentences
+from ..functions.text import HEADER_STEMS, STOP_WORDS, any_term, extract, headers, letter_runs, sentences
+from .term_automaton import term_frequency
 
 #: Words that are enriched beside clinical content but say nothing about it, by kind; fixed values.
 NOISE = {
@@ -36,33 +35,9 @@ def noise_words() -> set[str]:
     return {w for words in NOISE.values() for w in words.split()}
 
 
-#: From so many terms on, a document is only searched for terms whose first word it has.
-MANY_TERMS = 32
-
-
 def term_document_frequency(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:
-    """For each term the documents that have it between word boundaries; terms without documents count 0.
-
-    Few terms take one pass with a conditional count each: no row is multiplied. Many terms are found by their first
-    word: a document's distinct words meet the terms that begin with them (the list is the caller's, so its size is
-    known and it is broadcast), and only these are searched for.
-    """
-    low, terms = docs.select(F.lower(text).alias("t")), sorted(set(terms))
-    if len(terms) >= MANY_TERMS:
-        return _by_first_word(low, terms)
-    counts = low.agg(*[F.count_if(F.col("t").rlike("\\b" + quoted(t.lower()) + "\\b")).alias(f"c{i}") for i, t in enumerate(terms)])
-    pairs = F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"c{i}").alias("n_docs")) for i, t in enumerate(terms)])
-    return counts.select(F.explode(pairs).alias("p")).select("p.term", "p.n_docs")
-
-
-def _by_first_word(low: DataFrame, terms: list[str]) -> DataFrame:
-    rows = [(t, "\\b" + quoted(t.lower()) + "\\b", re.match(r"\w*", t.lower())[0]) for t in terms]
-    dim = F.broadcast(low.sparkSession.createDataFrame(rows, "term string, pattern string, head string"))
-    heads = F.array(*[F.lit(h) for h in sorted({h for _, _, h in rows})])
-    words = low.withColumn("w", F.explode(F.array_intersect(F.array_append(F.regexp_extract_all("t", F.lit("(?U)(\\w+)"), F.lit(1)), ""), heads)))
-    found = words.join(dim, words["w"] == dim["head"]).where(F.regexp_like("t", F.col("pattern")))
-    counts = found.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    return dim.join(counts, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n_docs"))
+    """For each term the documents that have it between word boundaries; terms without documents count 0."""
+    return term_frequency(docs, text, terms).select("term", "n_docs")
 
 
 def top_terms(freq: DataFrame, n: int) -> DataFrame:

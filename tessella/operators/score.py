@@ -95,6 +95,32 @@ def aligned_strategies(scores: DataFrame, first: str) -> DataFrame:
     return counts.withColumn("aligned", (F.col("n_samples") == n) & (F.col("n_shared") == n))
 
 
+def sample_sets(scores: DataFrame) -> DataFrame:
+    """strategy, n_samples and a fingerprint of its set of samples: sums of two 64-bit hashes, added up where the rows are.
+
+    Equal sets have equal fingerprints; unequal ones of one size differ but for a chance of 2^-128. A sample that a
+    strategy has twice counts twice.
+    """
+    wide = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(20, 0)"))
+    return scores.groupBy("strategy").agg(F.count(F.lit(1)).alias("n_samples"), wide("sample_id").alias("mark_a"), wide(F.lit("second"), "sample_id").alias("mark_b"))
+
+
+def aligned_pairs(scores: DataFrame) -> DataFrame:
+    """Every pair of strategies, whether both have the same samples, and how many each has: a row of sums for each strategy is compared."""
+    sets = sample_sets(scores)
+    a, b = (sets.select(*[F.col(c).alias(f"{c}_{x}") for c in sets.columns]) for x in ("1", "2"))
+    same = (F.col("n_samples_1") == F.col("n_samples_2")) & (F.col("mark_a_1") == F.col("mark_a_2")) & (F.col("mark_b_1") == F.col("mark_b_2"))
+    return a.join(F.broadcast(b), F.col("strategy_1") < F.col("strategy_2")).select(
+        F.col("strategy_1").alias("strategy_a"), F.col("strategy_2").alias("strategy_b"), F.col("n_samples_1").alias("n_a"), F.col("n_samples_2").alias("n_b"), same.alias("aligned")
+    )
+
+
+def aligned_with(scores: DataFrame, first: str) -> list[str]:
+    """The strategies that have the samples of ``first``, itself included; a paired test leaves the others out."""
+    marks = {r["strategy"]: tuple(r)[1:] for r in sample_sets(scores).collect()}
+    return [s for s, m in marks.items() if m == marks.get(first)]
+
+
 def top_two(micro_scores: DataFrame, strategies: DataFrame) -> DataFrame:
     """The two best strategies by micro F1 (the first in order of several), side by side."""
     df = micro_scores.join(F.broadcast(strategies), "strategy")

@@ -250,6 +250,11 @@ ORACLES: dict[str, str] = {
       coalesce(sum(te) FILTER (WHERE tr>0),0)::bigint AS n_test_enc_in_train, round(coalesce(sum(te) FILTER (WHERE tr>0),0)*100.0/sum(te),6)::double AS pct_test_enc_in_train, count(*) FILTER (WHERE n>1)::bigint AS n_multi,
       round(count(*) FILTER (WHERE n>1)*100.0/count(*),6)::double AS pct_multi, round(avg(n),6) AS mean_enc, round(quantile_cont(n,0.5),6)::double AS median_enc, max(n)::bigint AS max_enc
       FROM (SELECT subject_id, count(*) AS n, count(*) FILTER (WHERE split='train') AS tr, count(*) FILTER (WHERE split='val') AS va, count(*) FILTER (WHERE split='test') AS te FROM split GROUP BY 1)"""),
+    "apportioned_split": _with("lab", """SELECT * FROM (WITH s AS (SELECT primary_category AS c, count(*)::bigint AS n FROM lab GROUP BY 1),
+      a AS (SELECT c, n, n*70//100 AS low, row_number() OVER (ORDER BY n*70%100 DESC, c) AS r FROM s), b AS (SELECT c, n, low + (r <= (SELECT sum(n)*70//100-sum(low) FROM a))::int AS train FROM a),
+      d AS (SELECT c, train, n-train AS m, (n-train)*15//30 AS low, row_number() OVER (ORDER BY (n-train)*15%30 DESC, c) AS r FROM b), e AS (SELECT c, train, low + (r <= (SELECT sum(m)*15//30-sum(low) FROM d))::int AS val FROM d)
+      SELECT hadm_id, primary_category, CASE WHEN rn<=train THEN 'train' WHEN rn<=train+val THEN 'val' ELSE 'test' END AS split
+      FROM (SELECT *, row_number() OVER (PARTITION BY primary_category ORDER BY md5('42:'||hadm_id::varchar), hadm_id) AS rn FROM lab) l JOIN e ON l.primary_category=e.c)"""),
     "fixed_sample": _with("lab", "SELECT hadm_id, f_codes_str FROM lab ORDER BY md5('42:'||hadm_id::varchar), hadm_id LIMIT 1000"),
     "label_frequency": _with("freq", "SELECT * FROM freq"),
     "label_coverage": _with("cov", "SELECT rank, f_code, n, round(n*100.0/total,6)::double AS pct_of_instances, round(cum*100.0/total,6)::double AS cumulative_pct FROM cov"),
@@ -283,6 +288,11 @@ ORACLES: dict[str, str] = {
     "extraction_methods": "SELECT extraction_method, count(*)::bigint AS n FROM (" + _extract() + ") GROUP BY 1",
     "term_doc_frequency": _with("termdf", "SELECT * FROM termdf"),
     "term_list_frequency": "SELECT unnest([" + _list(LONG_TERMS) + "]) AS term, unnest([" + ", ".join(rf"count(*) FILTER (WHERE regexp_matches(t, {_s(chr(92) + 'b' + x + chr(92) + 'b')}))" for x in LONG_TERMS) + rf"]) AS n_docs FROM (SELECT {_LETTERS.format('lower(text)')} AS t FROM documents)",
+    "mined_term_frequency": r"""WITH w AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark), p AS (SELECT w, unnest(range(1, len(w)+1)) AS i FROM w),
+      terms AS (SELECT w[i] AS term FROM p UNION SELECT w[i]||' '||w[i+1] FROM p WHERE i<len(w) AND w[i]<>w[i+1]),
+      d AS (SELECT row_number() OVER () AS r, regexp_extract_all(lower(text), '[\p{L}\p{Nd}_]+|[^\p{L}\p{Nd}_]+') AS t FROM documents WHERE text IS NOT NULL), x AS (SELECT r, t, unnest(range(1, len(t)+1)) AS i FROM d),
+      hits AS (SELECT r, t[i] AS term FROM x UNION ALL SELECT r, t[i]||' '||t[i+2] FROM x WHERE t[i+1]=' ' AND i+2<=len(t))
+      SELECT term, count(DISTINCT r)::bigint AS n_docs, count(r)::bigint AS n_occurrences FROM terms LEFT JOIN hits USING (term) GROUP BY 1""",
     "top_percent_terms": _with("termdf", "SELECT * EXCLUDE (k) FROM (SELECT term, n_docs, row_number() OVER (ORDER BY n_docs DESC, term) AS rn, round_even(count(*) OVER ()*0.4,0) AS k FROM termdf) WHERE rn<=k"),
     "enrichment_ratio": _enrichment("CASE WHEN other=0 THEN 0.0 ELSE round((diag/ad)/(other/ao),6) END::double AS enrichment_ratio, other=0 AS is_infinite FROM enr, tot WHERE diag>0 AND diag+other>=5"),
     "enrichment_test_variant": _enrichment(f"round((diag/ad)/(greatest(other,1)/ao),6)::double AS enrichment_ratio FROM enr, tot WHERE diag>0 AND diag+other>=5 AND word NOT IN ({_list(TERMS)})"),
@@ -305,6 +315,9 @@ ORACLES: dict[str, str] = {
       round(perfect*100,1) AS perfect_pct, round((k*90+30)/60.0,6)::double AS minutes, samples, round((micro_f1-base)/base*100,6) AS gain_pct FROM mic JOIN strat USING (strategy, k) JOIN (SELECT strategy, avg(perfect_match) AS perfect, count(*)::bigint AS samples FROM scf GROUP BY 1) USING (strategy)
       JOIN (SELECT strategy, avg(f1) FILTER (WHERE occurrences>0) AS macro FROM pc GROUP BY 1) USING (strategy), (SELECT micro_f1 AS base FROM mic WHERE k=0)"""),
     "aligned_strategies": _with("sc", """SELECT strategy, n AS n_samples, n AS n_shared, n=(SELECT count(*) FROM sc WHERE strategy='ZS') AS aligned FROM (SELECT strategy, count(*)::bigint AS n FROM sc WHERE strategy<>'KE' OR tp>0 GROUP BY 1)"""),
+    "aligned_pairs": _with("sc", """SELECT * FROM (WITH part AS (SELECT strategy, sample_id FROM sc WHERE (strategy<>'KE' OR tp>0) AND (strategy<>'ZS' OR sample_id%7<>3)), n AS (SELECT strategy, count(*)::bigint AS n FROM part GROUP BY 1),
+      meet AS (SELECT x.strategy AS a, y.strategy AS b, count(*) AS n FROM part x JOIN part y ON x.sample_id=y.sample_id AND x.strategy<y.strategy GROUP BY 1, 2)
+      SELECT x.strategy AS strategy_a, y.strategy AS strategy_b, x.n AS n_a, y.n AS n_b, x.n=y.n AND x.n=coalesce(meet.n,0) AS aligned FROM n x JOIN n y ON x.strategy<y.strategy LEFT JOIN meet ON a=x.strategy AND b=y.strategy)"""),
     "best_strategy": _with("mic", "SELECT strategy, k::int AS ord, round(micro_f1,6) AS micro_f1 FROM mic ORDER BY mic.micro_f1 DESC, k LIMIT 1"),
     "category_metrics": _with("ev strat", """SELECT strategy, category, tp, fp, fn, round(CASE WHEN tp+fp=0 THEN 0 ELSE tp::double/(tp+fp) END,6)::double AS precision, round(CASE WHEN tp+fn=0 THEN 0 ELSE tp::double/(tp+fn) END,6)::double AS recall,
       round(CASE WHEN 2*tp+fp+fn=0 THEN 0 ELSE 2.0*tp/(2*tp+fp+fn) END,6)::double AS f1 FROM (SELECT s.strategy, c.category, count(*) FILTER (WHERE a AND p)::bigint AS tp, count(*) FILTER (WHERE p AND NOT a)::bigint AS fp, count(*) FILTER (WHERE a AND NOT p)::bigint AS fn

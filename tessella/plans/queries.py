@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import metrics as M
 from ..functions import text as X
-from ..operators import chunk, cohort, keywords, rank, resample, score
+from ..operators import chunk, cohort, keywords, rank, resample, score, term_automaton
 from ..session import table
 from ..sources import readers, scratch, writers
 from . import projections as P
@@ -75,6 +75,11 @@ def patient_overlap(spark, sf):
     return _r6("pct_test_enc_in_train", "pct_multi", "mean_enc", "median_enc")(cohort.patient_overlap(P.split_labelled(spark, sf)))
 
 
+def apportioned_split(spark, sf):
+    """The same shares with totals exact to the row."""
+    return cohort.apportioned_split(P.labelled(spark, sf), "hadm_id", "primary_category").select("hadm_id", "primary_category", "split")
+
+
 def fixed_sample(spark, sf):
     return cohort.fixed_sample(P.labelled(spark, sf), "hadm_id", 1000).select("hadm_id", "f_codes_str")
 
@@ -206,10 +211,19 @@ def term_doc_frequency(spark, sf):
 
 
 def term_list_frequency(spark, sf):
-    """A list so long that terms are found by their first word."""
+    """A list of function words and phrases."""
     return keywords.term_document_frequency(_docs(spark, sf), "text", P.LONG_TERMS)
 
 
+def mined_term_frequency(spark, sf):
+    """All words, and pairs of neighbouring different words, of the benchmark as a term list of thousands."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    words = table(spark, sf, "benchmark").select(w.alias("w"))
+    pairs = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.when(x != F.get("w", i + 1), F.concat_ws(" ", x, F.get("w", i + 1))))
+    terms = words.select(F.explode(F.concat("w", pairs)).alias("term")).where("term IS NOT NULL").distinct()
+    return term_automaton.term_frequency(_docs(spark, sf), "text", terms)
+
+
 def top_percent_terms(spark, sf):
     return keywords.top_share(term_doc_frequency(spark, sf))
 
@@ -286,6 +300,11 @@ def aligned_strategies(spark, sf):
     return score.aligned_strategies(_scores(spark, sf).where("strategy <> 'KE' OR tp > 0"), "ZS")
 
 
+def aligned_pairs(spark, sf):
+    """Two of the strategies haven't scored every sample."""
+    return score.aligned_pairs(_scores(spark, sf).where("(strategy <> 'KE' OR tp > 0) AND (strategy <> 'ZS' OR sample_id % 7 <> 3)"))
+
+
 def best_strategy(spark, sf):
     scores = score.micro(_scores(spark, sf), ("strategy",)).join(F.broadcast(P.strategies(spark)), "strategy")
     return _r6("micro_f1")(score.arg_max(scores.select("strategy", "ord", "micro_f1"), "micro_f1", "ord"))
@@ -411,15 +430,21 @@ def disjoint_scores(spark, sf):
 
 
 def _wide(spark, sf):
-    """One row for each sample: tp_<k>, fp_<k>, fn_<k> of all strategies, which share their samples; with positions."""
+    """(one row for each sample: tp_<k>, fp_<k>, fn_<k> of the strategies, with positions; their number; the strategies).
+
+    A strategy whose samples aren't those of the first one is left out.
+    """
     own = _scores(spark, sf)
-    aligned = own.groupBy("sample_id").agg(
-        *[F.max(F.when(F.col("strategy") == n, F.col(c))).alias(f"{c}_{k}") for k, n, _ in P.STRATEGIES for c in ("tp", "fp", "fn")], F.count(F.lit(1)).alias("n_s")
+    same = set(score.aligned_with(own, P.STRATEGIES[0][1]))
+    kept = [s for s in P.STRATEGIES if s[1] in same]
+    wide = own.where(F.col("strategy").isin(*same)).groupBy("sample_id").agg(
+        *[F.max(F.when(F.col("strategy") == n, F.col(c))).alias(f"{c}_{k}") for k, n, _ in kept for c in ("tp", "fp", "fn")]
     )
-    return resample.positions(aligned.where(F.col("n_s") == len(P.STRATEGIES)), "sample_id")
+    return *resample.positions(wide, "sample_id"), kept
 
 
-_VALUES = [f"{c}_{k}" for k, _, _ in P.STRATEGIES for c in ("tp", "fp", "fn")]
+def _values(kept) -> list[str]:
+    return [f"{c}_{k}" for k, _, _ in kept for c in ("tp", "fp", "fn")]
 
 
 def _f1(k) -> Column:
@@ -427,37 +452,37 @@ def _f1(k) -> Column:
 
 
 def bootstrap_ci(spark, sf):
-    df, n = _wide(spark, sf)
-    exact = [f"em_{k}" for k, _, _ in P.STRATEGIES]
-    df = df.withColumns({f"em_{k}": ((F.col(f"fp_{k}") + F.col(f"fn_{k}")) == 0).cast("long") for k, _, _ in P.STRATEGIES})
-    sums = resample.bootstrap_sums(df, n, _VALUES + exact, DRAWS, 42)
+    df, n, kept = _wide(spark, sf)
+    exact = [f"em_{k}" for k, _, _ in kept]
+    df = df.withColumns({f"em_{k}": ((F.col(f"fp_{k}") + F.col(f"fn_{k}")) == 0).cast("long") for k, _, _ in kept})
+    sums = resample.bootstrap_sums(df, n, _values(kept) + exact, DRAWS, 42)
     rows = []
-    for k, s, _ in P.STRATEGIES:
+    for k, s, _ in kept:
         found = {"f1": _f1(k), "precision": M.precision(F.col(f"tp_{k}"), F.col(f"fp_{k}")), "recall": M.recall(F.col(f"tp_{k}"), F.col(f"fn_{k}")), "exact_match": F.col(f"em_{k}") / F.lit(float(max(1, n)))}
         rows += [F.struct(F.lit(s).alias("strategy"), F.lit(m).alias("metric"), v.alias("v")) for m, v in found.items()]
     long = sums.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
     return _r6("ci_lo", "ci_hi")(resample.interval(long, F.col("v"), ("strategy", "metric")))
 
 
-def _pairs():
-    own = [(k, n) for k, n, tuned in P.STRATEGIES if tuned]
+def _pairs(kept):
+    own = [(k, n) for k, n, tuned in kept if tuned]
     return [(a, b) for i, a in enumerate(own) for b in own[i + 1 :]]
 
 
 def paired_bootstrap(spark, sf):
-    df, n = _wide(spark, sf)
-    sums = resample.bootstrap_sums(df, n, _VALUES, DRAWS, 42)
-    rows = [F.struct(F.lit(a).alias("strategy_a"), F.lit(b).alias("strategy_b"), (_f1(i) - _f1(j)).alias("diff")) for (i, a), (j, b) in _pairs()]
+    df, n, kept = _wide(spark, sf)
+    sums = resample.bootstrap_sums(df, n, _values(kept), DRAWS, 42)
+    rows = [F.struct(F.lit(a).alias("strategy_a"), F.lit(b).alias("strategy_b"), (_f1(i) - _f1(j)).alias("diff")) for (i, a), (j, b) in _pairs(kept)]
     long = sums.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
     return _r6("ci_lo", "ci_hi")(resample.interval(long, F.col("diff"), ("strategy_a", "strategy_b")))
 
 
 def permutation_test(spark, sf):
-    df, _ = _wide(spark, sf)
-    pairs = [(str(a[0]), str(b[0])) for a, b in _pairs()]
+    df, _, kept = _wide(spark, sf)
+    pairs = [(str(a[0]), str(b[0])) for a, b in _pairs(kept)]
     sums = resample.permutation_sums(df, pairs, PERMUTATIONS, 42)
     tests = resample.permutation_pvalues(sums, pairs, PERMUTATIONS)
-    names = F.create_map(*[F.lit(x) for k, n, _ in P.STRATEGIES for x in (str(k), n)])
+    names = F.create_map(*[F.lit(x) for k, n, _ in kept for x in (str(k), n)])
     tests = tests.select(names[F.col("strategy_a")].alias("strategy_a"), names[F.col("strategy_b")].alias("strategy_b"), "diff", "p_raw")
     return _r6("diff", "p_raw", "p_holm")(resample.holm(tests, tie=("strategy_a", "strategy_b")))
 
@@ -599,7 +624,7 @@ def report_round_trip(spark, sf):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        cohort_build, diagnosis_groups, conflict_filter, conflict_free, cohort_stats, stratified_split, split_quality, split_overlap, split_topk_drift,
+        cohort_build, diagnosis_groups, conflict_filter, conflict_free, cohort_stats, stratified_split, apportioned_split, split_quality, split_overlap, split_topk_drift,
         patient_overlap, fixed_sample, label_frequency, label_coverage, coverage_cutoff, coverage_prefix, coverage_at_k, split_stability, missing_labels,
         labels_per_note, text_length_stats, text_percentiles, label_cooccurrence, cooccurrence_pairs, severity_rollup, rarity_buckets, frequency_summary,
         chapter_rollup, chunk_index, chunk_texts, chunk_stats, chunk_distribution, chunk_label_inflation, section_positions, keyword_extract,
@@ -610,6 +635,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         chunk_sensitivity, parse_responses, parse_label_lists, instruction_rows, chat_messages, training_chats,
         pairwise_comparison, holm_adjust, top_two, latex_table, checkpoint_selection, chunk_union, chunk_usage, label_vocabulary, literal_list,
         strategy_comparison, aligned_strategies, fp_rows, fn_rows, most_frequent_codes, term_list_frequency, evaluation, csv_round_trip, json_round_trip,
-        report_round_trip,
+        report_round_trip, mined_term_frequency, aligned_pairs,
     )
 }
