@@ -4,10 +4,14 @@
   telling ones add up to) and the shape of the text: symbols, digits, capitals, repeats, line and word lengths.
 * The metadata view sees source, language and length.
 
-Each round, both views are trained; each picks the ``PICKS`` unlabelled documents it is surest of, out of all there are,
-and these pseudo-labels join the other view's training rows. At last each view is calibrated on labelled rows that
-trained nothing (Platt scaling), and a logistic combination of both calibrated views, fitted on the same rows, scores
-every document.
+Each round, both views are trained and calibrated on labelled rows that train nothing (Platt scaling). Each picks the
+unlabelled documents it is surest of by its calibrated probability, out of all there are: ``PICKS`` of them, positive and
+negative ones in the ratio of the labels (where there are too few of one class, fewer of the other). These pseudo-labels
+join the other view's training rows. A view that tells the rows set aside no better than the share of the classes does
+(by their log loss, calibrated on one half of them and measured on the other) picks nothing and has no say in the scores.
+A round after which the combination tells those rows worse than before is taken back, and is the target's last. At last a
+logistic combination of the calibrated views, fitted on the same rows, scores every document. ``PICKS`` is a parameter of
+the learner, as ``labelled_rows`` is: it bounds what the driver trains on, while all documents are candidates.
 
 Features of all documents are computed once, from whole texts, and written to the shared folder; each round and the last
 scores read them from there. Models are fitted on the driver to at most about ``labelled_rows`` labelled documents, taken
@@ -46,6 +50,8 @@ TELLING = 1.5
 ROUNDS = 3
 PICKS = 200
 SURE = 0.9
+#: Share of the prior's loss that a view has to save, and the rows of each class set aside from which on it is asked to.
+GAIN, ENOUGH = 0.02, 10
 
 _CLASSES = {n: np.isin(np.arange(256), list(b)) for n, b in {"symbol": b"#*$%&|<>@^~_=+{}[]\\", "digit": b"0123456789", "upper": bytes(range(65, 91)), "bang": b"!?"}.items()}
 
@@ -207,9 +213,37 @@ class Model:
         return _sigmoid(_apply(self.joint, np.column_stack([a, m]))), _sigmoid(a), _sigmoid(m)
 
 
-def surest(p: np.ndarray) -> np.ndarray:
-    """How far probabilities are from a half; rounded, so that it doesn't depend on how rows are batched."""
-    return np.round(np.abs(p - 0.5), 9)
+def _loss(z: np.ndarray, y: np.ndarray) -> float:
+    """Mean log loss of log-odds."""
+    z = np.clip(z, -30, 30)
+    return float(np.mean(np.log1p(np.exp(z)) - y * z)) if len(y) else 0.0
+
+
+def _crossed(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
+    """Log-odds of each row by the regression on the other half of the rows, both halves with their share of the classes."""
+    half = np.zeros(len(y), bool)
+    for c in (0, 1):
+        half[np.flatnonzero(y == c)[::2]] = True
+    out = np.zeros(len(y))
+    for mine in (half, ~half):
+        out[mine] = _apply(_logistic(x[~mine], y[~mine], ridge), x[mine])
+    return out
+
+
+@dataclass
+class Calibrated:
+    """Both views with their Platt weights, and whether each tells the rows set aside better than the prior."""
+
+    views: tuple[TextView, MetaView]
+    platt: list[np.ndarray]
+    useful: list[bool]
+    joint: np.ndarray
+    loss: float  # of the combination on the rows set aside
+
+    def chances(self, b: Batch, meta: list[tuple]) -> list[np.ndarray]:
+        """Each view's calibrated probabilities, rounded so that they don't depend on how rows are batched."""
+        z = self.views[0].logit(b), self.views[1].logit(meta, b.shapes[:, 7])
+        return [np.round(_sigmoid(_apply(w, v[:, None])), 9) for w, v in zip(self.platt, z, strict=True)]
 
 
 class CoTraining:
@@ -223,23 +257,42 @@ class CoTraining:
             self.held = train = known
         self.y, self.rows = y, {"text": (train, y[train]), "meta": (train, y[train])}
         self.trivial = len(np.unique(y[known])) < 2
+        self.done = self.trivial
 
-    def pick(self, to: str, at: np.ndarray, p: np.ndarray) -> None:
-        own, target = self.rows[to]
-        self.rows[to] = np.concatenate([own, at]), np.concatenate([target, (p > 0.5).astype(float)])
+    def add(self, to: str, at: list[int], target: list[float]) -> None:
+        own, before = self.rows[to]
+        self.rows[to] = np.concatenate([own, np.array(at, own.dtype)]), np.concatenate([before, target])
 
     def views(self, b: Batch, meta: list[tuple]) -> tuple[TextView, MetaView]:
         at, target = self.rows["meta"]
         return fit_text(_take(b, self.rows["text"][0]), self.rows["text"][1]), fit_meta([meta[i] for i in at], b.shapes[at, 7], target)
 
+    def calibrated(self, b: Batch, meta: list[tuple]) -> Calibrated:
+        (text, view), held = self.views(b, meta), self.held
+        y = self.y[held]
+        z = text.logit(_take(b, held))[:, None], view.logit([meta[i] for i in held], b.shapes[held, 7])[:, None]
+        platt = [_logistic(v, y, 0.01) for v in z]
+        prior = _loss(np.full(len(y), np.log(y.mean() / (1 - y.mean()))), y)
+        asked = min(y.sum(), len(y) - y.sum()) >= ENOUGH
+        useful = [not asked or _loss(_crossed(v, y, 0.01), y) < (1 - GAIN) * prior for v in z]
+        both = np.column_stack([_apply(w, v) * u for w, v, u in zip(platt, z, useful, strict=True)])
+        return Calibrated((text, view), platt, useful, _logistic(both, y, 0.1) * np.array([True, *useful]), _loss(_crossed(both, y, 0.1), y) if asked else 0.0)
+
     def model(self, b: Batch, meta: list[tuple]) -> Model:
         if self.trivial:
             return Model(None, None, np.zeros(2), np.zeros(2), np.zeros(3), self.share)
-        (text, view), held = self.views(b, meta), self.held
-        z = text.logit(_take(b, held))[:, None], view.logit([meta[i] for i in held], b.shapes[held, 7])[:, None]
-        platt = [_logistic(v, self.y[held], 0.01) for v in z]
-        joint = _logistic(np.column_stack([_apply(w, v) for w, v in zip(platt, z, strict=True)]), self.y[held], 0.1)
-        return Model(text, view, platt[0], platt[1], joint, self.share)
+        c = self.calibrated(b, meta)
+        return Model(*c.views, *c.platt, c.joint, self.share)
+
+    def quotas(self, picks: int) -> tuple[int, int]:
+        """The most picks of the negative and the positive class, in the ratio of the labels."""
+        positive = round(picks * self.share)
+        return picks - positive, positive
+
+    def balanced(self, negative: list, positive: list) -> list:
+        """As many of each, the surest first, as the ratio of the labels allows."""
+        ratio = self.share / (1 - self.share)
+        return [*negative[: round(len(positive) / ratio)], *positive[: round(len(negative) * ratio)]]
 
 
 def features(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", meta: tuple[str, ...] = ("source", "lang")) -> DataFrame:
@@ -271,15 +324,16 @@ def _meta(b: pa.RecordBatch) -> list[tuple]:
     return list(zip(*[b.column(c).to_pylist() for c in b.schema.names if c.startswith("_m")], strict=True))
 
 
-def most_sure(featured: DataFrame, views: list, gone: list[set[int]], labelled: pa.Array, picks: int) -> list:
-    """For each target and each view the ``picks`` unlabelled documents that it is surest of: (k, sure, p, features).
+def most_sure(featured: DataFrame, views: list[Calibrated | None], most: list[tuple[int, int]], gone: list[set[int]], labelled: pa.Array) -> list:
+    """For each target, view and class the unlabelled documents that the view is surest of: (k, sure, features).
 
-    k is twice the target's place, plus one for the metadata view. Every task sends its own ``picks`` at most, and these
-    are ranked in parts before they are ranked together.
+    k is four times the target's place, plus two for the metadata view, plus one for the positive class, of which there
+    are ``most[target][class]`` at most. Every task sends no more than these, and they are ranked in as many parts as
+    there are tasks' worth of them before they are ranked together.
     """
     meta = [c for c in featured.columns if c.startswith("_m")]
     slim = featured.select("_row", "_id", *meta, "w", "s")
-    out = ["k", "sure", "p", *slim.columns]
+    out = ["k", "sure", *slim.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, pa.Table] = {}
@@ -293,22 +347,24 @@ def most_sure(featured: DataFrame, views: list, gone: list[set[int]], labelled:
                 if own is None:
                     continue
                 free = ~np.isin(row, np.fromiter(gone[j], np.int64, len(gone[j])))
-                for k, p in ((2 * j, _sigmoid(own[0].logit(got))), (2 * j + 1, _sigmoid(own[1].logit(data, got.shapes[:, 7])))):
-                    sure = surest(p)
-                    at = np.flatnonzero(free & (sure >= SURE - 0.5))
-                    if len(at):
-                        more = pa.Table.from_batches([b.take(pa.array(at))]).append_column("sure", pa.array(sure[at])).append_column("p", pa.array(p[at]))
-                        every = pa.concat_tables([best[k], more]) if k in best else more
-                        best[k] = every.take(pc.sort_indices(every, sort_keys=by)[:picks])
+                for v, p in enumerate(own.chances(got, data)):
+                    for c, sure in enumerate((1 - p, p)):
+                        at = np.flatnonzero(free & (sure >= SURE)) if own.useful[v] and most[j][c] else []
+                        if len(at):
+                            k = 4 * j + 2 * v + c
+                            more = pa.Table.from_batches([b.take(pa.array(at))]).append_column("sure", pa.array(sure[at]))
+                            every = pa.concat_tables([best[k], more]) if k in best else more
+                            best[k] = every.take(pc.sort_indices(every, sort_keys=by)[: most[j][c]])
         for k, t in best.items():
             t = t.append_column("k", pa.array([k] * t.num_rows, pa.int32())).select(out)
             yield from t.combine_chunks().to_batches()
 
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
-    found = in_batches(slim, run, ", ".join(["k int, sure double, p double", *(f"{c} {kinds[c]}" for c in slim.columns)]))
-    order = [F.desc("sure"), F.col("_id").asc_nulls_last(), "w", "s", "_row"]
-    for part in (["k", F.pmod(F.shiftright("_row", 33), F.lit(64))], ["k"]):
-        found = found.withColumn("_nth", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where(F.col("_nth") <= picks).drop("_nth")
+    found = in_batches(slim, run, ", ".join(["k int, sure double", *(f"{c} {kinds[c]}" for c in slim.columns)]))
+    order, parts = [F.desc("sure"), F.col("_id").asc_nulls_last(), "w", "s", "_row"], max(1, int(featured.rdd.getNumPartitions() ** 0.5))
+    limit = F.element_at(F.array(*[F.lit(n) for pair in most for _ in (0, 1) for n in pair]), F.col("k") + 1)
+    for part in (["k", F.pmod(F.shiftright("_row", 33), F.lit(parts))], ["k"]):
+        found = found.withColumn("_nth", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where(F.col("_nth") <= limit).drop("_nth")
     return sorted(found.collect(), key=lambda r: (r["k"], -r["sure"], r["_id"] is None, r["_id"], bytes(r["w"]), bytes(r["s"])))
 
 
@@ -325,19 +381,33 @@ def fit(featured: DataFrame, labels: DataFrame, targets: list[str], id_col: str
     w, s, data = [bytes(r["f"]["w"]) for r in rows], [bytes(r["f"]["s"]) for r in rows], [tuple(r["f"][c] for c in meta) for r in rows]
     training = [CoTraining(np.array([np.nan if r[f"_y{j}"] is None else r[f"_y{j}"] for r in rows], float)) for j in range(len(targets))]
     gone: list[set[int]] = [set() for _ in targets]
-    for _ in range(rounds if not all(t.trivial for t in training) else 0):
-        b = _batch(pa.array(w, pa.binary()), pa.array(s, pa.binary()))
-        views = [None if t.trivial else t.views(b, data) for t in training]
-        for r in most_sure(featured, views, gone, labelled, picks):
-            j, to = r["k"] // 2, "meta" if r["k"] % 2 == 0 else "text"
-            if r["_row"] in gone[j]:
-                continue  # the text view, which comes first, has picked it in this round
-            gone[j].add(r["_row"])
-            training[j].pick(to, np.array([len(w)]), np.array([r["p"]]))
-            w.append(bytes(r["w"]))
-            s.append(bytes(r["s"]))
-            data.append(tuple(r[c] for c in meta))
-    b = _batch(pa.array(w, pa.binary()), pa.array(s, pa.binary()))
+    batch = lambda: _batch(pa.array(w, pa.binary()), pa.array(s, pa.binary()))
+    b = batch()
+    now = [None if t.trivial else t.calibrated(b, data) for t in training]
+    for _ in range(rounds):
+        if all(t.done for t in training):
+            break
+        found: dict[int, list] = {}
+        for r in most_sure(featured, [None if t.done else c for t, c in zip(training, now, strict=True)], [t.quotas(picks) for t in training], gone, labelled):
+            if r["_row"] not in gone[r["k"] // 4]:  # the text view, which comes first, may have picked it in this round
+                found.setdefault(r["k"], []).append(r)
+                gone[r["k"] // 4].add(r["_row"])
+        before = [dict(t.rows) for t in training]
+        for j, t in enumerate(training):
+            for v, to in enumerate(("meta", "text")):
+                own = t.balanced(found.get(4 * j + 2 * v, []), found.get(4 * j + 2 * v + 1, []))
+                t.add(to, list(range(len(w), len(w) + len(own))), [float(r["k"] & 1) for r in own])
+                w += [bytes(r["w"]) for r in own]
+                s += [bytes(r["s"]) for r in own]
+                data += [tuple(r[c] for c in meta) for r in own]
+        b = batch()
+        for j, t in enumerate(training):
+            if not t.done:
+                then = t.calibrated(b, data)
+                if then.loss > now[j].loss or all(len(t.rows[x][0]) == len(before[j][x][0]) for x in t.rows):
+                    t.rows, t.done = before[j], True
+                else:
+                    now[j] = then
     return {t: x.model(b, data) for t, x in zip(targets, training, strict=True)}
 
 
