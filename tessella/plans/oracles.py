@@ -269,6 +269,8 @@ ORACLES: dict[str, str] = {
     "text_length_stats": _with("tok", """SELECT round(avg(n),6) AS mean_words, round(quantile_cont(n,0.5),6)::double AS median_words, round(stddev_samp(n),6) AS std_words, min(n)::bigint AS min_words, max(n)::bigint AS max_words,
       round(avg(length(text)),6) AS mean_chars, count(*) FILTER (WHERE n>500)::bigint AS n_over_500 FROM tok"""),
     "text_percentiles": _with("tok", " UNION ALL ".join(f"SELECT {p}::bigint AS p, round(quantile_cont(n,{p / 100}),6)::double AS words FROM tok" for p in (25, 50, 75, 90, 95, 99))),
+    "length_quantiles": _with("tok", " UNION ALL ".join(f"SELECT lang, {p}::bigint AS p, round(quantile_cont(n,{p / 100}),6)::double AS value FROM tok JOIN documents USING (doc_id) GROUP BY lang" for p in (5, 25, 50, 75, 95, 99))),
+    "formatted_coverage": _with("cov", "SELECT f_code, format('{:,}', n*1000) AS thousands, format('{:,.2f}', n/8) AS eighths, format('{:.1f}', n*100.0/total)||'%' AS share FROM cov"),
     "label_cooccurrence": _with("inst cov", "SELECT x.f_code AS code_1, y.f_code AS code_2, count(*)::bigint AS n FROM t x JOIN t y USING (hadm_id) GROUP BY 1,2", t="SELECT DISTINCT hadm_id, f_code FROM inst WHERE f_code IN (SELECT f_code FROM cov WHERE rank<=10)"),
     "cooccurrence_pairs": _with("inst cov", """SELECT code_1, code_2, n, round(n*100.0/(SELECT count(*) FROM lab),6)::double AS pct_samples FROM (SELECT x.f_code AS code_1, y.f_code AS code_2, x.rank AS r1, y.rank AS r2, count(*)::bigint AS n
       FROM t x JOIN t y USING (hadm_id) WHERE x.rank<y.rank GROUP BY ALL) ORDER BY n DESC, r1, r2 LIMIT 15""", t="SELECT DISTINCT hadm_id, f_code, rank FROM inst JOIN cov USING (f_code) WHERE rank<=10"),
@@ -371,6 +373,8 @@ ORACLES: dict[str, str] = {
     "json_round_trip": _with("cohort chunks", """SELECT hadm_id, md5(CASE WHEN total_chunks=1 THEN chunks.text ELSE array_to_string(regexp_extract_all(chunks.text, '\\S+')[start_token+1:end_token], ' ') END) AS input_md5, '["'||replace(f_codes_str,', ','", "')||'"]' AS output, false AS has_window
       FROM cohort JOIN chunks ON doc_id=hadm_id"""),
     "report_round_trip": _with("scf arr pat", "SELECT s.sample_id, pat.subject_id, coalesce(array_to_string(ac,'; '),'') AS actual_codes, coalesce(array_to_string(pcodes,'; '),'') AS predicted_codes, tp, fp, fn, round(f1,6) AS f1 FROM scf s JOIN arr ON arr.strategy=s.strategy AND arr.sample_id=s.sample_id JOIN pat ON pat.sample_id=s.sample_id WHERE s.strategy='ZS' AND tp>0"),
+    "term_file_round_trip": "SELECT unnest([" + _list(LONG_TERMS) + "]) AS term, unnest([" + ", ".join(rf"count(*) FILTER (WHERE regexp_matches(t, {_s(chr(92) + 'b' + x + chr(92) + 'b')}))" for x in LONG_TERMS) + "])::bigint AS count, unnest([" + ", ".join(str(int(" " in x)) for x in LONG_TERMS) + f"])::int AS is_phrase FROM (SELECT {_LETTERS.format('lower(text)')} AS t FROM documents)",
+    "latest_report": _with("scf pat", "SELECT s.sample_id, tp, fp, fn, 'eval_b.json' AS run FROM scf s JOIN pat ON pat.sample_id=s.sample_id WHERE s.strategy='ZS' AND pat.subject_id IS NOT NULL"),
     "cluster_bootstrap": _cluster(),
     "gap_bootstrap": _gap(),
     "chunk_sensitivity": _sensitivity(),

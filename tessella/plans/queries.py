@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import metrics as M
 from ..functions import text as X
-from ..operators import chunk, cohort, keywords, rank, resample, score, term_automaton
+from ..operators import chunk, cohort, keywords, quantiles, rank, resample, score, term_automaton
 from ..session import table
 from ..sources import readers, scratch, writers
 from . import projections as P
@@ -141,6 +141,19 @@ def text_percentiles(spark, sf):
     return out.select(F.posexplode("v")).select(F.element_at(F.array(*[F.lit(p).cast("long") for p in ps]), F.col("pos") + 1).alias("p"), F.round("col", 6).alias("words"))
 
 
+def length_quantiles(spark, sf):
+    """Words of the texts of each language, by counting in ranges."""
+    own = _docs(spark, sf).select("lang", _tokens().alias("w"))
+    out = quantiles.exact_quantiles(own, F.col("w"), [p / 100 for p in (5, 25, 50, 75, 95, 99)], ("lang",))
+    return _r6("value")(out.select("lang", F.round(F.col("share") * 100).cast("long").alias("p"), "value"))
+
+
+def formatted_coverage(spark, sf):
+    """Labels with counts and shares as a report shows them."""
+    out = rank.coverage(_freq(spark, sf))
+    return out.select("f_code", writers.grouped(F.col("n") * 1000).alias("thousands"), writers.grouped(F.col("n") / 8, 2).alias("eighths"), writers.percent(F.col("pct_of_instances") / 100).alias("share"))
+
+
 def label_cooccurrence(spark, sf):
     freq = _freq(spark, sf)
     return rank.cooccurrence(P.labelled(spark, sf), P.codes_of(), rank.top_codes(freq, 10))
@@ -621,6 +634,27 @@ def report_round_trip(spark, sf):
     return _r6("f1")(out.select("sample_id", "subject_id", show("actual_codes"), show("predicted_codes"), "tp", "fp", "fn", "f1"))
 
 
+def term_file_round_trip(spark, sf):
+    """Terms with their documents and a flag written as a quoted CSV, and read back as a table and as a term list."""
+    at = f"{scratch.folder(spark)}/terms.csv"
+    freq = keywords.term_document_frequency(_docs(spark, sf), "text", P.LONG_TERMS).select("term", F.col("n_docs").alias("count"), F.contains("term", F.lit(" ")).cast("int").alias("is_phrase"))
+    writers.csv(freq, at, quote_all=True)
+    return readers.csv(spark, at, "term string, count long, is_phrase int").join(readers.terms(spark, at), "term")
+
+
+def latest_report(spark, sf):
+    """Reports of two runs; the one that is last by name is found, by a name that is only begun, and read."""
+    at = scratch.folder(spark)
+    own = _scores(spark, sf).join(P.result_patients(spark, sf), "sample_id")
+    for name, strategy in (("eval_b", "ZS"), ("eval_a", "FS")):
+        rows = own.where(F.col("strategy") == strategy).select("sample_id", "subject_id", "actual_codes", "predicted_codes", "precision", "recall", "f1", "tp", "fp", "fn")
+        writers.nested_report(rows, {"evaluation_info": {"strategy": strategy}}, f"{at}/{name}.json", single=True)
+    last = readers.latest_by_name(spark, f"{at}/*.json/part-*")
+    run = last.split("/")[-2]
+    found = readers.match_name(run[:6], [run, "other.json"])
+    return readers.report(spark, f"{at}/{found}").select("sample_id", "tp", "fp", "fn", F.lit(found).alias("run"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -635,6 +669,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         chunk_sensitivity, parse_responses, parse_label_lists, instruction_rows, chat_messages, training_chats,
         pairwise_comparison, holm_adjust, top_two, latex_table, checkpoint_selection, chunk_union, chunk_usage, label_vocabulary, literal_list,
         strategy_comparison, aligned_strategies, fp_rows, fn_rows, most_frequent_codes, term_list_frequency, evaluation, csv_round_trip, json_round_trip,
-        report_round_trip, mined_term_frequency, aligned_pairs,
+        report_round_trip, mined_term_frequency, aligned_pairs, length_quantiles, formatted_coverage, term_file_round_trip, latest_report,
     )
 }

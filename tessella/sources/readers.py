@@ -59,9 +59,10 @@ def report(spark: SparkSession, path: str) -> DataFrame:
 
 
 def files(spark: SparkSession, glob: str) -> DataFrame:
-    """path, name and modification time of the files; contents aren't read."""
+    """path, name and modification time of the files; contents aren't read. A part of a folder that Spark wrote has the folder's name."""
     df = spark.read.format("binaryFile").load(glob).select("path", "modificationTime")
-    return df.withColumn("name", F.element_at(F.split("path", "/"), -1))
+    steps = F.split("path", "/")
+    return df.withColumn("name", F.element_at(steps, F.when(F.startswith(F.element_at(steps, -1), F.lit("part-")), -2).otherwise(-1)))
 
 
 def latest_by_time(spark: SparkSession, glob: str) -> str | None:

@@ -69,6 +69,16 @@ def capped(df: DataFrame, by: list[str], order: list[str], most: int) -> DataFra
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rn") <= most).drop("_rn")
 
 
+def grouped(c: Column, digits: int = 0) -> Column:
+    """A number with commas between thousands, rounded half to even: Python's ``f"{x:,.0f}"``."""
+    return F.format_number(c, digits)
+
+
+def percent(c: Column, digits: int = 1) -> Column:
+    """A share as a percentage, rounded half to even: Python's ``f"{x:.1%}"``."""
+    return F.concat(F.replace(F.format_number(c * 100.0, digits), F.lit(","), F.lit("")), F.lit("%"))
+
+
 def latex_rows(df: DataFrame, name: str, values: list[str], digits: int = 3) -> DataFrame:
     """One LaTeX row each; the best of each value (rank 1) is bold."""
     one = Window.partitionBy(F.lit(0))

@@ -261,6 +261,23 @@ def test_permutations_against_a_plain_loop(spark):
     assert {r["tp_a_b_1"] + r["tp_a_b_2"] for r in resample.permutation_sums(odd, [("a", "b")], 5, 7).collect()} == {2}
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 1000, 9001])
+def test_numpy_swaps_are_the_stream_in_sequence(spark, n):
+    x = np.random.default_rng(n).integers(0, 5, (n, 6))
+    names = [f"{c}_{s}" for s in "ab" for c in ("tp", "fp", "fn")]
+    df = spark.createDataFrame([(i, *map(int, r)) for i, r in enumerate(x)], "pos long, " + ", ".join(f"{v} long" for v in names)).repartition(3)
+    stream, want = np.random.default_rng(42), {-1: [*x.sum(axis=0)]}
+    for it in range(60):
+        swap = stream.integers(0, 2, n).astype(bool)[:, None]
+        want[it] = [*np.where(swap, x[:, [3, 4, 5, 0, 1, 2]], x).sum(axis=0)]
+    sums = resample.permutation_sums(df, [("a", "b")], 60, 42, numpy_rows=n)
+    assert {r["iter"]: [r[f"{c}_a_b_{k}"] for k in (1, 2) for c in ("tp", "fp", "fn")] for r in sums.collect()} == want
+    p = resample.permutation_pvalues(sums, [("a", "b")], 60).first()["p_raw"]
+    f = lambda v: 2 * v[0] / max(1, 2 * v[0] + v[1] + v[2])
+    null = np.array([f(want[i][:3]) - f(want[i][3:]) for i in range(60)])
+    assert p == pytest.approx((np.sum(np.abs(null) >= abs(f(want[-1][:3]) - f(want[-1][3:]))) + 1) / 61)
+
+
 def test_numpy_draws(spark):
     rng = np.random.default_rng(0)
     rows = [("s", i, int(a), int(b), int(c)) for i, (a, b, c) in enumerate(rng.integers(0, 4, (50, 3)))]

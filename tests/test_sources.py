@@ -7,6 +7,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.sources import readers, writers
 
@@ -74,6 +75,12 @@ def test_best_checkpoint(spark, tmp_path, monkeypatch):
         readers.best_checkpoint(spark, at("bad.json"), at("gone"))
 
 
+def test_numbers_as_python_shows_them(spark):
+    values = [0.0, 0.25, 0.35, 0.125, 0.0005, 2.5, 3.5, 1234567.5, 999.995, 12.3456, 1e9 + 0.5, 0.99999, 10.0]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", writers.grouped(F.col("v")).alias("a"), writers.grouped(F.col("v"), 2).alias("b"), writers.percent(F.col("v")).alias("c")).collect()
+    assert [(r["a"], r["b"], r["c"]) for r in rows] == [(f"{v:,.0f}", f"{v:,.2f}", f"{v:.1%}") for v in values]
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "q", x\ny', ["F1", "F2"]), (2, "b", [])], "id int, t string, codes array<string>")
     flat = df.select("id", "t", writers.rendered_list(df["codes"]).alias("codes"))
