@@ -23,6 +23,20 @@ def chunk_texts(docs: DataFrame, text: str, size: int, overlap: int, carry: tupl
     return rows.select(*carry, F.when(F.col("w.total_chunks") == 1, F.col("_t")).otherwise(piece).alias("input"), F.col("w").alias("chunk_info"))
 
 
+def subword_texts(docs: DataFrame, text: str, ends: Column, size: int, overlap: int, carry: tuple[str, ...]) -> DataFrame:
+    """The windows of a tokenizer's own tokens with their text, cut from the document by ``ends``, the byte behind each token.
+
+    As ``chunk_texts``: a document of one window keeps its text, labels are carried to each window. Where a window begins
+    or ends within a character, its bytes show as the replacement character, as in a decoded run of tokens.
+    """
+    own = docs.select(*carry, F.coalesce(text, F.lit("")).alias("_t"), ends.alias("_e"))
+    rows = own.select(*carry, "_t", "_e", F.explode(window_spans(F.size("_e"), size, overlap)).alias("w"))
+    begin = F.coalesce(F.get("_e", (F.col("w.start_token") - 1).cast("int")), F.lit(0))
+    end = F.coalesce(F.get("_e", (F.col("w.end_token") - 1).cast("int")), F.lit(0))
+    piece = F.make_valid_utf8(F.substring(F.col("_t").cast("binary"), begin + 1, end - begin).cast("string"))
+    return rows.select(*carry, F.when(F.col("w.total_chunks") == 1, F.col("_t")).otherwise(piece).alias("input"), F.col("w").alias("chunk_info"))
+
+
 def chunk_stats(index: DataFrame, key: str) -> DataFrame:
     """Documents, windows, and shares of documents with one and with several: one row."""
     per = index.groupBy(key).agg(F.count(F.lit(1)).alias("n"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,31 @@ def token_ids(encode: Callable[[str], list[int]]) -> Callable[[Column], Column]:
     return run
 
 
+def byte_bpe_ends(path: str, pattern: str, most_bytes: int = 64 << 20) -> Callable[[Column], Column]:
+    """A Column function array<int>: the byte offset behind each token of a text, for a vocabulary of byte-level ranks.
+
+    ``path``: a file of ranks that the driver can read; its bytes (``most_bytes`` at most) go to the workers with the
+    function, which make their encoder once a task. ``pattern`` splits texts before they are merged. A null text has none.
+    """
+    with open(path, "rb") as f:
+        raw = f.read(most_bytes + 1)
+    if len(raw) > most_bytes:
+        raise ValueError(f"{path} has over {most_bytes} bytes")
+
+    @F.pandas_udf("array<int>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import tiktoken
+
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
+        size = np.zeros(max(ranks.values()) + 1, np.int64)
+        size[list(ranks.values())] = [len(t) for t in ranks]
+        encoder = tiktoken.Encoding("windows", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        for texts in parts:
+            yield texts.map(lambda t: np.cumsum(size[encoder.encode_ordinary(t)]).astype(np.int32) if t else np.zeros(0, np.int32))
+
+    return run
+
+
 def predict(df: DataFrame, key: str, text: str, load: Callable[[], Callable[[str], str]]) -> DataFrame:
     """(key, response, success): ``load`` is called once a task; a text that fails gets a null response."""
     kind = df.schema[key].dataType.simpleString()

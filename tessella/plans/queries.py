@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import metrics as M
 from ..functions import text as X
-from ..operators import chunk, cohort, keywords, quantiles, rank, resample, score, term_automaton
+from ..operators import chunk, cohort, hooks, keywords, quantiles, rank, resample, score, term_automaton
 from ..session import table
 from ..sources import readers, scratch, writers
 from . import projections as P
@@ -206,6 +206,15 @@ def chunk_label_inflation(spark, sf):
     return _r6("ratio")(chunk.label_inflation(own, "codes", F.col("k")))
 
 
+def subword_windows(spark, sf):
+    """Windows of a public vocabulary's tokens. SQL has no such tokens; tests hold it against a plain loop."""
+    import public_tokenizers
+
+    ends = hooks.byte_bpe_ends(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    out = chunk.subword_texts(_docs(spark, sf), "text", ends(F.col("text")), SIZE, OVERLAP, ("doc_id",))
+    return out.select("doc_id", "chunk_info.*", F.md5("input").alias("input_md5"))
+
+
 def section_positions(spark, sf):
     return _r6("found_pct", "mean_position", "median_position", "within_pct")(keywords.section_positions(P.annotated(spark, sf), "text_ann", X.SECTIONS, SIZE))
 
@@ -670,5 +679,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         pairwise_comparison, holm_adjust, top_two, latex_table, checkpoint_selection, chunk_union, chunk_usage, label_vocabulary, literal_list,
         strategy_comparison, aligned_strategies, fp_rows, fn_rows, most_frequent_codes, term_list_frequency, evaluation, csv_round_trip, json_round_trip,
         report_round_trip, mined_term_frequency, aligned_pairs, length_quantiles, formatted_coverage, term_file_round_trip, latest_report,
+        subword_windows,
     )
 }
