@@ -3,7 +3,9 @@
 Templates and texts are sequences of normalised words (lower-cased runs of letters and digits). Of each ``WINNOW``
 neighbouring ``GRAM``-word hashes the least is a fingerprint, so that every shared run of GRAM + WINNOW - 1 words
 shares one. Fingerprints of the templates make an inverted index; a text's hits name candidates, and the template is
-aligned to the words round its hits within a band. A match is reported if enough of the template is found in order.
+aligned to the words round its hits within a band. A match is reported if enough of the template is found in order, and
+if nothing in the matched words tells of another license: its clauses (non-commercial, Affero, ...) must be those of the
+template, and the numbers that stand for a version there must be the template's, though some may be missing.
 The templates are a fixed, short list (a parameter); texts are read once and nothing is shuffled.
 
 Defined results: null, empty and clean texts have no rows; where matches overlap, the one with most matched words
@@ -31,6 +33,13 @@ GRAM = 3
 WINNOW = 2
 COVERAGE = 0.8
 
+#: Words that tell licenses of one family apart, those that a version's number follows, and such numbers; fixed values.
+CLAUSES = "nc nd sa noncommercial noderivatives noderivs sharealike affero lesser library".split()
+BEFORE_VERSION = "version v by nc nd sa attribution noncommercial noderivatives noderivs sharealike license licence cc0 gpl lgpl agpl mpl".split()
+VERSIONS = [str(i) for i in range(1, 21)]
+#: The terms of Creative Commons licenses by their short names; fixed values.
+_CC = {"BY": "", "BY-SA": "-ShareAlike", "BY-NC": "-NonCommercial", "BY-ND": "-NoDerivatives", "BY-NC-SA": "-NonCommercial-ShareAlike", "BY-NC-ND": "-NonCommercial-NoDerivatives"}
+
 #: Common public notices, whole; fixed values. The sentences that several share stand first.
 _BSD_HEAD = (
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
@@ -50,10 +59,10 @@ _BSD_END = (
     "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
 _GNU = (
-    "This program is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {name}General Public License as published by the "
-    "Free Software Foundation{either} version {version} of the License, or (at your option) any later version. This program is distributed in the hope that it "
+    "This {what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {name}General Public License as published by the "
+    "Free Software Foundation{either} version {version} of the License, or (at your option) any later version. This {what} is distributed in the hope that it "
     "will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
-    "{name}General Public License for more details. You should have received a copy of the GNU {name}General Public License along with this program{end}"
+    "{name}General Public License for more details. You should have received a copy of the GNU {name}General Public License along with this {what}{end}"
 )
 _SEE = ". If not, see https://www.gnu.org/licenses/."
 _WRITE = "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
@@ -66,21 +75,19 @@ TEMPLATES = {
         "either express or implied. See the License for the specific language governing permissions and limitations under the License."
     ),
     "AGPL-3.0 line": "This work is licensed under the GNU Affero General Public License, version 3.",
-    "AGPL-3.0 notice": _GNU.format(mark=":", name="Affero ", either=", either", version=3, end=_SEE),
+    "AGPL-3.0 notice": _GNU.format(what="program", mark=":", name="Affero ", either=", either", version=3, end=_SEE),
     "BSD-2-Clause": _BSD_HEAD + _BSD_END,
     "BSD-3-Clause": _BSD_HEAD + _BSD_THIRD + _BSD_END,
-    "CC-BY-4.0 line": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0 line": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0 line": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    **{f"CC-{short}-4.0 line": f"Licensed under CC {short} 4.0." for short in _CC},
+    **{f"CC-{short}-4.0 notice": f"This work is licensed under a Creative Commons Attribution{terms} 4.0 International License." for short, terms in _CC.items()},
     "CC0-1.0 notice": (
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. "
         "This work is published under the CC0 1.0 Universal Public Domain Dedication."
     ),
     "GPL-2.0 line": "This work is licensed under the GNU General Public License, version 2.",
-    "GPL-2.0 notice": _GNU.format(mark=";", name="", either="; either", version=2, end=_WRITE),
+    "GPL-2.0 notice": _GNU.format(what="program", mark=";", name="", either="; either", version=2, end=_WRITE),
     "GPL-3.0 line": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0 notice": _GNU.format(mark=":", name="", either=", either", version=3, end=_SEE),
+    "GPL-3.0 notice": _GNU.format(what="program", mark=":", name="", either=", either", version=3, end=_SEE),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
         'copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD '
@@ -88,9 +95,9 @@ TEMPLATES = {
         "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE "
         "OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
     ),
-    "LGPL-2.1 notice": _GNU.format(mark=";", name="Lesser ", either="; either", version="2.1", end=_WRITE),
+    "LGPL-2.1 notice": _GNU.format(what="library", mark=";", name="Lesser ", either="; either", version="2.1", end=_WRITE),
     "LGPL-3.0 line": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "LGPL-3.0 notice": _GNU.format(mark=":", name="Lesser ", either=", either", version=3, end=_SEE),
+    "LGPL-3.0 notice": _GNU.format(what="program", mark=":", name="Lesser ", either=", either", version=3, end=_SEE),
     "MIT line": "Released under the MIT License.",
     "MIT": (
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
@@ -108,7 +115,14 @@ TEMPLATES = {
     ),
     "Unlicense": (
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute "
-        "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+        "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the "
+        "public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this "
+        "dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN "
+        "ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. "
+        "For more information, please refer to https://unlicense.org"
     ),
 }
 
@@ -132,6 +146,49 @@ def winnow(keys: np.ndarray, at: np.ndarray, row: np.ndarray, width: int = WINNO
     return np.flatnonzero(picked)
 
 
+def _hashed(words: list[str]) -> np.ndarray:
+    data, offsets = text_bytes(pa.array(words, pa.string()))
+    return hashes(data, offsets[:-1], offsets[1:])
+
+
+def dotted(data: np.ndarray, s) -> np.ndarray:
+    """Whether a full stop alone stands between each word and the one before, as within a version."""
+    out = np.zeros(len(s), bool)
+    if len(s):
+        out[1:] = (s.starts[1:] - s.ends[:-1] == 1) & (data[s.starts[1:] - 1] == 0x2E)
+    return out
+
+
+class Marks:
+    """What tells licenses of a family apart in a run of words: its clauses, and the numbers of versions in order."""
+
+    def __init__(self):
+        self.clauses, self.before, self.versions = _hashed(CLAUSES), _hashed(BEFORE_VERSION), _hashed(VERSIONS)
+        self.zero = _hashed(["0"])[0]
+
+    def of(self, words: np.ndarray, stops: np.ndarray, lo: int, hi: int, before: int = 0, after: int = 0) -> tuple[set[int], list[int]]:
+        """Clauses of the words from ``lo`` to ``hi``; versions in these, in ``before`` and ``after`` more words, and in a
+        version's further digits behind them. A 0 says nothing."""
+        clauses = set(words[lo:hi][np.isin(words[lo:hi], self.clauses)].tolist())
+        lo, hi = max(0, lo - before), min(len(words), hi + after)
+        number = np.isin(words[lo : hi + 2], self.versions) | (words[lo : hi + 2] == self.zero)
+        found, last = [], False
+        for i, is_number in enumerate(number.tolist()):
+            at = lo + i
+            if at >= hi and not (last and stops[at]):
+                break
+            last = is_number and (last and bool(stops[at]) or at > 0 and bool(np.isin(words[at - 1], self.before)))
+            if last and words[at] != self.zero:
+                found.append(int(words[at]))
+        return clauses, found
+
+    @staticmethod
+    def agree(text: tuple[set[int], list[int]], template: tuple[set[int], list[int]]) -> bool:
+        """The same clauses, and no number in the text that the template lacks there."""
+        rest = iter(template[1])
+        return text[0] == template[0] and all(x in rest for x in text[1])
+
+
 class Index:
     """Fingerprint -> (template, place) of the templates."""
 
@@ -147,12 +204,14 @@ class Index:
         own, first = np.unique(keys[order], return_index=True)
         self.first, self.template, self.place = np.append(first, len(order)), row[order], (at - self.rows[row])[order]
         self.find = HashIndex(own).find
+        self.marks, stops = Marks(), dotted(data, s)
+        self.marked = [self.marks.of(self.of(t), stops[self.rows[t] : self.rows[t + 1]], 0, len(self.of(t))) for t in range(len(self.names))]
 
     def of(self, t: int) -> np.ndarray:
         return self.words[self.rows[t] : self.rows[t + 1]]
 
 
-def find(words: np.ndarray, rows: np.ndarray, index: Index, coverage: float) -> list[tuple[int, int, int, int, int]]:
+def find(words: np.ndarray, rows: np.ndarray, index: Index, coverage: float, stops: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(row, template, matched words, first word, end word) of the matches in these texts, without overlaps."""
     keys, at = windows(words, rows, GRAM)
     row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))[at]
@@ -175,8 +234,9 @@ def find(words: np.ndarray, rows: np.ndarray, index: Index, coverage: float) ->
                 begins = [g[1] for g in group]
                 lo, hi = max(int(rows[r]), begins[0] - pad), min(int(rows[r + 1]), begins[-1] + n + pad)
                 width = pad + (begins[-1] - begins[0]) // 2 + 1
-                got, _, _, b0, b1 = local_alignment(template, words[lo:hi], (begins[0] + begins[-1]) // 2 - lo, width)
-                if got >= coverage * n:
+                got, a0, a1, b0, b1 = local_alignment(template, words[lo:hi], (begins[0] + begins[-1]) // 2 - lo, width)
+                r0, r1 = int(rows[r]), int(rows[r + 1])
+                if got >= coverage * n and Marks.agree(index.marks.of(words[r0:r1], stops[r0:r1], lo + b0 - r0, lo + b1 - r0, a0, n - a1), index.marked[t]):
                     found[r].append((got, t, lo + b0 - int(rows[r]), lo + b1 - int(rows[r])))
                 group = []
             if x:
@@ -200,7 +260,7 @@ def scan(docs: DataFrame, carry: list[str], text_col: str = "text", templates: d
         for b in row_slices(batches, "_text"):
             data, offsets = text_bytes(pc.utf8_lower(b.column("_text")))
             s = spans(data, offsets, NOT_WORD)
-            found = find(hashes(data, s.starts, s.ends), s.rows, index, coverage)
+            found = find(hashes(data, s.starts, s.ends), s.rows, index, coverage, dotted(data, s))
             if not found:
                 continue
             raw, raw_at = text_bytes(b.column("_text"))

@@ -321,6 +321,25 @@ def test_license_spans(spark):
     assert op08_license_scan.scan(spark.createDataFrame([], SCHEMA), ["doc_id"]).count() == 0
 
 
+def test_look_alikes_are_named_rightly(spark):
+    cases = {
+        "Licensed under CC BY-ND 4.0.": "CC-BY-ND-4.0", "Licensed under CC BY-NC-ND 4.0": "CC-BY-NC-ND-4.0", "Licensed under CC BY 4.0": "CC-BY-4.0", "Licensed under CC BY 3.0": None,
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "CC-BY-NC-4.0",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License": "CC-BY-ND-4.0",
+        "This work is licensed under a Creative Commons Attribution 3.0 International License.": None,
+        "This work is licensed under the GNU General Public License, version 1.": None, "This work is licensed under the GNU General Public License, version 2.1": None,
+        "This work is licensed under the GNU General Public License, version 2.0. It": "GPL-2.0", "This work is licensed under the GNU General Public License, version 2. 1. First": "GPL-2.0",
+        "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0", "Licensed under the Apache License, Version 1.1.": None,
+        op08_license_scan.TEMPLATES["LGPL-2.1 notice"]: "LGPL-2.1", op08_license_scan.TEMPLATES["Unlicense"]: "Unlicense",
+    }
+    rows = [(i, f"some words before it here. {text}") for i, text in enumerate(cases)]
+    got = defaultdict(set)
+    for r in op08_license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect():
+        got[r["doc_id"]].add(r["license"].split(" ")[0])
+    assert [got.get(i) for i, _ in rows] == [None if x is None else {x} for x in cases.values()]
+    assert "This library is free software" in op08_license_scan.TEMPLATES["LGPL-2.1 notice"]
+
+
 def test_license_spans_against_every_alignment(spark):
     """Each template aligned to each whole text, without index and band."""
     rng = np.random.default_rng(14)
