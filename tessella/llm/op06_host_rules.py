@@ -9,7 +9,8 @@ prior that is fitted to all hosts (method of moments), and the hosts' verdicts a
 * base failures go everywhere.
 
 Defined results: a null or empty text has no words and fails the base rules. Null hosts are one host. Repeated rows are
-measured and counted each. An empty table gives an empty result. Columns of the input named like results are ignored.
+measured and counted each. There are no ties: rates are compared with bounds, not with each other. A very long text is
+measured whole, some tens of bytes of a task's memory for each of its bytes. An empty table gives an empty result. Columns of the input named like results are ignored.
 """
 
 from __future__ import annotations

@@ -1,4 +1,4 @@
-"""The pipeline's stages against their operators and against brute force, each on its own input."""
+"""The pipeline's stages against the operators that they call, each on its own input; the operators have brute force in the other files."""
 
 import re
 from collections import Counter
