@@ -1,7 +1,12 @@
 """A corpus pipeline of five operators of tessella.llm.
 
 Each stage takes (spark, docs, sf_dir) and returns the rows that go on; all but the last keep the columns of
-documents. Every stage works on all rows it gets and takes nulls, empty and repeated rows as its operator says.
+documents. Every stage works on all rows it gets. Documents with a null or empty text fail the quality rules and go with the first
+stage. Rows that repeat are one class of near duplicates, of which one row stays; the mix may then take a document up to
+twice, as rows of its own. Ties go as the operators say: the kept one of a class, the documents of one length in the mix
+and the order of equal texts in a shard are decided by seeded hashes and ids. Very long texts are worked on whole in every
+stage. An empty table gives an empty result with the same columns. Extra columns of ``documents`` are carried by all
+stages but the last, whatever their names; the last one carries what its operator and the text have.
 """
 
 from __future__ import annotations
