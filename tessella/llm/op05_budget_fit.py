@@ -12,7 +12,7 @@
 Defined results: a null text has size 0; null sources are one source, last in order; documents of size 0 are taken
 with the whole passes and their like share; repeated rows are documents of their own (which of several equal rows is
 taken does not show); null ids are told apart by their texts; of a very long text only its length and hash are used (the
-dynamic program's table grows with the longest document); an empty table gives an empty result. Columns that aren't
+dynamic program holds four bytes and a few bits for each sum up to five times the longest document, or 1.3 million); an empty table gives an empty result. Columns that aren't
 named by the caller are carried by ``mixed`` and ignored by ``mix``, whatever their names.
 """
 
@@ -22,6 +22,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,18 +66,22 @@ def knapsack(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list
     """How many of each length to take: of all sums that can be made, the one nearest to ``budget`` (the lower of two).
 
     ``reach`` has bit s set if the sum s can be made; sums beyond budget + longest length can't be nearest. Counts are
-    split into powers of two, so that an item is either taken or not; the tables before each item lead back from the
-    best sum to the items. It ends early once the budget itself can be met.
+    split into powers of two, so that an item is either taken or not. Each sum keeps the step that first made it: what
+    that step added to was made by earlier ones, so that these lead back from the best sum to the items. It ends early
+    once the budget itself can be met.
     """
     taken, most = [0] * len(lengths), budget + max(lengths, default=0)
-    reach, steps, mask = 1, [], (1 << most + 1) - 1
+    reach, mask = 1, (1 << most + 1) - 1
+    steps: list[tuple[int, int]] = []
+    made_by = np.full(most + 1, -1, np.int32)
     for i, (length, count) in enumerate(zip(lengths, counts, strict=True)):
         part, left = 1, min(count, most // length) if length > 0 else 0
         while left > 0 and not reach >> budget & 1:
             part = min(part, left)
             more = reach | reach << part * length & mask
             if more != reach:
-                steps.append((i, part, reach))
+                made_by[_set_bits(more ^ reach)] = len(steps)
+                steps.append((i, part))
                 reach = more
             left -= part
             part *= 2
@@ -85,13 +90,21 @@ def knapsack(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list
     at, above = (reach & (1 << budget + 1) - 1).bit_length() - 1, reach >> budget + 1
     if above and (above & -above).bit_length() < budget - at:
         at = budget + (above & -above).bit_length()
-    for i, part, before in reversed(steps):
-        if not before >> at & 1:
-            taken[i] += part
-            at -= part * lengths[i]
+    while at:
+        i, part = steps[made_by[at]]
+        taken[i] += part
+        at -= part * lengths[i]
     return taken
 
 
+def _set_bits(number: int) -> np.ndarray:
+    """The places of a number's bits that are set."""
+    octets = np.frombuffer(number.to_bytes(number.bit_length() + 7 >> 3, "little"), np.uint8)
+    full = np.flatnonzero(octets)
+    of, bit = np.nonzero(np.unpackbits(octets[full, None], axis=1, bitorder="little"))
+    return full[of] * 8 + bit
+
+
 def fit(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
     """How many documents of each length come nearest to ``budget`` words in all."""
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))

@@ -217,6 +217,8 @@ def more_pairs(member: DataFrame, labels: DataFrame, tested: DataFrame, turn: in
 def left_cells(member: DataFrame, labels: DataFrame) -> DataFrame:
     """(bucket, x, z, side, k, of): the members of buckets whose texts aren't all in one class, in each cell (x, z) of
     their block ``side``, so that any two members of a bucket meet in a cell; of: a text's class."""
+    # the one pair of a bucket of two is settled: it was tested with its hub, or its sizes rule it out
+    member = member.where("n > 2")
     own = member.join(labels.hint("merge"), member["k"] == labels["node"], "left").select("bucket", "k", "blocks", F.coalesce("label", "k").alias("of"))
     mixed = own.groupBy("bucket").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi")
     own = own.join(cut(mixed.select("bucket"), dealt=True).hint("merge"), "bucket")

@@ -1,6 +1,7 @@
 """Sharding, mixing and quality rules against brute force."""
 
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -171,6 +172,18 @@ def test_knapsack_against_brute_force():
         assert all(0 <= t <= c for t, c in zip(took, counts))
         assert sum(t * n for t, n in zip(took, lengths)) == brute_reach(lengths, counts, budget)
 
+def test_knapsack_memory():
+    """2,000 lengths of 1.8 million words: one number for each sum, not a table for each step."""
+    lengths = list(range(1_802_000, 1_800_000, -1))
+    budget = 7_000_001
+    tracemalloc.start()
+    took = op05_budget_fit.knapsack(lengths, [1] * len(lengths), budget)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20 and set(took) <= {0, 1}
+    # the four shortest are nearer than the three longest
+    assert [n for n, k in zip(lengths, took) if k] == [1_800_004, 1_800_003, 1_800_002, 1_800_001]
+
 
 def fill_targets(sizes, weights, budget, max_repeats=2):
     """Shares by weight, none over its most; the excess is shared again."""
