@@ -11,8 +11,9 @@ how they are dealt. Templates that occur in at least ``min_docs`` documents are
 
 How it is spread: every task first merges its equal lines, so that a line that is everywhere is one row for each slice
 of texts. Rows are dealt by leaf; of a leaf with many rows by leaf and the first bits of the line's hash, and these
-parts' templates (never lines) are merged level by level, ``FAN`` bits at a time, by the very same steps. Leaves whose
-lines can't recur aren't grown. Exact document counts then come from joins on line hashes.
+parts' templates (never lines) are merged level by level, ``FAN`` bits at a time, by the very same steps. Templates meet by
+an index over blocks of places, not in a matrix of all; the last step holds all templates of its leaf, at some 200 bytes
+each (for twelve tokens), and its time grows with those that share a block. Leaves whose lines can't recur aren't grown. Exact document counts then come from joins on line hashes.
 
 Defined results: null and empty texts have no lines and stay as they are; lines without words always stay; a document
 all of whose lines are dropped becomes an empty text; repeated rows and equal texts are documents of their own, so
@@ -24,6 +25,7 @@ gives an empty result. Columns other than id and text aren't looked at, whatever
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,8 @@ LEAF_ROWS = 20_000
 FAN = 4
 #: Token places that are compared at once.
 CELLS = 4_000_000
+#: Up to so many token places templates are compared without an index; this changes no result.
+FEW_CELLS = 500_000
 WILD = np.uint64(0x2A2A2A2A2A2A2A2A)
 WILD_TOKEN = np.int32(WILD.astype(np.uint32).view(np.int32))
 
@@ -110,15 +114,86 @@ def distinct_lines(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def _agreement(one: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """other x one: places with equal tokens, and half of those where either has a variable field."""
-    out = np.empty((len(other), len(one)))
-    wild = one == WILD_TOKEN
-    step = max(1, CELLS // max(1, one.size))
-    for lo in range(0, len(other), step):
-        mine = other[lo : lo + step, None, :]
-        free = wild[None] | (mine == WILD_TOKEN)
-        out[lo : lo + step] = ((one[None] == mine) & ~free).sum(axis=2) + 0.5 * free.sum(axis=2)
-    return out
+    """Places (the last axis) with equal tokens, and half of those where either has a variable field."""
+    free = (one == WILD_TOKEN) | (other == WILD_TOKEN)
+    return ((one == other) & ~free).sum(axis=-1) + 0.5 * free.sum(axis=-1)
+
+
+def nearest(one: np.ndarray, other: np.ndarray, need: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each template of ``other``: the first of those of ``one`` that it agrees with best, and whether that is enough.
+
+    Which is the first is only told where it is enough. Few templates are compared with each other, many by an index.
+    """
+    pairs = None if one.size * len(other) <= FEW_CELLS else _sharing(one, other, need)
+    best, most = np.zeros(len(other), np.int64), np.full(len(other), -1.0)
+    if pairs is None:
+        step = max(1, CELLS // max(1, one.size))
+        for lo in range(0, len(other), step):
+            alike = _agreement(one[None], other[lo : lo + step, None])
+            best[lo : lo + step], most[lo : lo + step] = alike.argmax(axis=1), alike.max(axis=1)
+        return best, most >= need
+    for left, right, begin, count in pairs:
+        ends = np.concatenate([[0], np.cumsum(count)])
+        lo = 0
+        while lo < len(right):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + CELLS // one.shape[1], "right")) - 1)
+            x = left[np.arange(ends[hi] - ends[lo]) + np.repeat(begin[lo:hi] - (ends[lo:hi] - ends[lo]), count[lo:hi])]
+            y = np.repeat(right[lo:hi], count[lo:hi])
+            alike = _agreement(one[x], other[y])
+            order = np.lexsort((x, -alike, y))
+            order = order[np.append(True, y[order][1:] != y[order][:-1])[: len(order)]]
+            x, y, alike = x[order], y[order], alike[order]
+            more = (alike > most[y]) | ((alike == most[y]) & (x < best[y]))
+            best[y[more]], most[y[more]] = x[more], alike[more]
+            lo = hi
+    return best, most >= need
+
+
+def _sharing(one: np.ndarray, other: np.ndarray, need: float) -> list[tuple] | None:
+    """An index of the pairs that may agree in ``need`` places, or None if it would name as many as there are.
+
+    A place that differs costs 1 and a variable field 1/2, of what may be lost. The places in which not all templates
+    have the same token are dealt to one block more than whole places may differ, so that no place of some block
+    differs: a pair has equal tokens there but for the variable fields of either. Templates are looked up by block and
+    by where they have variable fields. Given are (places in ``one``, places in ``other``, and for each of the latter
+    where its partners begin and how many there are).
+    """
+    size = one.shape[1]
+    same = (one == one[0]).all(axis=0) & (other == one[0]).all(axis=0)
+    lost = size - need + 1e-9 - 0.5 * (one[0][same] == WILD_TOKEN).sum()
+    places, blocks = np.flatnonzero(~same), int(np.floor(lost)) + 1
+    if blocks <= 0:
+        return []
+    if blocks > len(places):
+        return None
+    # those with most different tokens are dealt first, each to its own block
+    kinds = np.array([len(np.unique(one[:, p])) + len(np.unique(other[:, p])) for p in places])
+    places = places[np.argsort(-kinds, kind="stable")]
+    salt = mix(np.arange(size, dtype=np.uint64) + _STEP) | np.uint64(1)
+    found, named, every = [], 0, len(one) * len(other)
+    for b in range(blocks):
+        cols = places[b::blocks]
+        sides = []
+        for side in (one, other):
+            wild = side[:, cols] == WILD_TOKEN
+            _, first, at = np.unique((wild * salt[cols]).sum(axis=1, dtype=np.uint64), return_index=True, return_inverse=True)
+            token = side[:, cols].astype(np.uint32).astype(np.uint64) * salt[cols]
+            sides.append([(wild[f], np.flatnonzero(at == i), token) for i, f in enumerate(first)])
+        named += len(sides[0]) * len(sides[1]) * 64
+        if named > every:
+            return None
+        for (wild, left, mine), (free, right, theirs) in product(*sides):
+            use = ~(wild | free)
+            key, want = mix(mine[left][:, use].sum(axis=1, dtype=np.uint64)), mix(theirs[right][:, use].sum(axis=1, dtype=np.uint64))
+            order = np.argsort(key, kind="stable")
+            begin = np.searchsorted(key[order], want, "left")
+            count = np.searchsorted(key[order], want, "right") - begin
+            named += int(count.sum())
+            if named > every:
+                return None
+            some = np.flatnonzero(count)
+            found.append((left[order], right[some], begin[some], count[some]))
+    return found
 
 
 def grown(ids: np.ndarray, tokens: np.ndarray, bits: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -138,9 +213,7 @@ def grown(ids: np.ndarray, tokens: np.ndarray, bits: int, similarity: float) ->
         bit = np.uint64(differ.bit_length() - 1)
         mid = int(np.searchsorted(key[lo:hi], key[hi - 1] >> bit << bit)) + lo
         one, other = node(lo, mid), node(mid, hi)
-        alike = _agreement(templates[one], templates[other])
-        best = alike.argmax(axis=1)
-        joins = alike[np.arange(len(other)), best] >= need
+        best, joins = nearest(templates[one], templates[other], need)
         for x, y in zip(one[best[joins]].tolist(), other[joins].tolist(), strict=True):
             templates[x][templates[x] != templates[y]] = WILD_TOKEN
             into[y] = x

@@ -1,6 +1,7 @@
 """Decontamination, line templates, license spans and co-training against brute force."""
 
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -279,6 +280,47 @@ def test_large_leaf_by_parts(spark, monkeypatch):
         assert got == {i: int(masked(t) in gone) for i, t in rows}, (leaf_rows, size)
 
 
+def test_index_of_templates_gives_what_comparing_all_gives(monkeypatch):
+    rng = np.random.default_rng(5)
+    wild = op04_log_templates.WILD_TOKEN
+    indexed = joined = 0
+    for _ in range(300):
+        size, kinds = int(rng.integers(1, 26)), int(rng.choice([2, 8, 50]))
+        one, other = (rng.integers(0, kinds, (int(rng.integers(1, 120)), size)).astype(np.int32) for _ in range(2))
+        for j in np.flatnonzero(rng.random(len(other)) < 0.7):
+            other[j] = one[rng.integers(len(one))]
+            other[j, rng.integers(0, size, rng.integers(0, size // 3 + 1))] = rng.integers(0, kinds)
+        share = rng.choice([0, 0.01, 0.1])
+        for side in (one, other):
+            side[:, :3] = 7
+            side[rng.random(side.shape) < share] = wild
+        if rng.random() < 0.2:  # a leaf with a variable field ahead
+            one[:, 0] = other[:, 0] = wild
+        need = 0.75 * size
+        monkeypatch.setattr(op04_log_templates, "FEW_CELLS", 1 << 40)
+        best, enough = op04_log_templates.nearest(one, other, need)
+        monkeypatch.setattr(op04_log_templates, "FEW_CELLS", -1)
+        monkeypatch.setattr(op04_log_templates, "CELLS", int(rng.choice([10, 1 << 20])))
+        found, some = op04_log_templates.nearest(one, other, need)
+        assert (enough == some).all() and (best[enough] == found[enough]).all()
+        indexed += op04_log_templates._sharing(one, other, need) is not None
+        joined += int(enough.sum())
+    assert indexed > 50 and joined > 1000
+
+
+def test_diverse_leaf_in_bounded_memory():
+    """A leaf of lines that don't merge: no matrix of all templates."""
+    rng = np.random.default_rng(6)
+    tokens = rng.integers(0, 30_000, (40_000, 12)).astype(np.int32)
+    tokens[:, :3] = 5
+    ids = np.sort(rng.integers(-(2**63), 2**63 - 1, len(tokens)))
+    tracemalloc.start()
+    into, _ = op04_log_templates.grown(ids, tokens, 64, 0.75)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (into == np.arange(len(tokens))).all() and peak < 100 << 20
+
+
 def test_long_lines_recur_from_two_texts_on(spark):
     long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
     rows = [(1, f"{long}\nfirst text"), (2, f"second text\n{long}"), (3, "copy " + long.replace("worda", "other")), (4, "copy " + long.replace("worda", "other"))]
