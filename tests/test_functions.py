@@ -323,3 +323,49 @@ def test_first_patient_that_is_known(spark):
     dx = spark.createDataFrame(rows, "hadm_id long, subject_id long, seq_num int, icd_code string")
     got = {r["hadm_id"]: (r["subject_id"], r["f_codes_str"]) for r in cohort.grouped_codes(dx).collect()}
     assert got == {1: (7, "F10, F20, F30"), 2: (None, "F10")}
+
+
+def test_multinomial_sums(spark):
+    import numpy as np
+
+    rows = [(k % 5, -(k % 3), 1) for k in range(3000)] + [(9, 4, 1)] * 1500 + [(k, 2 * k, 1) for k in range(2000)] + [(None, None, 1)]
+    df = spark.createDataFrame(rows, "a long, b long, one long")
+    values = ["a", "b", "one"]
+    got = {r["iter"]: (r["a"], r["b"], r["one"]) for r in resample.multinomial_sums(df.repartition(7), values, 1500, 3, parts=8).collect()}
+    assert set(got) == set(range(1500)) and {x[2] for x in got.values()} == {len(rows)}
+    again = resample.multinomial_sums(df.coalesce(1), values, 1500, 3, parts=8).collect()
+    assert got == {r["iter"]: (r["a"], r["b"], r["one"]) for r in again}
+    other = resample.multinomial_sums(df, values, 1500, 4, parts=8).collect()
+    assert got != {r["iter"]: (r["a"], r["b"], r["one"]) for r in other}
+    x = np.array([[0 if v is None else v for v in r[:2]] for r in rows], dtype=float)
+    sums = np.array([v[:2] for _, v in sorted(got.items())], dtype=float)
+    spread = np.cov(x.T, bias=True) * len(rows)
+    assert (np.abs(sums.mean(axis=0) - x.sum(axis=0)) < 5 * np.sqrt(np.diag(spread) / 1500)).all()
+    assert np.allclose(np.cov(sums.T) / spread, 1, atol=0.2)
+
+
+def test_multinomial_counts_are_those_of_plain_draws(spark):
+    """Four rows of one draw each: all 4^4 outcomes by their exact probability."""
+    from math import factorial
+
+    df = spark.createDataFrame([(1,), (10,), (100,), (1000,)], "v long")
+    found = [r["v"] for r in resample.multinomial_sums(df, ["v"], 40000, 11, parts=2).collect()]
+    for counts in [(1, 1, 1, 1), (4, 0, 0, 0), (0, 0, 0, 4), (2, 2, 0, 0), (0, 1, 3, 0), (2, 0, 1, 1)]:
+        p = factorial(4) / 4**4
+        for c in counts:
+            p /= factorial(c)
+        share = found.count(sum(c * 10**k for k, c in enumerate(counts))) / 40000
+        assert abs(share - p) < 5 * (p * (1 - p) / 40000) ** 0.5
+
+
+def test_multinomial_sums_of_few_rows(spark):
+    import pytest
+
+    empty = spark.createDataFrame([], "a long")
+    assert resample.multinomial_sums(empty, ["a"], 5, 1).collect() == []
+    one = spark.createDataFrame([(7, "x")], "a long, v0 string")
+    assert sorted(tuple(r) for r in resample.multinomial_sums(one, ["a"], 3, 1).collect()) == [(0, 7), (1, 7), (2, 7)]
+    nulls = spark.createDataFrame([(None,)] * 3, "a long")
+    assert {tuple(r) for r in resample.multinomial_sums(nulls, ["a"], 2, 1).collect()} == {(0, 0), (1, 0)}
+    with pytest.raises(ValueError):
+        resample.multinomial_sums(spark.createDataFrame([(1 << 62,), (1,)], "a long"), ["a"], 2, 1)
