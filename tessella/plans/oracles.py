@@ -6,7 +6,8 @@ from ..functions.labels import CATEGORIES, CHAPTERS, SUBSTANCES
 from ..functions.text import HEADER_STEMS, SECTIONS, STOP_WORDS
 from ..operators.keywords import ABBREVIATIONS, BRANDS, INDICATORS, noise_words
 from ..operators.rank import RARITY
-from .projections import LONG_TERMS, STRATEGIES, TERMS
+from .evaluate import STRATEGIES as EVALUATED
+from .projections import LONG_TERMS, STRATEGIES, SYSTEMS, TERMS
 from ..operators.resample import MASK, MULTIPLIERS, seed_base
 from .queries import DRAWS, GAP_DRAWS, OVERLAP, PERMUTATIONS, SIZE
 
@@ -167,6 +168,34 @@ def _extract() -> str:
       CASE WHEN length(trim(x))<100 THEN length(text) ELSE length(x) END::bigint AS extracted_length FROM j"""
 
 
+#: The windows of all notes with codes.
+_PIECES = r"""SELECT hadm_id, CASE WHEN total_chunks=1 THEN chunks.text ELSE array_to_string(regexp_extract_all(chunks.text, '\S+')[start_token+1:end_token], ' ') END AS piece
+      FROM cohort JOIN chunks ON doc_id=hadm_id"""
+
+
+def _evaluations() -> str:
+    kinds = ", ".join(f"({_s(s.short_name)}, {s.keywords}, {s.checked}, {s.failed_chunks}::bigint)" for s in EVALUATED)
+    return _with("cohort chunks", """SELECT strategy, hadm_id AS sample_id, subject_id, num_chunks, success, array_to_string(list_sort(p),'; ') AS predicted_codes, tp, len(p)-tp AS fp, len(a)-tp AS fn, round(2.0*tp/(len(a)+len(p)),6)::double AS f1
+      FROM (SELECT *, len(list_intersect(a,p))::bigint AS tp FROM (SELECT strategy, success, CASE WHEN success THEN c ELSE failed END AS num_chunks, p, cohort.hadm_id, subject_id, list_distinct(string_split(f_codes_str,', ')) AS a FROM found JOIN cohort USING (hadm_id)))""",
+      ext=_extract(), pieces=f"SELECT hadm_id, false AS keyed, length(piece) AS n FROM ({_PIECES}) UNION ALL SELECT hadm_id, true, extracted_length FROM cohort JOIN ext ON doc_id=hadm_id",
+      st=f"SELECT * FROM (VALUES {kinds}) v(strategy, keyed, checked, failed)",
+      found="""SELECT strategy, hadm_id, failed, bool_or(n%7<>0) AS success, count(*)::bigint AS c,
+        list_distinct(flatten(list(CASE WHEN n%7=0 THEN [] WHEN checked THEN ['F'||lpad((n%40)::varchar,2,'0')] ELSE ['F'||lpad((n%40)::varchar,2,'0'), 'E'||(n%10)::varchar] END))) AS p FROM pieces JOIN st USING (keyed) GROUP BY ALL""")
+
+
+def _factorial() -> str:
+    cells = ", ".join(f"({_s(t)}, {step}, {_s(e)}, {len(system) + 1})" for t, step in (("cot", 37), ("simple", 23)) for e, system in SYSTEMS.items())
+    code = "'F'||lpad((n%{})::varchar,2,'0')"
+    return _with("cohort chunks", """SELECT train_prompt, eval_prompt, matched, tp, fp, fn, round(micro_p,6) AS micro_p, round(micro_r,6) AS micro_r, round(micro_f1,6) AS micro_f1, round(micro_f1-own,6) AS gain_over_matched
+      FROM (SELECT *, max(CASE WHEN matched THEN micro_f1 END) OVER (PARTITION BY train_prompt) AS own FROM m)""",
+      drawn="SELECT hadm_id, any_value(f_codes_str) AS f_codes_str FROM cohort GROUP BY 1 ORDER BY md5('42:'||hadm_id::varchar), hadm_id LIMIT 200",
+      cell=f"SELECT * FROM (VALUES {cells}) v(train_prompt, step, eval_prompt, more)",
+      found=f"""SELECT train_prompt, eval_prompt, hadm_id, list_distinct(flatten(list([{code.format(40)}, {code.format('step')}]))) AS p FROM (SELECT *, length(piece)+more AS n FROM ({_PIECES}) JOIN drawn USING (hadm_id), cell) GROUP BY ALL""",
+      s="SELECT train_prompt, eval_prompt, len(p) AS np, len(a) AS na, len(list_intersect(a,p)) AS tp FROM (SELECT *, list_distinct(string_split(f_codes_str,', ')) AS a FROM found JOIN drawn USING (hadm_id))",
+      m="""SELECT train_prompt, eval_prompt, train_prompt=eval_prompt AS matched, sum(tp)::bigint AS tp, sum(np-tp)::bigint AS fp, sum(na-tp)::bigint AS fn, sum(tp)*1.0::double/sum(np) AS micro_p, sum(tp)*1.0::double/sum(na) AS micro_r,
+        2.0::double*sum(tp)/sum(np+na) AS micro_f1 FROM s GROUP BY ALL""")
+
+
 def _enrichment(tail: str) -> str:
     return _with("enr tot", f"SELECT word, diag AS count_in_diagnostic, other AS count_in_other, (diag+other)::bigint AS total_count, {tail}")
 
@@ -356,8 +385,11 @@ ORACLES: dict[str, str] = {
     "bootstrap_ci": _with("boot", " UNION ALL ".join(f"SELECT strategy, '{m}' AS metric, round(lo,6) AS ci_lo, round(hi,6) AS ci_hi FROM (SELECT strategy, " + _QUANT.format(f"{m}::double") + " FROM boot GROUP BY 1)" for m in ("f1", "precision", "recall", "exact_match"))),
     "paired_bootstrap": _with("boot", "SELECT strategy_a, strategy_b, round(lo,6) AS ci_lo, round(hi,6) AS ci_hi FROM (SELECT a.strategy AS strategy_a, b.strategy AS strategy_b, " + _QUANT.format("(a.f1-b.f1)::double") + " FROM boot a JOIN boot b ON a.iter=b.iter AND a.k<b.k WHERE a.k>=2 GROUP BY 1,2)"),
     "permutation_test": _permutation(),
-    "holm_adjust": """SELECT pair, p_raw, round(least(1.0, max(adj) OVER w),6)::double AS p_holm, least(1.0, max(adj) OVER w)<0.05 AS significant FROM (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p_raw, pair) + 1)*p_raw AS adj
-      FROM (VALUES ('a',0.01::double),('b',0.04),('c',0.03),('d',0.005),('e',0.5),('f',0.04),('g',1.0)) v(pair, p_raw)) WINDOW w AS (ORDER BY p_raw, pair ROWS UNBOUNDED PRECEDING)""",
+    "holm_adjust": """WITH b AS (SELECT c_nationkey AS nation, sum(c_acctbal) AS s, count(c_acctbal) AS n FROM customer GROUP BY 1),
+      d AS (SELECT nation, round(abs(s/n - (SELECT sum(s)/sum(n) FROM b)),4) AS distance FROM b),
+      t AS (SELECT *, (count(*) OVER (ORDER BY distance DESC RANGE UNBOUNDED PRECEDING)+1)/((SELECT count(*) FROM d)+1.0::double) AS p FROM d),
+      a AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p, nation) + 1)*p AS adj FROM t)
+      SELECT nation, distance, round(p,6) AS p_raw, round(least(1.0, max(adj) OVER w),6)::double AS p_holm, least(1.0, max(adj) OVER w)<0.05 AS significant FROM a WINDOW w AS (ORDER BY p, nation ROWS UNBOUNDED PRECEDING)""",
     "top_two": _with("mic", "SELECT max(strategy) FILTER (WHERE r=1) AS first, max(strategy) FILTER (WHERE r=2) AS second, round(max(micro_f1) FILTER (WHERE r=1)-max(micro_f1) FILTER (WHERE r=2),6) AS difference FROM (SELECT *, row_number() OVER (ORDER BY micro_f1 DESC, k) AS r FROM mic)"),
     "latex_table": _with("mic", "SELECT strategy, strategy" + "".join(f"||' & '||CASE WHEN rank() OVER (ORDER BY round({c},3) DESC)=1 THEN '\\textbf{{'||format('{{:.3f}}',round({c},3))||'}}' ELSE format('{{:.3f}}',round({c},3)) END" for c in ("micro_f1", "micro_p", "micro_r")) + "||' \\\\' AS latex FROM mic"),
     "checkpoint_selection": _with("mic", "SELECT 'checkpoint-'||(k*100+100)::varchar AS name, (k*100+100)::bigint AS step, round(micro_f1,6) AS micro_f1, row_number() OVER (ORDER BY mic.micro_f1 DESC, k)=1 AS is_best FROM mic WHERE k*100+100>=200"),
@@ -369,6 +401,8 @@ ORACLES: dict[str, str] = {
     "evaluation": _with("cohort chunks", """SELECT 'CoT' AS strategy, sample_id, subject_id, num_chunks, true AS success, array_to_string(list_sort(p),'; ') AS predicted_codes, tp, len(p)-tp AS fp, len(a)-tp AS fn, round(2.0*tp/(len(a)+len(p)),6)::double AS f1
       FROM (SELECT *, len(list_intersect(a,p))::bigint AS tp FROM (SELECT hadm_id AS sample_id, any_value(subject_id) AS subject_id, count(*)::bigint AS num_chunks, list_distinct(string_split(any_value(f_codes_str),', ')) AS a, list_distinct(list('F'||lpad((length(piece)%40)::varchar,2,'0'))) AS p
       FROM (SELECT cohort.*, CASE WHEN total_chunks=1 THEN chunks.text ELSE array_to_string(regexp_extract_all(chunks.text, '\\S+')[start_token+1:end_token], ' ') END AS piece FROM cohort JOIN chunks ON doc_id=hadm_id) GROUP BY 1))"""),
+    "evaluations": _evaluations(),
+    "prompt_factorial": _factorial(),
     "csv_round_trip": _with("notes", "SELECT CASE WHEN coalesce(length(text),0)>=1000 THEN 'long' ELSE 'short' END AS split, hadm_id::varchar AS hadm_id, subject_id::varchar AS subject_id, length(nullif(text,''))::bigint AS n_chars, md5(nullif(text,'')) AS text_md5 FROM notes"),
     "json_round_trip": _with("cohort chunks", """SELECT hadm_id, md5(CASE WHEN total_chunks=1 THEN chunks.text ELSE array_to_string(regexp_extract_all(chunks.text, '\\S+')[start_token+1:end_token], ' ') END) AS input_md5, '["'||replace(f_codes_str,', ','", "')||'"]' AS output, false AS has_window
       FROM cohort JOIN chunks ON doc_id=hadm_id"""),

@@ -20,6 +20,9 @@ STRATEGIES = [
 LONG_TERMS = sorted({"of the", "in the", "and the", "to be", "n't", *STOP_WORDS})
 TERMS = ["the", "under", "of the", "in the", "idiot", "clown", "worthless"]
 
+#: System prompts of the two conditions of a factorial evaluation.
+SYSTEMS = {"cot": "Think step by step, then list the codes.", "simple": "List the codes."}
+
 
 def diagnoses(spark: SparkSession, sf: str) -> DataFrame:
     li, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
