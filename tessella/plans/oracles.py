@@ -196,6 +196,14 @@ def _factorial() -> str:
         2.0::double*sum(tp)/sum(np+na) AS micro_f1 FROM s GROUP BY ALL""")
 
 
+def _term_sentences() -> str:
+    split = r"string_split(regexp_replace(lower(text), '([.!?])\s+', '\1'||chr(1), 'g'), chr(1))"
+    hit = lambda t: rf"regexp_matches({_LETTERS.format('s')}, {_s(rf"\b{t}\b")})::int"
+    one = lambda name, terms: f"SELECT doc_id, '{name}' AS list, {'+'.join(hit(t) for t in sorted(set(terms)))} AS n FROM sent"
+    return _with("", "SELECT doc_id, list, count(*)::bigint AS n_sentences, sum(n)::bigint AS n_terms FROM found WHERE n>0 GROUP BY 1,2",
+      sent=f"SELECT doc_id, unnest({split}) AS s FROM documents", found=one("terms", TERMS) + " UNION ALL " + one("long_terms", LONG_TERMS))
+
+
 def _enrichment(tail: str) -> str:
     return _with("enr tot", f"SELECT word, diag AS count_in_diagnostic, other AS count_in_other, (diag+other)::bigint AS total_count, {tail}")
 
@@ -402,6 +410,7 @@ ORACLES: dict[str, str] = {
       FROM (SELECT *, len(list_intersect(a,p))::bigint AS tp FROM (SELECT hadm_id AS sample_id, any_value(subject_id) AS subject_id, count(*)::bigint AS num_chunks, list_distinct(string_split(any_value(f_codes_str),', ')) AS a, list_distinct(list('F'||lpad((length(piece)%40)::varchar,2,'0'))) AS p
       FROM (SELECT cohort.*, CASE WHEN total_chunks=1 THEN chunks.text ELSE array_to_string(regexp_extract_all(chunks.text, '\\S+')[start_token+1:end_token], ' ') END AS piece FROM cohort JOIN chunks ON doc_id=hadm_id) GROUP BY 1))"""),
     "evaluations": _evaluations(),
+    "indexed_term_sentences": _term_sentences(),
     "prompt_factorial": _factorial(),
     "csv_round_trip": _with("notes", "SELECT CASE WHEN coalesce(length(text),0)>=1000 THEN 'long' ELSE 'short' END AS split, hadm_id::varchar AS hadm_id, subject_id::varchar AS subject_id, length(nullif(text,''))::bigint AS n_chars, md5(nullif(text,'')) AS text_md5 FROM notes"),
     "json_round_trip": _with("cohort chunks", """SELECT hadm_id, md5(CASE WHEN total_chunks=1 THEN chunks.text ELSE array_to_string(regexp_extract_all(chunks.text, '\\S+')[start_token+1:end_token], ' ') END) AS input_md5, '["'||replace(f_codes_str,', ','", "')||'"]' AS output, false AS has_window
@@ -422,3 +431,4 @@ ORACLES: dict[str, str] = {
 }
 ORACLES["pairwise_comparison"] = f"""SELECT *, CASE WHEN p_holm<0.001 THEN '***' WHEN p_holm<0.01 THEN '**' WHEN p_holm<0.05 THEN '*' ELSE 'ns' END AS stars
   FROM ({ORACLES["paired_bootstrap"]}) b JOIN ({ORACLES["permutation_test"]}) p USING (strategy_a, strategy_b)"""
+ORACLES["indexed_term_frequency"] = ORACLES["mined_term_frequency"]

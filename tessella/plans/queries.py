@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import metrics as M
 from ..functions import text as X
-from ..operators import chunk, cohort, hooks, keywords, quantiles, rank, resample, score, term_automaton
+from ..operators import chunk, cohort, hooks, keywords, postings, quantiles, rank, resample, score, term_automaton
 from ..session import table
 from ..sources import readers, scratch, writers
 from . import projections as P
@@ -237,13 +237,34 @@ def term_list_frequency(spark, sf):
     return keywords.term_document_frequency(_docs(spark, sf), "text", P.LONG_TERMS)
 
 
-def mined_term_frequency(spark, sf):
-    """All words, and pairs of neighbouring different words, of the benchmark as a term list of thousands."""
+def _mined_terms(spark, sf):
+    """All words, and pairs of neighbouring different words, of the benchmark."""
     w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
     words = table(spark, sf, "benchmark").select(w.alias("w"))
     pairs = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.when(x != F.get("w", i + 1), F.concat_ws(" ", x, F.get("w", i + 1))))
-    terms = words.select(F.explode(F.concat("w", pairs)).alias("term")).where("term IS NOT NULL").distinct()
-    return term_automaton.term_frequency(_docs(spark, sf), "text", terms)
+    return words.select(F.explode(F.concat("w", pairs)).alias("term")).where("term IS NOT NULL").distinct()
+
+
+def mined_term_frequency(spark, sf):
+    """A term list of thousands in one pass over the texts."""
+    return term_automaton.term_frequency(_docs(spark, sf), "text", _mined_terms(spark, sf))
+
+
+def _index(spark, sf):
+    return postings.write(_docs(spark, sf), "doc_id", "text", f"{scratch.folder(spark)}/postings")
+
+
+def indexed_term_frequency(spark, sf):
+    """The same from a written index of the texts' words."""
+    return postings.term_frequency(_index(spark, sf), _mined_terms(spark, sf))
+
+
+def indexed_term_sentences(spark, sf):
+    """Sentences of a document with any term of two lists, from one index."""
+    index = _index(spark, sf)
+    each = [postings.term_sentences(index, terms).select("doc", F.lit(n).alias("list"), "n_terms") for n, terms in (("terms", P.TERMS), ("long_terms", P.LONG_TERMS))]
+    out = each[0].unionByName(each[1]).groupBy("doc", "list").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum("n_terms").alias("n_terms"))
+    return out.withColumnRenamed("doc", "doc_id")
 
 
 def top_percent_terms(spark, sf):
@@ -726,6 +747,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         pairwise_comparison, holm_adjust, top_two, latex_table, checkpoint_selection, chunk_union, chunk_usage, label_vocabulary, literal_list,
         strategy_comparison, aligned_strategies, fp_rows, fn_rows, most_frequent_codes, term_list_frequency, evaluation, csv_round_trip, json_round_trip,
         report_round_trip, mined_term_frequency, aligned_pairs, length_quantiles, formatted_coverage, term_file_round_trip, latest_report,
-        subword_windows, evaluations, prompt_factorial, multinomial_ci,
+        subword_windows, evaluations, prompt_factorial, multinomial_ci, indexed_term_frequency, indexed_term_sentences,
     )
 }
