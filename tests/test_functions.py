@@ -242,6 +242,32 @@ def test_large_samples_are_joined_with_the_same_sums(spark, monkeypatch):
     assert once == sorted(resample.bootstrap_sums(df, n, ["v"], 30, 5).collect()) and len(once) == 30
 
 
+def test_blocks_of_a_large_sample_have_the_same_sums(spark):
+    """Several blocks, several parts of an iteration's draws, and values that 53 bits can't sum: exact in all."""
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.integers(0, 9, 1000), rng.integers(-(2**50), 2**50, 1000)])
+    df = spark.createDataFrame([(i, *map(int, r)) for i, r in enumerate(x)], "pos long, a long, b long").repartition(3)
+    got = {r["iter"]: (r["a"], r["b"]) for r in resample._block_sums(df, 1000, ["a", "b"], 40, 9, block=64, held=300).collect()}
+    for i in range(40):
+        at = resample.draws(9, np.array([i]), np.arange(1000))[0].astype(np.int64) * 1000 >> 32
+        assert got.pop(i) == tuple(x[at].sum(axis=0).tolist())
+    assert not got
+    bits = resample.unary(np.array([0, 0, 0, 5, 6, 6]), 8)
+    assert len(bits) == 2 and resample.from_unary(bits, 8).tolist() == [3, 0, 0, 0, 0, 1, 2, 0]
+
+
+def test_a_large_sample_is_never_drawn_as_rows(spark, monkeypatch):
+    df, n = resample.positions(spark.range(300).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v")), "k")
+    monkeypatch.setattr(resample, "BROADCAST_BYTES", 0)
+    plan = resample.bootstrap_sums(df, n, ["v"], 30, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "_x" not in plan and "CoGroup" in plan
+
+
+def test_coins_are_the_highest_bits_of_draws():
+    i, j = np.arange(70), np.array([0, 1, 77, 2**31, 2**32 - 1, 2**33 + 7])
+    assert (resample.coins(42, i, j) == resample.draws(42, i, j) >> 31).all()
+
+
 def test_permutations_against_a_plain_loop(spark):
     rng = np.random.default_rng(3)
     x = rng.integers(0, 5, (5000, 6))
