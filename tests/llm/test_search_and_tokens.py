@@ -117,6 +117,24 @@ def test_bpe_query_and_round_trip(spark, library):
         assert r["decoded_sha256"] == hashlib.sha256((rows[r["doc_id"]] or "").encode()).hexdigest()
 
 
+def test_bpe_cache_is_bounded_in_bytes(vocabulary, monkeypatch):
+    monkeypatch.setattr(op11_byte_bpe, "CACHED_BYTES", 1000)
+    texts = ["".join(chr(97 + (i + k) % 26) for k in range(900)) for i in range(5)]
+    for t in texts:
+        want = vocabulary.merge_long(t.encode())
+        assert (vocabulary.encode(pa.array([t]))[0] == want).all() and sum(map(len, vocabulary.slots)) <= 1900
+    vocabulary.forget()
+
+
+def test_decoding_takes_no_vocabulary_and_few_tokens_at_once(raw):
+    own = op11_byte_bpe.TokenBytes(list(op11_byte_bpe._ranks_of(raw)))
+    assert own.decode(np.array([0, len(own.sizes) - 1])).tobytes() and not hasattr(own, "pairs")
+    lists = pa.array([[1, 2], [], [3], [4, 5, 6, 7], [], [8]], pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([lists], ["ids"]).slice(1)
+    parts = list(op11_byte_bpe._list_slices(iter([batch]), 0, 2))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == lists.to_pylist()[1:] and [p.num_rows for p in parts] == [2, 1, 2]
+
+
 def test_bpe_of_odd_rows(spark):
     bpe = op11_byte_bpe.ByteBpe(spark, P.path("byte_bpe_multi_50k.tiktoken"))
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "don't stop", "en", "s", 1), (3, "don't stop", "en", "s", 1), (None, "é" * 50_000, None, None, 5)]
