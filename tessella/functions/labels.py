@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,6 +78,11 @@ def _strict_json(c: Column) -> Column:
     return F.coalesce(whole & alone, F.lit(False))
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _unfenced(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, "```json\\s*", ""), "```\\s*", "")
 
@@ -104,12 +111,7 @@ def response_codes(c: Column, checked: bool = False) -> Column:
     Strings that begin with F count, and the ``code`` of objects (``checked``: only if that is such a string). Without
     brackets, or if what lies between them isn't JSON, the distinct codes of the response in order are taken.
     """
-    text = _unfenced(c)
-    left, back = F.instr(text, "["), F.instr(F.reverse(text), "]")
-    right = F.length(text) - back + 1
-    part = F.when((left > 0) & (back > 0) & (right >= left), F.substr(text, left, F.greatest(right - left + 1, F.lit(0)))).otherwise("")
     mentioned = F.array_distinct(F.regexp_extract_all(c, F.lit(_CODE), F.lit(1)))
-    items = _array_items(part)
 
     def chosen(x: Column) -> Column:
         own = F.when((x["kind"] == "STRING") & x["text"].startswith("F"), x["text"])
@@ -118,19 +120,32 @@ def response_codes(c: Column, checked: bool = False) -> Column:
             code = F.when((x["code_kind"] == "STRING") & code.startswith("F"), code)
         return F.coalesce(own, F.when(x["kind"].startswith("OBJECT"), code))
 
-    listed = F.filter(F.transform(items, chosen), lambda x: x.isNotNull())
-    return F.when((left == 0) | (back == 0) | ~_strict_json(part), mentioned).otherwise(F.coalesce(listed, F.array().cast("array<string>")))
+    def part(text: Column) -> Column:
+        left, right = F.instr(text, "["), F.length(text) - F.instr(F.reverse(text), "]") + 1
+        return F.when((left > 0) & (right >= left) & (right <= F.length(text)), F.substr(text, left, right - left + 1))
+
+    def listed(p: Column) -> Column:
+        codes = F.filter(F.transform(_array_items(p), chosen), lambda x: x.isNotNull())
+        return F.when(_strict_json(p), F.coalesce(codes, F.array().cast("array<string>")))
+
+    return F.coalesce(_let(_let(_unfenced(c), part), listed), mentioned)
 
 
 def checkpoint_codes(c: Column, most: int = 5) -> Column:
     """Codes of a response as the checkpoint selection reads them: only a text that begins with [ counts as JSON;
     else the first ``most`` distinct codes mentioned."""
-    text = strip(_unfenced(c))
-    back = F.instr(F.reverse(text), "]")
-    part = F.when(back > 0, F.substr(text, F.lit(1), F.length(text) - back + 1)).otherwise(text)
     mentioned = F.slice(F.array_distinct(F.regexp_extract_all(c, F.lit("(F[0-9]{2}(?:\\.[0-9]{1,3})?)"), F.lit(1))), 1, most)
-    listed = F.filter(F.transform(_array_items(part), lambda x: F.coalesce(x["code"], x["text"])), lambda x: x.startswith("F"))
-    return F.when(text.startswith("[") & _strict_json(part), listed).otherwise(mentioned)
+
+    def part(text: Column) -> Column:
+        back = F.instr(F.reverse(text), "]")
+        return F.when(text.startswith("["), F.when(back > 0, F.substr(text, F.lit(1), F.length(text) - back + 1)).otherwise(text))
+
+    def listed(p: Column) -> Column:
+        codes = F.filter(F.transform(_array_items(p), lambda x: F.coalesce(x["code"], x["text"])), lambda x: x.startswith("F"))
+        return F.when(_strict_json(p), F.struct(codes.alias("codes")))
+
+    found = _let(_let(strip(_unfenced(c)), part), listed)
+    return F.when(found.isNotNull(), found["codes"]).otherwise(mentioned)
 
 
 def assistant_segment(c: Column, marker: str = "<|start|>assistant") -> Column:
