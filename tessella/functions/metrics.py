@@ -25,11 +25,8 @@ def f1(tp: Column, fp: Column, fn: Column) -> Column:
 
 def set_counts(actual: Column, predicted: Column) -> tuple[Column, Column, Column]:
     """(tp, fp, fn) of two arrays taken as sets."""
-    return (
-        F.size(F.array_intersect(actual, predicted)).cast("long"),
-        F.size(F.array_except(predicted, actual)).cast("long"),
-        F.size(F.array_except(actual, predicted)).cast("long"),
-    )
+    both, a, p = F.size(F.array_intersect(actual, predicted)), F.size(F.array_distinct(actual)), F.size(F.array_distinct(predicted))
+    return both.cast("long"), (p - both).cast("long"), (a - both).cast("long")
 
 
 def sample_scores(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
