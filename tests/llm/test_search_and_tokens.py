@@ -231,6 +231,31 @@ def test_query_against_sql(spark, name):
     assert Counter(map(tuple, got.collect())) == Counter(want.fetchall())
 
 
+def test_small_shards_take_no_more_passes_over_the_texts(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    rows = odd_texts()
+    docs = spark.createDataFrame([(i, t, x, "s", 1) for i, (t, x) in enumerate(rows)], SCHEMA).withColumn("text", F.udf(seen)("text"))
+    passes, found = [], []
+    for shard in (op12_collocations.SHARD, 5):
+        before = read.value
+        _, counted = op12_collocations.frequent_phrases(docs, 8, 5, "lang", "text", 28, shard)
+        found.append({tuple(r) for r in counted.collect()})
+        passes.append(read.value - before)
+    assert passes[0] == passes[1] > 0 and found[0] == found[1]
+
+
+def test_automaton_counts_what_a_piece_begins_with():
+    batch = lambda *t: pa.RecordBatch.from_arrays([pa.array(["en"] * len(t)), pa.array(t)], names=["_lang", "_text"])
+    machine = op12_collocations.Automaton(["en", "en", "de"], ["a b", "a b a b", "a b"])
+    words = op12_collocations.words_of(batch("a \tb a b", "b a b", "x a b", "a b x a b"))
+    assert machine.first_counts(words, np.array([3, 5, 7, 11])).tolist() == [14, 3, 0]
+
+
 def test_collocations_of_no_rows(spark):
     assert op12_collocations.collocations(spark.createDataFrame([], SCHEMA)).count() == 0
 
