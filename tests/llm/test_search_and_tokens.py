@@ -147,6 +147,18 @@ def test_bpe_of_odd_rows(spark):
     assert bpe.encode(docs.limit(0), ["doc_id"]).count() == 0
 
 
+def test_bpe_digests_take_one_python_process_a_task(spark, monkeypatch):
+    monkeypatch.setattr(op11_byte_bpe, "ENCODED_BYTES", 8)
+    bpe = op11_byte_bpe.ByteBpe(spark, P.path("byte_bpe_multi_50k.tiktoken"))
+    rows = [(1, None), (2, ""), (3, "don't stop"), (3, "don't stop"), (None, "é" * 5_000), (4, "漢 \n x")]
+    enc = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"], decoded=True)
+    got = Counter((r["doc_id"], bytes(r["decoded"])) for r in enc.collect())
+    assert got == Counter((k, (t or "").encode()) for k, t in rows)
+    assert got == Counter((r["doc_id"], bytes(r["decoded"])) for r in bpe.decode(enc.drop("decoded"), ["doc_id"]).collect())
+    plan = queries.QUERIES["op11_byte_bpe"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 # ---- collocations
 
 
