@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import op11_byte_bpe, op12_collocations, op13_lexical_search, queries
+from tessella.llm import _words, op11_byte_bpe, op12_collocations, op13_lexical_search, queries
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -223,6 +223,29 @@ def test_bounds_are_never_too_low(spark):
     assert len(found) < len(f)
 
 
+@pytest.mark.parametrize("slices", [1, 3])
+def test_candidates_ask_each_sketch_once(slices, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d.", "e"]) for _ in range(rng.randrange(30))) for _ in range(20)]
+    w = op12_collocations.words_of(pa.RecordBatch.from_arrays([pa.array(["en"] * 20), pa.array(texts)], names=["_lang", "_text"]))
+    bits = lambda k: op12_collocations.Bits(8, [np.random.default_rng(k + r).integers(0, 256, 32, np.uint8) | 0x5A for r in (0, 1)])
+    known = op12_collocations.Filter(bits(0), {k: bits(k) for k in range(2, 6)}, slices, slices - 1)
+    piece = np.searchsorted(w.pieces, np.arange(len(w)), "right")
+    own, ok, key = known.own(w.keys), known.words.may(w.keys), {}
+    for k in range(2, 6):
+        found, first = _words.windows(w.keys, w.pieces, k)
+        key[k] = dict(zip(first.tolist(), _words.mix(found + np.uint64(k)), strict=True))
+    may = lambda k, i: bool(known.runs[k].may(np.array([key[k][i]], np.uint64))[0])
+    inner = lambda k, i: all(not own[i + j] or may(n, i + j) for n in range(2, k) for j in range(k - n + 1))
+    want = {k: [i for i in range(len(w) - k + 1) if own[i] and piece[i] == piece[i + k - 1] and ok[i : i + k].all() and inner(k, i)] for k in range(2, 6)}
+    asked = []
+    real = op12_collocations.Bits.may
+    monkeypatch.setattr(op12_collocations.Bits, "may", lambda self, keys: asked.append(self) or real(self, keys))
+    got = {k: (at.tolist(), keys.tolist()) for k, keys, at in known.candidates(w, range(2, 6))}
+    assert got == {k: (v, [int(key[k][i]) for i in v]) for k, v in want.items()} and want[3]
+    assert asked == [known.words, *(known.runs[k] for k in (2, 3, 4))]
+
+
 def test_automaton_keeps_to_pieces_and_words():
     batch = lambda *t: pa.RecordBatch.from_arrays([pa.array(["en"] * len(t)), pa.array(t)], names=["_lang", "_text"])
     machine = op12_collocations.Automaton(["en", "en", "de"], ["a b", "b a b", "a b"])
